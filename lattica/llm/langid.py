@@ -109,21 +109,21 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
     return langs, np.divide(proto, norms, out=np.zeros_like(proto), where=norms > 0)
 
 
+def nearest(space: Space, text: str | None, langs: list[str], proto: np.ndarray) -> tuple[str, float]:
+    v = space.bundle(text) if text and langs else None
+    if v is None:
+        return UNKNOWN, 0.0
+    cosines = proto @ v / max(float(np.linalg.norm(v)), 1e-9)
+    return langs[int(cosines.argmax())], float(min(1.0, max(0.0, round(float(cosines.max()), 6))))
+
+
 def _predict(langs: list[str], proto: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space()
         for b in batches:
-            preds, scores = [], []
-            for text in b.column("text").to_pylist():
-                v = space.bundle(text) if text and langs else None
-                if v is None:
-                    preds.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                cosines = proto @ v / max(float(np.linalg.norm(v)), 1e-9)
-                preds.append(langs[int(cosines.argmax())])
-                scores.append(float(min(1.0, max(0.0, round(float(cosines.max()), 6)))))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            found = [nearest(space, t, langs, proto) for t in b.column("text").to_pylist()]
+            preds, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), preds, scores], [*b.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
@@ -148,11 +148,19 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
 
 
+def _found(langs: list[str], proto: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = Space()
+        for b in batches:
+            yield b.filter(pa.array([nearest(space, t, langs, proto)[0] != UNKNOWN for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` (unique doc_ids) without the documents in which no language is found."""
-    model = learn(labelled(docs))
-    none = predict(docs.select("doc_id", "text"), model).filter(F.col("lang_pred") == UNKNOWN).select("doc_id")
-    return docs.join(none, "doc_id", "left_anti")
+    """``docs`` without the documents in which no language is found; rows pass where they are, without a shuffle."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_found(*learn(labelled(docs))), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
