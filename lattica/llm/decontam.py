@@ -20,26 +20,34 @@ BROADCAST_BYTES = 48 << 20
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
-    """Words of a text after lower-casing A-Z: runs of digits, a-z and characters beyond ASCII. Null has none."""
-    line = F.trim(F.regexp_replace(lower_ascii(text), _BREAKS, " "))
-    return F.when(F.coalesce(F.length(line), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(line, " "))
+def line(text: Column) -> Column:
+    """Words of a text joined by single spaces, after lower-casing A-Z: runs of digits, a-z and characters beyond ASCII."""
+    return F.coalesce(F.trim(F.regexp_replace(lower_ascii(text), _BREAKS, " ")), F.lit(""))
 
 
-def _shingles(ws: Column, sizes: list[int]) -> Column:
-    """Array of (size, pos, h) of all shingles of the given sizes; h is a hash, verified later."""
+def words(joined: Column) -> Column:
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
-    def of(k: int) -> Column:
-        at = F.sequence(F.lit(1), F.size(ws) - (k - 1))
-        one = lambda i: F.struct(F.lit(k).alias("size"), (i - 1).alias("pos"), F.xxhash64(F.lit(k), *[F.element_at(ws, i + j) for j in range(k)]).alias("h"))
-        return F.when(F.size(ws) >= k, F.transform(at, one)).otherwise(F.array().cast("array<struct<size:int,pos:int,h:bigint>>"))
 
-    return F.concat(*map(of, sizes)) if len(sizes) > 1 else of(sizes[0])
+def n_words(joined: Column) -> Column:
+    return F.when(joined == "", F.lit(0)).otherwise(F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
+
+
+def _shingles(df: DataFrame, joined: Column, sizes: list[int], *keep: str) -> DataFrame:
+    """keep, size, pos, h for each shingle of the given sizes; h is a hash, verified later.
+
+    The shingles of a size come from one match-all with a look ahead at each word, so nothing is evaluated word by word outside
+    generated code.
+    """
+    found = [F.struct(F.lit(k).alias("size"), F.regexp_extract_all(joined, F.lit("(?=(" + " ".join(["[^ ]++"] * k) + "))[^ ]++"), F.lit(1)).alias("found")) for k in sizes]
+    df = df.select(*keep, F.explode(F.array(*found)).alias("__p"))
+    df = df.select(*keep, F.col("__p.size").alias("size"), F.posexplode("__p.found").alias("pos", "shingle"))
+    return df.select(*keep, "size", "pos", F.xxhash64("shingle").alias("h"))
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
     """win, len, ws, items: each distinct window of the benchmark with the ids of the items that have it."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(line(F.col("text"))).alias("ws")).filter(F.size("ws") > 0)
     length = F.least(F.size("ws"), F.lit(WINDOW))
     one = items.select("item_id", length.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - length + 1), lambda i: F.slice(F.col("ws"), i, F.lit(WINDOW)))).alias("ws"))
     return one.groupBy("ws", "len").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("win", F.array_join("ws", " "))
@@ -57,27 +65,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     out = docs.select("doc_id", "text")
     if not sizes:
         nothing = F.array().cast("array<string>")
-        return out.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items"))
+        return out.select("doc_id", n_words(line(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items"))
     small = (size[0] or 0) * 4 <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
-    own = wins.select("win", "len", "items", F.explode(_shingles(F.col("ws"), sizes)).alias("s")).filter(F.col("s.size") == F.least(F.col("len"), F.lit(SHINGLE)))
-    own = own.select("win", "len", "items", F.col("s.pos").alias("offset"), F.col("s.h").alias("h"))
-    bag = out.select("doc_id", words(F.col("text")).alias("ws"))
-    met = bag.select(F.explode(_shingles(F.col("ws"), sizes)).alias("s")).select(F.col("s.h").alias("h"))
-    known = own.select("h").distinct()
-    counts = met.join(hint(known), "h", "left_semi").groupBy("h").count() if small else met.groupBy("h").count().join(known, "h", "left_semi")
+    own = _shingles(wins, F.col("win"), sizes, "win", "len", "items").filter(F.col("size") == F.least(F.col("len"), F.lit(SHINGLE)))
+    own = own.select("win", "len", "items", F.col("pos").alias("offset"), "h")
+    lines = out.select("doc_id", line(F.col("text")).alias("line")).filter("line <> ''").withColumn("n", n_words(F.col("line")))
+    placed = _shingles(lines, F.col("line"), sizes, "doc_id", "n")
+    met = written(placed.join(hint(own.select("h").distinct()), "h", "left_semi"), "decontam-met")
+    counts = met.groupBy("h").count()
     rare = Window.partitionBy("win").orderBy("count", "h", "offset")
-    prefix = own.join(counts, "h").withColumn("__rank", F.row_number().over(rare)).filter("__rank = 1").drop("__rank", "count")
+    prefix = own.join(counts, "h", "left").fillna(0, ["count"]).withColumn("__rank", F.row_number().over(rare)).filter("__rank = 1").drop("__rank", "count")
     prefix = written(prefix, "decontam-prefixes")
-    placed = bag.select("doc_id", F.size("ws").alias("n"), F.explode(_shingles(F.col("ws"), sizes)).alias("s")).select("doc_id", "n", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"))
     start = F.col("pos") - F.col("offset")
-    found = placed.join(hint(prefix), "h").filter((start >= 0) & (start + F.col("len") <= F.col("n")))
+    found = met.join(hint(prefix), "h").filter((start >= 0) & (start + F.col("len") <= F.col("n")))
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct(start.alias("start"), "len", "win", "items")).alias("found"))
     out = out.withColumnRenamed("doc_id", "__id").join(found, F.col("__id").eqNullSafe(F.col("doc_id")), "left")
-    out = out.select(F.col("__id").alias("doc_id"), "found", words(F.col("text")).alias("ws"))
+    out = out.select(F.col("__id").alias("doc_id"), "found", line(F.col("text")).alias("line"))
+    out = out.select("doc_id", "found", n_words(F.col("line")).alias("n"), F.when(F.col("found").isNotNull(), words(F.col("line"))).alias("ws"))
     same = lambda c: F.array_join(F.slice(F.col("ws"), c["start"] + 1, c["len"]), " ") == c["win"]
     none = F.array().cast("array<struct<start:int,len:int,win:string,items:array<string>>>")
-    out = out.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("found").isNull(), none).otherwise(F.filter("found", same)).alias("hits"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_words"), F.when(F.col("found").isNull(), none).otherwise(F.filter("found", same)).alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
     out = out.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
