@@ -1,4 +1,341 @@
-"""Registered queries of the network operators and their SQL."""
+"""Registered queries of the network operators and their SQL.
+
+A query takes (spark, sf_dir). SQL runs on DuckDB over the same tables; operators that iterate, decompose matrices or train
+have none and are tested by invariants.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lattica.functions import special
+from lattica.operators import annotate, clusters, edges, export, genes, masks, networks, stats
+from lattica.sources import views as v
+from lattica.sources.views import ctes
+from lattica.streaming import counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+R = lambda c, n=6: F.round(c, n)
+_BASE = ctes("raw", "grn")
+_EDGES = "edges AS (SELECT DISTINCT source, target, source || '_' || target AS edge_key FROM grn)"
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY w DESC, source || '_' || target) AS r FROM grn), " + _EDGES
+
+
+def _n(te: float) -> str:
+    return f"CAST(round_even((SELECT count(*) FROM edges) * {te}, 0) AS BIGINT)"
+
+
+@query(f"{_BASE}, {_RANKED} SELECT e.edge_key, e.source, e.target, count(r.r) AS cell_count FROM edges e LEFT JOIN ranked r ON r.source = e.source AND r.target = e.target AND r.r <= {_n(0.1)} GROUP BY ALL")
+def top_edges_global(spark, d):
+    grn = v.grn(spark, d)
+    return edges.annotate_global(grn, [0.1]).withColumnRenamed("global_cell_count_0.1", "cell_count")
+
+
+@query(f"{_BASE}, {_RANKED} SELECT source, target, te, count(*) AS cell_count FROM ranked, (SELECT unnest([0.1, 0.2, 0.3]) AS te) WHERE r <= CAST(round_even((SELECT count(*) FROM edges) * te, 0) AS BIGINT) GROUP BY ALL".replace("[0.1, 0.2, 0.3]", "[0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]"))
+def top_edges_multi(spark, d):
+    return edges.top_edge_counts(v.grn(spark, d), [0.1, 0.2, 0.3])
+
+
+@query(f"{_BASE}, {v.SQL['cells']}, {_RANKED} SELECT source, target, cluster, 0.1::DOUBLE AS te, count(*) AS cell_count FROM ranked JOIN cells USING (cell_id) WHERE r <= {_n(0.1)} GROUP BY ALL")
+def top_edges_cluster(spark, d):
+    return edges.top_edge_counts(v.grn(spark, d), [0.1], v.cells(spark, d))
+
+
+@query(f"{_BASE}, {v.SQL['cells']}, {_RANKED}, c AS (SELECT e.edge_key, e.source, e.target, count(*) FILTER (cluster = 0) AS c0, count(*) FILTER (cluster = 1) AS c1 FROM edges e LEFT JOIN (SELECT * FROM ranked JOIN cells USING (cell_id) WHERE r <= {_n(0.1)}) t ON t.source = e.source AND t.target = e.target GROUP BY ALL), "
+       "p AS (SELECT *, row_number() OVER (ORDER BY c0 DESC, c1 DESC, edge_key) AS a, row_number() OVER (ORDER BY c1 DESC, c0 DESC, edge_key) AS b FROM c) "
+       "SELECT edge_key, source, target, c0, c1 FROM p WHERE least(a, b) <= greatest(1, CAST(floor((SELECT count(*) FROM edges) * 0.2) AS BIGINT))")
+def filter_clusters(spark, d):
+    grn = v.grn(spark, d)
+    wide = edges.annotate_clusters(grn, [0.1], v.cells(spark, d)).withColumnsRenamed({"cell_count_0.1_0": "c0", "cell_count_0.1_1": "c1"})
+    return edges.filter_clusters(wide, edges.edges_of(grn).count(), 0.2, "c0", "c1").select("edge_key", "source", "target", "c0", "c1")
+
+
+@query(f"{_BASE}, p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY w, source || '_' || target) - 1 AS p, count(*) OVER (PARTITION BY cell_id)::DOUBLE AS n FROM grn), "
+       "b AS (SELECT *, len(list_filter(list_transform(range(1, 8), lambda k: floor(k::DOUBLE * (n / 7))), lambda e: e > p)) AS above FROM p) "
+       "SELECT cell_id, source, target, CASE WHEN above = 0 THEN 0.0::DOUBLE ELSE (8 - above)::DOUBLE / 7 END AS part FROM b")
+def quantile_partition(spark, d):
+    grn = v.grn(spark, d).withColumn("k", edges.edge_key())
+    return edges.quantile_partition(grn, ["cell_id"], "w", ["k"], 7).select("cell_id", "source", "target", "part")
+
+
+@query(f"{_BASE}, {_RANKED}, top AS (SELECT DISTINCT source, target FROM ranked WHERE r <= {_n(0.05)}) SELECT cell_id, count(*) AS n, sum(w) AS w FROM grn SEMI JOIN top USING (source, target) GROUP BY cell_id")
+def kept_edges(spark, d):
+    grn = v.grn(spark, d)
+    return edges.keep_edges(grn, edges.top_edge_counts(grn, [0.05])).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+
+
+@query(f"{_BASE}, {_EDGES}, {v.SQL['net']}, w AS (SELECT source, target, arg_max(weight, ord) AS weight FROM net GROUP BY ALL) SELECT e.*, coalesce(weight, 0.0) AS edge_in_net, e.target IN (SELECT target FROM net) AS is_target_net, e.source IN (SELECT source FROM net) AS is_source_net FROM edges e LEFT JOIN w ON w.source = e.source AND w.target = e.target")
+def ext_grn_annotate(spark, d):
+    return annotate.add_external(edges.edges_of(v.grn(spark, d)), v.ext_net(spark, d), "net")
+
+
+@query(f"{_BASE}, {_EDGES}, {v.SQL['net']}, j AS (SELECT 'all__0' AS net, count(e.edge_key) AS hits, count(*) AS n FROM net LEFT JOIN edges e USING (source, target) UNION ALL SELECT 'heavy__1', count(e.edge_key), count(*) FROM (SELECT * FROM net WHERE weight > 3) LEFT JOIN edges e USING (source, target)) SELECT net, CASE WHEN n = 0 THEN 0.0 ELSE 100.0::DOUBLE * hits / n END AS percent FROM j")
+def edge_overlap(spark, d):
+    net = v.ext_net(spark, d)
+    return annotate.edge_overlap(edges.edges_of(v.grn(spark, d)), [("all", net), ("heavy", net.filter("weight > 3"))])
+
+
+@query(f"{_BASE}, {_EDGES} SELECT e.source, e.target, CASE WHEN p_size % 2 = 0 THEN 'Activation' WHEN p_size % 3 = 0 THEN 'Repression' ELSE 'Unknown' END AS mode, count(*) AS n FROM edges e JOIN part ON p_brand = e.source AND p_type = e.target WHERE p_size <= 5 GROUP BY ALL")
+def curated_mode(spark, d):
+    return annotate.curate(edges.edges_of(v.grn(spark, d)), v.moded_net(spark, d)).groupBy("source", "target", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_BASE} SELECT source AS gene FROM grn UNION SELECT target FROM grn")
+def all_genes(spark, d):
+    return edges.genes_of(edges.edges_of(v.grn(spark, d)))
+
+
+@query(f"{ctes('rawx', 'expr', 'net')} SELECT DISTINCT gene FROM expr WHERE gene IN (SELECT source FROM net WHERE weight > 4)")
+def tf_filter(spark, d):
+    return edges.filter_names(v.expr_counts(spark, d).select("gene").distinct(), v.ext_net(spark, d).filter("weight > 4").select("source"))
+
+
+_REG = ctes("loci", "crm") + ", hit AS (SELECT DISTINCT gene_name, tf FROM crm JOIN loci USING (chr) WHERE fin >= loci.start - 3600 AND crm.start <= loci.start + 3600)"
+
+
+@query(f"{_REG} SELECT tf AS TF, gene_name AS gene, count(*) OVER (PARTITION BY gene_name) AS nTFs, tf || '_' || gene_name AS edge, true AS regulator FROM hit")
+def regulators_window(spark, d):
+    return annotate.regulators(v.crm(spark, d), v.loci(spark, d), 3600)
+
+
+@query(f"{_REG}, e AS (SELECT DISTINCT event_type AS source, CAST(user_id AS VARCHAR) || '' AS u FROM events), t AS (SELECT source, gene_name AS target FROM e JOIN loci ON chr = u) SELECT DISTINCT source, target, EXISTS (SELECT 1 FROM hit WHERE tf = source AND gene_name = target) AS regulator_1h FROM t")
+def regulators_annotate(spark, d):
+    types = v.table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("chr")).distinct()
+    pairs = types.join(v.loci(spark, d), "chr").select("source", F.col("gene_name").alias("target")).distinct()
+    return annotate.add_regulators(pairs, annotate.regulators(v.crm(spark, d), v.loci(spark, d), 3600), "1h")
+
+
+_STRICT = ctes("rawx", "expr") + ", e AS (SELECT a.gene AS source, b.gene AS target FROM (SELECT DISTINCT gene FROM expr) a, (SELECT DISTINCT gene FROM expr) b)"
+
+
+@query(f"{_STRICT}, m AS (SELECT a.gene AS source, b.gene AS target, count(*) AS n FROM expr a JOIN expr b USING (cell_id) WHERE a.x > 0 AND b.x > 0 AND a.gene <> b.gene GROUP BY ALL) SELECT e.source, e.target, coalesce(n, 0) AS count_nonzero FROM e LEFT JOIN m ON m.source = e.source AND m.target = e.target")
+def mask_strict(spark, d):
+    expr = v.expr_counts(spark, d)
+    names = expr.select("gene").distinct()
+    pairs = names.toDF("source").crossJoin(names.toDF("target"))
+    return masks.add_mask(expr, pairs, strict=True)[1]
+
+
+_KNN = """WITH x AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS v FROM embeddings), dist AS (SELECT a.cell_id, b.cell_id AS nbr_id, list_distance(a.v, b.v) AS dist FROM x a JOIN x b ON a.cell_id <> b.cell_id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist, nbr_id) AS r FROM dist) WHERE r <= 10)"""
+
+
+@query(f"{_KNN} SELECT cell_id, nbr_id, round(dist, 6) AS dist FROM k")
+def knn(spark, d):
+    return masks.nearest(v.expr_dense(spark, d), 10).withColumn("dist", R("dist"))
+
+
+@query(f"{_KNN}, both_ways AS (SELECT cell_id, nbr_id FROM k UNION SELECT nbr_id, cell_id FROM k), g AS (SELECT cell_id AS nbr_id, unnest(range(0, len(v))) AS gene, unnest(v) AS x FROM x), n AS (SELECT b.cell_id, gene, count(*) AS n FROM both_ways b JOIN g USING (nbr_id) WHERE x > 0 GROUP BY ALL) SELECT gene::INTEGER AS gene, count(*) AS cells FROM n WHERE n >= 5 GROUP BY gene")
+def knn_mask(spark, d):
+    expr = v.expr_dense(spark, d)
+    return masks.neighbourhood(expr, masks.nearest(expr, 10), 5).groupBy("gene").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def _models(spark, d):
+    return v.grn(spark, d).withColumn("model_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)))).withColumn("w", F.col("w") * (F.col("model_id") + 1))
+
+
+@query(f"{_BASE}, m AS (SELECT cell_id, source, target, w * (i + 1) AS w FROM grn, range(4) t(i)) SELECT cell_id, source, target, avg(w) AS mean_w, sum(w) AS sum_w, median(w) AS median_w FROM m GROUP BY ALL")
+def ensemble_aggregate(spark, d):
+    m, keys = _models(spark, d), ["cell_id", "source", "target"]
+    return m.groupBy(*keys).agg(F.avg("w").alias("mean_w"), F.sum("w").alias("sum_w"), F.median("w").alias("median_w"))
+
+
+@query(f"{_BASE} SELECT cell_id, source, target, l::INTEGER AS level, w * l * (l + 1) / 2 / l AS w FROM grn, (SELECT unnest([2, 4]) AS l)")
+def ensemble_levels(spark, d):
+    return stats.model_levels(_models(spark, d), [2, 4])
+
+
+@query(f"{ctes('rawsq', 'sq')}, r AS (SELECT *, rank() OVER (PARTITION BY source, target ORDER BY w) + (count(*) OVER (PARTITION BY source, target, w) - 1) / 2.0::DOUBLE AS r FROM sq WHERE source <> target) SELECT a.source, a.target, round(corr(a.r, b.r), 6) AS rho FROM r a JOIN r b ON a.cell_id = b.cell_id AND a.source = b.target AND a.target = b.source GROUP BY ALL")
+def spearman_pairs(spark, d):
+    return stats.consistent_pairs(v.square_grn(spark, d)).withColumn("rho", R("rho"))
+
+
+@query(f"{ctes('rawx', 'expr')} SELECT a.gene AS a, b.gene AS b, round(corr(a.x, b.x), 6) AS corr FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene < b.gene GROUP BY ALL")
+def gene_corr(spark, d):
+    return stats.gene_correlation(v.expr_counts(spark, d)).withColumn("corr", R("corr"))
+
+
+_RANK = ctes("rawx", "expr", "cells") + """, o AS (SELECT cluster, gene, count(*)::DOUBLE AS n, sum(x) AS s, sum(x * x) AS q FROM expr JOIN cells USING (cell_id) GROUP BY ALL),
+a AS (SELECT *, sum(n) OVER w - n AS n0, sum(s) OVER w - s AS s0, sum(q) OVER w - q AS q0 FROM o WINDOW w AS (PARTITION BY gene)),
+t AS (SELECT *, sqrt(greatest((q - s * s / n) / (n - 1), 0) / n + greatest((q0 - s0 * s0 / n0) / (n0 - 1), 0) / n0) AS sd FROM a),
+u AS (SELECT cluster, gene, CASE WHEN sd > 0 THEN (s / n - s0 / n0) / sd ELSE 0 END AS score FROM t),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, gene) AS rank FROM u)"""
+
+
+@query(f"{_RANK} SELECT cluster, gene, round(score, 6) AS score, rank::INTEGER AS rank FROM ranks")
+def rank_genes(spark, d):
+    return stats.rank_genes(v.expr_counts(spark, d), v.cells(spark, d)).withColumn("score", R("score"))
+
+
+_TARGETS = f"""{_RANK}, {v.SQL['rawsq']}, e AS (SELECT DISTINCT source, target FROM rawsq), sh AS (SELECT cluster, gene, abs(rank - (sum(rank) OVER w - rank)::DOUBLE / (count(*) OVER w - 1)) AS diff FROM ranks WINDOW w AS (PARTITION BY gene)),
+dd AS (SELECT s.cluster, e.source, e.target, abs(t.diff - s.diff) AS distance FROM e JOIN sh s ON s.gene = e.source LEFT JOIN sh t ON t.gene = e.target AND t.cluster = s.cluster),
+pp AS (SELECT *, row_number() OVER (PARTITION BY cluster, source ORDER BY round(distance, 9) NULLS LAST, target) AS pos FROM dd),
+g AS (SELECT *, count(*) OVER (PARTITION BY cluster, source) AS size FROM pp WHERE pos <= 8)"""
+
+
+@query(f"{_TARGETS} SELECT DISTINCT source, target FROM g WHERE size >= 3")
+def top_targets(spark, d):
+    expr, cells = v.expr_counts(spark, d), v.cells(spark, d)
+    return stats.top_targets(edges.edges_of(v.square_grn(spark, d)).join(v._weights(spark, d, F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string"))).select("source", "target").distinct(), ["source", "target"], "left_semi"), stats.rank_genes(expr, cells), 8, 3)[0]
+
+
+_UCELL = f"""{ctes('rawx', 'expr', 'rawsq', 'cells')}, sig AS (SELECT DISTINCT source AS signature, target FROM rawsq), rk AS (SELECT cell_id, gene AS target, least(rank() OVER (PARTITION BY cell_id ORDER BY x DESC) + (count(*) OVER (PARTITION BY cell_id, x) - 1) / 2.0::DOUBLE, 1501.0::DOUBLE) AS r FROM expr),
+sc AS (SELECT cell_id, signature, 1 - (sum(r) - count(*) * (count(*) + 1) / 2) / (count(*) * 1500.0::DOUBLE) AS score FROM rk JOIN sig USING (target) GROUP BY ALL)"""
+
+
+def _scores(spark, d):
+    return stats.ucell(v.expr_counts(spark, d), v._weights(spark, d, F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string"))))
+
+
+@query(f"{_UCELL} SELECT cell_id, signature, round(score, 8) AS score FROM sc")
+def ucell(spark, d):
+    return _scores(spark, d).withColumn("score", R("score", 8))
+
+
+_STAT = "(rs - n1 * (n + 1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 12)"
+_TEST = f"""{_UCELL}, q AS (SELECT *, rank() OVER (PARTITION BY signature ORDER BY round(score, 8)) + (count(*) OVER (PARTITION BY signature, round(score, 8)) - 1) / 2.0::DOUBLE AS r FROM sc JOIN cells USING (cell_id)),
+o AS (SELECT cluster, signature, count(*)::DOUBLE AS n1, sum(r) AS rs, sum(round(score, 8)) AS sx FROM q GROUP BY ALL), o2 AS (SELECT *, sum(n1) OVER w AS n, sum(sx) OVER w AS tot FROM o WINDOW w AS (PARTITION BY signature)),
+p AS (SELECT *, {_STAT} AS stat, 0.5 * {special.erfc_sql(f'({_STAT} / sqrt(2.0::DOUBLE))')} AS p FROM o2),
+b AS (SELECT *, p * count(*) OVER (PARTITION BY cluster) / row_number() OVER (PARTITION BY cluster ORDER BY p, signature) AS adj FROM p),
+f AS (SELECT *, least(1, min(adj) OVER (PARTITION BY cluster ORDER BY p, signature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM b)"""
+
+
+@query(f"{_TEST} SELECT cluster, signature, round(stat, 6) AS stat, round(p, 6) AS p, round(p_adj, 6) AS p_adj, round(abs(sx / n1 - (tot - sx) / (n - n1)), 6) AS mean_diff, round((stat - avg(stat) OVER (PARTITION BY cluster)) / stddev_samp(stat) OVER (PARTITION BY cluster), 6) AS z_score FROM f")
+def ranksum_bh(spark, d):
+    scores = _scores(spark, d).withColumn("score", R("score", 8))
+    out = stats.rank_sum(scores, v.cells(spark, d))
+    return out.select("cluster", "signature", *[R(c).alias(c) for c in ("stat", "p", "p_adj", "mean_diff", "z_score")])
+
+
+@query()
+def top_signatures(spark, d):
+    return stats.top_signatures(stats.rank_sum(_scores(spark, d), v.cells(spark, d)), 5)
+
+
+@query(f"{_UCELL} SELECT cell_id, cluster, signature || '_regulon' AS regulon, round(score, 8) AS score FROM sc JOIN cells USING (cell_id) WHERE signature IN ('Brand#1', 'Brand#2')")
+def regulon_activity(spark, d):
+    top = spark.createDataFrame([("Brand#1",), ("Brand#2",)], "signature string")
+    return stats.regulon_activity(_scores(spark, d), top, v.cells(spark, d)).withColumn("score", R("score", 8))
+
+
+@query(f"{_UCELL} SELECT c.cell_id, cluster, round(score, 8) AS score FROM cells c LEFT JOIN sc ON sc.cell_id = c.cell_id WHERE signature = 'Brand#1'")
+def merge_to_cells(spark, d):
+    own = _scores(spark, d).filter("signature = 'Brand#1'").select("cell_id", R("score", 8).alias("score"))
+    cells = v.cells(spark, d).join(own.select("cell_id"), "cell_id", "left_semi")
+    return stats.merge_to_cells(cells.withColumn("score", F.lit(0.0)), own)
+
+
+_MU = ctes("obs") + ", m AS (SELECT *, avg(y) OVER (PARTITION BY event_type) AS mu, 2.0::DOUBLE AS th, 0.25::DOUBLE AS pi FROM obs)"
+_NB = "lgamma(th + 1e-10) + lgamma(y + 1) - lgamma(y + th + 1e-10) + (th + y) * ln(1 + mu / (th + 1e-10)) + y * (ln(th + 1e-10) - ln(mu + 1e-10))"
+
+
+def _likelihood(spark, d, name, loss):
+    from pyspark.sql import Window
+
+    obs = v.count_obs(spark, d).withColumn("mu", F.avg("y").over(Window.partitionBy("event_type")))
+    return obs.groupBy("event_type").agg(R(F.avg(loss(F.col("y"), F.col("mu")))).alias(name))
+
+
+@query(f"{_MU} SELECT event_type, round(avg({_NB}), 6) AS nll FROM m GROUP BY event_type")
+def nb_nll(spark, d):
+    return _likelihood(spark, d, "nll", lambda y, mu: special.nb_nll(y, mu, F.lit(2.0)))
+
+
+@query(f"{_MU}, z AS (SELECT event_type, th, pi, mu, CASE WHEN y < 5 THEN 0 ELSE y END AS y FROM m) SELECT event_type, round(avg(CASE WHEN y < 1e-10 THEN -ln(pi + (1 - pi) * pow(th / (th + mu + 1e-10), th) + 1e-10) ELSE {_NB} END), 6) AS nll FROM z GROUP BY event_type")
+def zinb_nll(spark, d):
+    return _likelihood(spark, d, "nll", lambda y, mu: special.zinb_nll(F.when(y < 5, 0.0).otherwise(y), mu, F.lit(2.0), F.lit(0.25)))
+
+
+@query(f"{_MU} SELECT event_type, round(avg(pow(mu - y, 2)), 6) AS loss FROM m GROUP BY event_type")
+def mse(spark, d):
+    return _likelihood(spark, d, "loss", special.squared_error)
+
+
+@query(f"{_MU} SELECT event_type, round(avg(ln(cosh(mu - y))), 6) AS loss FROM m GROUP BY event_type")
+def log_cosh(spark, d):
+    return _likelihood(spark, d, "loss", special.log_cosh)
+
+
+@query("SELECT s_nationkey % 2 AS la, s_nationkey % 3 AS lb, count(*) AS n FROM supplier GROUP BY ALL")
+def contingency(spark, d):
+    s = v.table(spark, d, "supplier")
+    return stats.contingency(s.select("s_suppkey", (F.col("s_nationkey") % 2)), s.select("s_suppkey", (F.col("s_nationkey") % 3)))
+
+
+@query(f"{ctes('rawsq')}, e AS (SELECT DISTINCT source, target FROM rawsq), n AS (SELECT DISTINCT source FROM e) SELECT x.source AS a, y.source AS b, (SELECT count(*) FROM e i JOIN e j USING (target) WHERE i.source = x.source AND j.source = y.source) AS shared FROM n x, n y")
+def shared_targets(spark, d):
+    raw = v._weights(spark, d, F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string")))
+    return stats.shared_targets(raw)
+
+
+@query(f"{ctes('rawx', 'expr', 'cells')} SELECT cluster, gene, round(avg(x), 6) AS mean FROM expr JOIN cells USING (cell_id) GROUP BY ALL")
+def group_means(spark, d):
+    return stats.mean_by(v.expr_counts(spark, d).join(v.cells(spark, d), "cell_id"), "cluster").withColumn("mean", R("mean"))
+
+
+@query(f"{ctes('rawx', 'expr')} SELECT gene, sum(x) AS total, min(x) AS low, max(x) AS high, count(*) AS n FROM expr GROUP BY gene")
+def shuffle_columns(spark, d):
+    out = stats.shuffle_columns(v.expr_counts(spark, d), 7)
+    return out.groupBy("gene").agg(F.sum("x").alias("total"), F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{ctes('rawsq')} SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM rawsq WHERE source IN ('Brand#1', 'Brand#2') AND source <> target")
+def regulon_graph(spark, d):
+    raw = v._weights(spark, d, F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string")))
+    return export.undirected(raw, ["Brand#1", "Brand#2"])[1]
+
+
+@query()
+def spectral_clusters(spark, d):
+    expr = v.expr_dense(spark, d)
+    near = masks.nearest(clusters.components(expr, 20).select("cell_id", F.posexplode("pc").alias("gene", "x")), 10)
+    return clusters.spectral(near, 10)
+
+
+@query()
+def unify_labels(spark, d):
+    own = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("label").cast("string"))
+    renamed = own.select("cell_id", ((F.col("label").cast("int") + 3) % 10).cast("string").alias("label"))
+    return clusters.unify_labels(own, renamed)[0]
+
+
+@query()
+def gene_linkage(spark, d):
+    return genes.hierarchical(v.expr_counts(spark, d))[0]
+
+
+@query()
+def gene_clusters(spark, d):
+    expr = v.expr_counts(spark, d)
+    pairs, links, names = genes.hierarchical(expr)
+    cutoff = genes.cutoff(pairs, float("inf"), 0.0)[0]
+    return genes.add_clusters(expr.select("gene").distinct(), names, links, cutoff)
+
+
+@query()
+def ensemble_network(spark, d):
+    """Training and attribution on a few genes: 3 models, their mean network."""
+    expr = v.expr_counts(spark, d).filter(F.col("gene").isin([f"Brand#{i}" for i in range(1, 9)]))
+    models = networks.model_zoo(expr, n_models=3, epochs=30, hidden=16, latent=4, failures=1, lr=1e-3)
+    return networks.infer(models, expr)
+
+
+@query(f"{_BASE}, {_RANKED} SELECT source, target, count(*) AS cell_count FROM ranked WHERE r <= {_n(0.1)} GROUP BY ALL")
+def row_local_top_edges(spark, d):
+    """The streaming operator on a table: one packed row a cell."""
+    grn = v.grn(spark, d)
+    return counts.streaming_counts(counts.pack(grn), edges.top_n(edges.edges_of(grn).count(), 0.1))
