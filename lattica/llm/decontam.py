@@ -54,23 +54,23 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted array) of each row of ``docs(doc_id, text)``.
+    """doc_id, n_words, n_hit, n_items, items (sorted array), row (all its columns) of each row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have no words and no hits; so does every document if the benchmark has no words. Rows that share a
-    doc_id are judged each by its own text. A null item_id counts hits but no item.
+    doc_id, null included, are judged each by its own text. A null item_id counts hits but no item.
     """
     wins = written(windows(benchmark.select("item_id", "text")), "decontam-windows")
     size = wins.agg(F.sum(F.octet_length("win") + 64), F.collect_set(F.least(F.col("len"), F.lit(SHINGLE)))).first()
     sizes = sorted(size[1])
-    out = docs.select("doc_id", "text")
+    out, doc_id, text = docs.select(F.struct(*docs.columns).alias("row")), F.col("row.doc_id"), F.col("row.text")
     if not sizes:
         nothing = F.array().cast("array<string>")
-        return out.select("doc_id", n_words(line(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items"))
+        return out.select(doc_id.alias("doc_id"), n_words(line(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items"), "row")
     small = (size[0] or 0) * 4 <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
     own = _shingles(wins, F.col("win"), sizes, "win", "len", "items").filter(F.col("size") == F.least(F.col("len"), F.lit(SHINGLE)))
     own = own.select("win", "len", "items", F.col("pos").alias("offset"), "h")
-    lines = out.select("doc_id", line(F.col("text")).alias("line")).filter("line <> ''").withColumn("n", n_words(F.col("line")))
+    lines = docs.select("doc_id", line(F.col("text")).alias("line")).filter("line <> ''").withColumn("n", n_words(F.col("line")))
     placed = _shingles(lines, F.col("line"), sizes, "doc_id", "n")
     met = written(placed.join(hint(own.select("h").distinct()), "h", "left_semi"), "decontam-met")
     counts = met.groupBy("h").count()
@@ -80,16 +80,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     start = F.col("pos") - F.col("offset")
     found = met.join(hint(prefix), "h").filter((start >= 0) & (start + F.col("len") <= F.col("n")))
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct(start.alias("start"), "len", "win", "items")).alias("found"))
-    out = out.withColumnRenamed("doc_id", "__id").join(found, F.col("__id").eqNullSafe(F.col("doc_id")), "left")
-    out = out.select(F.col("__id").alias("doc_id"), "found", line(F.col("text")).alias("line"))
-    out = out.select("doc_id", "found", n_words(F.col("line")).alias("n"), F.when(F.col("found").isNotNull(), words(F.col("line"))).alias("ws"))
+    out = out.join(found, doc_id.eqNullSafe(F.col("doc_id")), "left")
+    out = out.select("row", "found", line(text).alias("line"))
+    out = out.select("row", "found", n_words(F.col("line")).alias("n"), F.when(F.col("found").isNotNull(), words(F.col("line"))).alias("ws"))
     same = lambda c: F.array_join(F.slice(F.col("ws"), c["start"] + 1, c["len"]), " ") == c["win"]
     none = F.array().cast("array<struct<start:int,len:int,win:string,items:array<string>>>")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_words"), F.when(F.col("found").isNull(), none).otherwise(F.filter("found", same)).alias("hits"))
+    out = out.select("row", F.col("n").cast("long").alias("n_words"), F.when(F.col("found").isNull(), none).otherwise(F.filter("found", same)).alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    out = out.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+    out = out.select("row", "n_words", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    return out.select(doc_id.alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "row")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -97,13 +97,12 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (unique doc_ids) that are not contaminated."""
-    bad = contamination(docs, benchmark).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` that are not contaminated."""
+    return contamination(docs, benchmark).filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 

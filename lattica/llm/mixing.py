@@ -81,10 +81,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed(docs: DataFrame, sizes: Column) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as taken, the row at a source's cut shortened to the words taken.
 
-    ``docs`` has unique doc_ids here; rows of the same doc_id share one decision per size and repeat accordingly.
+    Rows of the same doc_id (null is one) and size share one decision, the largest, and repeat accordingly.
     """
-    plan = mix(docs, sizes).filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    out = docs.join(plan, "doc_id")
+    plan = mix(docs, sizes).filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
+    out = docs.withColumn("__n", sizes)
+    out = out.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
     out = out.withColumn("__part", F.explode(F.expr("sequence(1, (__taken + __size - 1) div __size)")))
     last = F.col("__taken") - (F.col("__part") - 1) * F.col("__size")
     cut = last < F.col("__size")

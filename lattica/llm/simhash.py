@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lattica.llm import common
 from lattica.llm.common import by_value, small_batches, table, written
@@ -148,25 +149,45 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of each row of ``docs(doc_id, text)``.
-
-    component_id is the smallest doc_id reachable over links. Null, empty and wordless texts have fingerprint 0 and are linked
-    like any other. Repeated rows get the same result; an empty table gives an empty one; a null doc_id counts as no id.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and fp of each row; label (the least fp of the component) and component_id of each distinct fp."""
     marked = written(fingerprints(docs), "fingerprints")
     own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     own = written(own, "classes")
     comp = connected(links(own.select("fp")))
     own = own.join(comp, own["fp"] == comp["v"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.join(own.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked, own.join(least, "label").select("fp", "label", "component_id")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of each row of ``docs(doc_id, text)``.
+
+    component_id is the smallest doc_id reachable over links. Null, empty and wordless texts have fingerprint 0 and are linked
+    like any other. Repeated rows get the same result; an empty table gives an empty one; a null doc_id counts as no id.
+    """
+    marked, own = _classes(docs)
+    return marked.join(own.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "__fp"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one that gives it its id; of rows that repeat that id, one."""
-    keep = components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: the one that gives it its id; of rows that repeat that id, one.
+
+    A group of which no row has an id keeps one row of its least fingerprint.
+    """
+    marked, own = _classes(docs)
+    own = written(own, "components")
+    keep = marked.join(own, "fp").filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.filter("doc_id is null").mapInArrow(_beside, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    first = own.filter("component_id is null and fp = label").select(F.col("fp").alias("__fp"))
+    return kept.select(docs.columns).unionAll(nameless.join(first, "__fp", "left_semi").dropDuplicates(["__fp"]).select(docs.columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,3 +273,24 @@ def test_html(spark):
     assert got[1].text == "Head & line\nFirst, with a break. Next.\nSecond <paragraph> of some length, with commas, and words."
     assert [got[i].text for i in (2, 3, 4, 5, 7)] == ["", "", "plain text", "unclosed bold", "deep"]
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_rows_without_id(spark):
+    """Stages treat rows without an id as documents of their own."""
+    rnd = random.Random(9)
+    say = lambda n: " ".join(rnd.choice("abcdefghij") * 4 + str(rnd.randint(0, 999)) for _ in range(n))
+    a, b, c = say(80), say(80), say(80)
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, c + " tail"), (None, BENCH[0][1])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "x", "y") for i, t in rows], SCHEMA)
+    kept = simhash.deduplicated(df)
+    fps = {t: simhash.fingerprint(t) for _, t in rows}
+    assert kept.columns == df.columns
+    texts = [r.text for r in kept.collect()]
+    assert len(texts) == len(set(texts)) and {a, b, BENCH[0][1]} <= set(texts)
+    assert (c in texts) == ((fps[c] ^ fps[c + " tail"]).bit_count() > 3)
+    clean = decontam.decontaminated(df, spark.createDataFrame(BENCH, "item_id long, text string"))
+    assert clean.columns == df.columns
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows[:-1])
+    mixed = mixing.mixed(df.dropDuplicates(["text"]), word_count(F.col("text")))
+    want = mixing.mix(df.dropDuplicates(["text"]), word_count(F.col("text"))).agg(F.sum("taken")).first()[0]
+    assert mixed.select(F.sum(word_count(F.col("text")))).first()[0] >= want
