@@ -52,14 +52,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], [*b.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row of ``docs(doc_id, text)``."""
+    """``docs(..., text)`` with fp (the 64 bits as a signed long) in place of the text."""
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    others = docs.drop("text")
+    return docs.select(*others.columns, "text").mapInArrow(_fingerprints, StructType([*others.schema.fields, StructField("fp", LongType())]))
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -150,7 +150,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and fp of each row; label (the least fp of the component) and component_id of each distinct fp."""
+    """``docs(doc_id, ..., text)`` with fp in place of the text; label (the least fp of the component) and component_id of each distinct fp."""
     marked = written(fingerprints(docs), "fingerprints")
     own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     own = written(own, "classes")
@@ -166,28 +166,23 @@ def components(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links. Null, empty and wordless texts have fingerprint 0 and are linked
     like any other. Repeated rows get the same result; an empty table gives an empty one; a null doc_id counts as no id.
     """
-    marked, own = _classes(docs)
+    marked, own = _classes(docs.select("doc_id", "text"))
     return marked.join(own.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "__fp"])
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one that gives it its id; of rows that repeat that id, one.
+    """One document of each group: the one that gives it its id.
 
-    A group of which no row has an id keeps one row of its least fingerprint.
+    Rows of a group that share that id, null in a group without ids, are told apart by the hash of the text: the least stays,
+    once. Groups whose documents have the same id keep one row each.
     """
-    marked, own = _classes(docs)
-    own = written(own, "components")
-    keep = marked.join(own, "fp").filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null").mapInArrow(_beside, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    first = own.filter("component_id is null and fp = label").select(F.col("fp").alias("__fp"))
-    return kept.select(docs.columns).unionAll(nameless.join(first, "__fp", "left_semi").dropDuplicates(["__fp"]).select(docs.columns))
+    which = F.xxhash64("text")
+    marked, own = _classes(docs.select("doc_id", which.alias("which"), "text"))
+    heads = marked.join(own, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = heads.groupBy("label", "component_id").agg(F.min("which").alias("__least"))
+    rows = docs.withColumn("__which", which)
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["component_id"]) & (rows["__which"] == keep["__least"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__which"]).select(docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
