@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontam, langid, mixing, sharding, simhash
+from lattica.llm import decontam, langid, mixing, neardup, sharding
 from lattica.llm.common import table, word_count, written
 
 
@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """Keep one document of each group linked by five-word similarity of 0.8 or more, the one with the smallest id."""
+    return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

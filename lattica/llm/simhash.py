@@ -176,11 +176,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows of a group that share that id, null in a group without ids, are told apart by the hash of the text: the least stays,
     once. Groups whose documents have the same id keep one row each.
     """
-    which = F.xxhash64("text")
-    marked, own = _classes(docs.select("doc_id", which.alias("which"), "text"))
-    heads = marked.join(own, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marked, own = _classes(docs.select("doc_id", F.xxhash64("text").alias("which"), "text"))
+    return heads(docs, marked.join(own, "fp"))
+
+
+def heads(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by ``grouped(doc_id, which, label, component_id)`` with the hash of each row's text."""
+    heads = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = heads.groupBy("label", "component_id").agg(F.min("which").alias("__least"))
-    rows = docs.withColumn("__which", which)
+    rows = docs.withColumn("__which", F.xxhash64("text"))
     kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["component_id"]) & (rows["__which"] == keep["__least"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__which"]).select(docs.columns)
 
