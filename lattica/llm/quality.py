@@ -1,8 +1,10 @@
 """Quality rules by distribution divergence.
 
-References are histograms of character classes and of common words for each language, from all labelled documents. A document
+References are histograms of character classes and of common words for each language, from all labelled documents. A language's
+common words go into GROUPS of about equal shares by rank, as a bin for each word would be all noise in a short text. A document
 is compared with every reference by Jensen-Shannon distance; it fails if even its nearest reference is far away. Short texts
-have noisy histograms, so each comparison has a least length.
+have noisy histograms, so each comparison has a least length, and what is far in words depends on the length: between what
+samples of the reference give and what a text without any common word gives.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from lattica.llm.common import by_value, small_batches, table
 
 by_value(__name__)
 
-COMMON = 100
+COMMON, GROUPS = 100, 4
 #: A task's summary of word counts keeps so many words of a language: none more frequent than 1 in so many is missed.
 SUMMARY = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Least length for a comparison, and the distance above which it fails.
+#: Least length for a comparison, and the distance of characters above which it fails.
 CHAR_LENGTH, CHAR_DISTANCE = 300, 0.30
-WORD_LENGTH, WORD_DISTANCE = 100, 0.55
+WORD_LENGTH = 50
+#: Lengths for which a reference's limit is drawn (a text takes the nearest one below), samples of each, and their share within.
+LENGTHS = [round(WORD_LENGTH * 2 ** (i / 2)) for i in range(15)]
+SAMPLES, WITHIN = 1000, 0.999
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?\"'()[]-"
 
@@ -79,7 +84,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[lang] = _pruned(own, SUMMARY)
     for lang, own in sums.items():
         own = _pruned(own, SUMMARY) if len(own) > SUMMARY else own
-        own.pop("", None)
+        own = Counter({w: n for w, n in own.items() if any(map(str.isalpha, w))})
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
 
 
@@ -101,7 +106,40 @@ def _exact(vocabulary: list[str]):
     return run
 
 
-Reference = dict  # vocabulary: list[str]; words: array (languages, len + 1), the last for other words; chars: array (languages, classes)
+Reference = dict  # vocabulary: list[str]; groups: array (languages, len + 1) of each word's group, the last for other words; words: array (languages, GROUPS + 1); chars: array (languages, classes); limits: array (LENGTHS, languages)
+
+
+def grouped(own: list[int]) -> list[int]:
+    """Groups of a language's common words, given their counts from the most frequent one on."""
+    total, before, out = max(sum(own), 1), 0, []
+    for n in own:
+        out.append(min(GROUPS * (2 * before + n) // (2 * total), GROUPS - 1))
+        before += n
+    return out
+
+
+def histograms(counts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Words in each group of each language, by the counts of the vocabulary and of other words."""
+    return np.array([np.bincount(g, counts, GROUPS + 1) for g in groups])
+
+
+def unknown(words: np.ndarray) -> np.ndarray:
+    """Distance of a text without any common word from each reference."""
+    return distance(np.eye(GROUPS + 1)[-1], words)
+
+
+def limits(words: np.ndarray) -> np.ndarray:
+    """Largest distance of words that passes, for each of LENGTHS and each reference.
+
+    A third of the way from the median sample of the reference to a text without common words, or what WITHIN of the samples
+    keep if that is more, but always below the text without common words.
+    """
+    rng, out = np.random.default_rng(0), np.zeros((len(LENGTHS), len(words)))
+    for k, (row, far) in enumerate(zip(words, unknown(words), strict=True)):
+        for i, n in enumerate(LENGTHS):
+            own = distance(row, rng.multinomial(n, row / row.sum(), SAMPLES).astype(float))
+            out[i, k] = min(max((2 * np.median(own) + far) / 3, np.quantile(own, WITHIN)), 0.99 * far)
+    return out
 
 
 def learn(docs: DataFrame, common: int = COMMON) -> Reference:
@@ -122,11 +160,15 @@ def learn(docs: DataFrame, common: int = COMMON) -> Reference:
     langs = sorted(k for k, own in exact.items() if own.get("\0words"))
     own_words = {k: sorted((w for w in exact[k] if w[:1] != "\0"), key=lambda w: (-exact[k][w], w))[:common] for k in langs}
     vocabulary = sorted({w for ws in own_words.values() for w in ws})
-    words = np.array([[exact[k].get(w, 0) for w in vocabulary] for k in langs], float).reshape(len(langs), len(vocabulary))
-    totals = np.array([exact[k]["\0words"] for k in langs], float)
-    words = np.column_stack([words, totals - words.sum(axis=1)]) if langs else np.zeros((0, 1))
+    index, groups = {w: i for i, w in enumerate(vocabulary)}, np.full((len(langs), len(vocabulary) + 1), GROUPS)
+    words = np.zeros((len(langs), GROUPS + 1))
+    for k, lang in enumerate(langs):
+        counts = [exact[lang][w] for w in own_words[lang]]
+        groups[k, [index[w] for w in own_words[lang]]] = grouped(counts)
+        words[k] = np.bincount(np.array(grouped(counts), int), counts, GROUPS + 1)
+        words[k, -1] = exact[lang]["\0words"] - sum(counts)
     chars = np.array([[exact[k].get(f"\0class{i}", 0) for i in range(_CLASSES)] for k in langs], float)
-    return {"vocabulary": vocabulary, "words": words, "chars": chars}
+    return {"vocabulary": vocabulary, "groups": groups, "words": words, "chars": chars, "limits": limits(words)}
 
 
 def _judge(ref: Reference):
@@ -165,14 +207,17 @@ def judge(text: str, ref: Reference, lookup: np.ndarray, index: dict[str, int])
     n, again = len(words), repeated_words(words)
     failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
     far_chars = far_words = None
+    known = True
     if len(ref["words"]) and len(data) >= CHAR_LENGTH:
         far_chars = float(distance(classes(data, lookup).astype(float), ref["chars"]).min())
     if len(ref["words"]) and n >= WORD_LENGTH:
         counts = np.zeros(len(index) + 1)
         for w, c in Counter(normal(words)).items():
             counts[index.get(w, -1)] += c
-        far_words = float(distance(counts, ref["words"]).min())
-    kept = not failed and (far_chars is None or far_chars <= CHAR_DISTANCE) and (far_words is None or far_words <= WORD_DISTANCE)
+        far = np.array([distance(p, q[None])[0] for p, q in zip(histograms(counts, ref["groups"]), ref["words"], strict=True)])
+        far_words = float(far.min())
+        known = bool((far <= ref["limits"][np.searchsorted(LENGTHS, n, "right") - 1]).any())
+    kept = not failed and (far_chars is None or far_chars <= CHAR_DISTANCE) and known
     return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), again, failed, kept, far_chars, far_words
 
 
