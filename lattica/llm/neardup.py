@@ -1,9 +1,15 @@
-"""Near duplicates by the Jaccard similarity of five-word shingles.
-
-MinHash keys (BANDS bands of ROWS minima) find candidates: a pair at similarity 0.8 shares no key with a chance of 5e-7, more
-similar pairs with less. Candidates that hang together over keys are one group, in which the sets of shingles decide exactly:
-a breadth-first search links all pairs at 4/5 or more. A key gives a star of links, not its pairs, so keys and links stay linear
-in a group of near copies of any size. Only distinct sets take part; a task holds the sets of one group.
+"""Near duplicates: SimHash over five-word shingles, verified by Jaccard similarity of 0.8 or more.
+
+The general form of operator 5, as the pipeline uses it. Multi-index hashing of 64-bit SimHash fingerprints over five-word
+shingles (``simhash.links``) gives candidates at RADIUS bits or fewer. Sets at similarity 0.8 differ in about 10 of 64 bits,
+beyond what balls within segments can enumerate on a large table, so min-wise keys (BANDS bands of ROWS minima) add candidates:
+a pair at 0.8 shares no key with a chance of 5e-7, more similar pairs with less. Every candidate is then decided exactly by its
+whole sets of shingles, so a link is always a true one.
+
+A key gives a star of candidates, not its pairs. Candidates that hang together are a group; a group is dealt to blocks of
+bounded size. All blocks are compared with the group's first block; the sets that this doesn't join to the group's largest
+component are then compared with every block. So any two sets of a group are joined or compared, tasks hold two blocks, and a
+group of near copies that hang together, however large, is read twice. Only distinct sets take part.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -27,6 +33,8 @@ SEED = 42
 BANDS, ROWS = 48, 6
 #: Least similarity of a link.
 NUM, DEN = 4, 5
+#: Shingles of a block, on average.
+BLOCK = 400_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -61,9 +69,15 @@ def keys(own: np.ndarray, times: np.ndarray, plus: np.ndarray) -> list[int]:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     times, plus = _coefficients()
     for b in batches:
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
-        which = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(which), pa.array([keys(s, times, plus) for s in sets], pa.list_(pa.int64()))], [*b.schema.names[:-1], "set", "keys"])
+        which, fps, sizes, every = [], [], [], []
+        for t in b.column("text"):
+            s = shingles(t.as_py())
+            which.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+            fps.append(simhash.majority(s))
+            sizes.append(len(s))
+            every.append(keys(s, times, plus))
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (which, fps, sizes)]
+        yield pa.RecordBatch.from_arrays([b.column("row"), *longs, pa.array(every, pa.list_(pa.int64()))], ["row", "set", "fp", "size", "keys"])
 
 
 def similar(sets: list[np.ndarray]) -> list[int]:
@@ -96,32 +110,78 @@ def similar(sets: list[np.ndarray]) -> list[int]:
 
 
 def _verified(rows: pa.Table) -> pa.Table:
-    """set and label, the least set of its component, of the rows of one group of candidates."""
+    """a, b: the least set of each component among the sets of a task, and each other set of it."""
     which = rows.column("set").to_pylist()
-    group, least = similar([shingles(t) for t in rows.column("text").to_pylist()]), {}
+    group, least = similar([shingles(t.as_py()) for t in rows.column("text")]), {}
     for g, s in zip(group, which, strict=True):
         least[g] = min(least.get(g, s), s)
-    return pa.table({"set": pa.array(which, pa.int64()), "label": pa.array([least[g] for g in group], pa.int64())})
+    ends = [(least[g], s) for g, s in zip(group, which, strict=True) if least[g] != s]
+    return pa.table({"a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
+
+
+def _compared(tasks: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links among the sets of each task of ``tasks(task, set, at)``; ``at`` is the row that holds the set's text."""
+    texts = tasks.join(marked.select(F.col("at"), F.col("row.text").alias("text")), "at")
+    return texts.select("task", "set", "text").groupBy("task").applyInArrow(_verified, "a long, b long")
+
+
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``sets(set, ...)`` with label, the least set of the component."""
+    comp = simhash.connected(links).withColumnsRenamed({"v": "__v", "label": "__l"})
+    return sets.join(comp, sets["set"] == comp["__v"], "left").withColumn("label", F.coalesce("__l", "set")).drop("__v", "__l")
+
+
+def _task(group: str, first: Column | str, second: Column) -> Column:
+    return F.concat_ws(":", F.col(group).cast("string"), F.col(first).cast("string") if isinstance(first, str) else first.cast("string"), second.cast("string"))
+
 
+def classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """at (a row number), row (all columns of ``docs``), set, size of each row; set and label, the class, of each distinct set.
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs(doc_id, which, text)`` with set (a hash of its shingles) in place of the text; label and component_id of each set."""
+    Null, empty and wordless texts are one class. Repeated rows fall into one class; an empty table gives empty ones.
+    """
     small_batches(docs.sparkSession)
-    schema = StructType([docs.schema["doc_id"], docs.schema["which"], StructField("set", LongType()), StructField("keys", ArrayType(LongType()))])
-    marked = written(docs.select("doc_id", "which", "text").mapInArrow(_marked, schema), "near-sets")
-    own = written(marked.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("which").alias("which"), F.first("keys").alias("keys")), "near-classes")
-    spread = own.select("set", F.explode("keys").alias("key"))
-    stars = spread.withColumn("a", F.min("set").over(Window.partitionBy("key"))).filter(F.col("a") < F.col("set"))
-    groups = simhash.connected(stars.select("a", F.col("set").alias("b")).distinct())
-    members = own.join(groups, own["set"] == groups["v"]).select("set", F.col("label").alias("group"), "which")
-    texts = members.join(docs.select("which", "text"), "which").dropDuplicates(["set"])
-    found = written(texts.select("group", "set", "text").groupBy("group").applyInArrow(_verified, "set long, label long"), "near-labels")
-    own = own.join(found, "set", "left").select("set", F.coalesce("label", "set").alias("label"), "least")
-    least = own.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.drop("keys"), own.join(least, "label").select("set", "label", "component_id")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    long = [StructField(n, LongType()) for n in ("set", "fp", "size")]
+    schema = StructType([packed.schema["row"], *long, StructField("keys", ArrayType(LongType()))])
+    marked = written(packed.mapInArrow(_marked, schema).withColumn("at", F.monotonically_increasing_id()), "near-rows")
+    own = written(marked.groupBy("set").agg(F.min("at").alias("at"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")).filter("size > 0"), "near-sets")
+    key = Window.partitionBy("key")
+    stars = own.select("set", F.explode("keys").alias("key")).withColumn("a", F.min("set").over(key)).filter(F.col("a") < F.col("set")).select("a", F.col("set").alias("b"))
+    # equal fingerprints of different sets are candidates too: each with the least set of its fingerprint
+    by_fp = own.groupBy("fp").agg(F.min("set").alias("a"))
+    same = own.join(by_fp, "fp").filter(F.col("a") < F.col("set")).select("a", F.col("set").alias("b"))
+    near = simhash.links(by_fp.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    near = near.join(by_fp.select(F.col("fp").alias("fa"), F.col("a")), "fa").join(by_fp.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select("a", "b")
+    groups = _labelled(own.drop("keys", "fp"), stars.unionAll(same).unionAll(near).distinct()).withColumnRenamed("label", "group")
+    of = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / block).cast("int").alias("blocks")).filter("n > 1")
+    members = groups.join(of, "group").select("group", "set", "at", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
+    members = written(members, "near-members")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.expr("sequence(1, blocks - 1)")).otherwise(F.array("block"))
+    tasks = members.withColumn("second", F.explode(others)).select(_task("group", F.lit(0), F.col("second")).alias("task"), "set", "at")
+    links = written(_compared(tasks, marked), "near-links")
+    split = members.filter("blocks > 1")
+    if not split.isEmpty():
+        now = written(_labelled(split, links), "near-split")
+        counts = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        rest = now.join(largest, "group").filter(F.col("label") != F.col("largest"))
+        parts = rest.join(own.select("set", "size"), "set").groupBy("group").agg(F.ceil(F.sum("size") / block).cast("int").alias("parts"))
+        outside = rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int"))
+        outside = outside.withColumn("second", F.explode(F.expr("sequence(0, blocks - 1)"))).select(_task("group", "part", F.col("second")).alias("task"), "set", "at")
+        every = now.join(parts, "group").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(_task("group", "part", F.col("block")).alias("task"), "set", "at")
+        links = links.unionAll(written(_compared(outside.unionAll(every).distinct(), marked), "near-links"))
+    none = marked.filter("size = 0").select("set").distinct()
+    return marked, _labelled(own.select("set"), links).unionAll(none.select("set", F.col("set").alias("label")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, chosen as in ``simhash.deduplicated``; texts without words are one group."""
-    marked, own = _classes(docs.select("doc_id", F.xxhash64("text").alias("which"), "text"))
-    return simhash.heads(docs, marked.join(own, "set"))
+    """One row of each class of ``docs(doc_id, text, ...)``: the one with the least doc_id (null last), then text hash, then row.
+
+    Null, empty and wordless texts are one class. An empty table gives an empty one; the columns stay.
+    """
+    marked, labels = classes(docs)
+    rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text"), F.col("at"))
+    by_set = marked.groupBy("set").agg(F.min(rank).alias("rank"))
+    heads = by_set.join(labels, "set").groupBy("label").agg(F.min("rank").alias("rank")).select(F.col("rank.at").alias("at"))
+    return marked.join(heads, "at", "left_semi").select("row.*")

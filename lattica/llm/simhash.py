@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lattica.llm import common
 from lattica.llm.common import by_value, small_batches, table, written
 
 by_value(__name__)
@@ -42,11 +41,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(len(words) - size + 1, 1)
     last = ends[min(size, len(words)) - 1 :]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some hashes have; 0 of none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,49 +152,21 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs(doc_id, ..., text)`` with fp in place of the text; label (the least fp of the component) and component_id of each distinct fp."""
-    marked = written(fingerprints(docs), "fingerprints")
-    own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    own = written(own, "classes")
-    comp = connected(links(own.select("fp")))
-    own = own.join(comp, own["fp"] == comp["v"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
-    least = own.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked, own.join(least, "label").select("fp", "label", "component_id")
-
-
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of each row of ``docs(doc_id, text)``.
 
     component_id is the smallest doc_id reachable over links. Null, empty and wordless texts have fingerprint 0 and are linked
     like any other. Repeated rows get the same result; an empty table gives an empty one; a null doc_id counts as no id.
     """
-    marked, own = _classes(docs.select("doc_id", "text"))
-    return marked.join(own.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one that gives it its id.
-
-    Rows of a group that share that id, null in a group without ids, are told apart by the hash of the text: the least stays,
-    once. Groups whose documents have the same id keep one row each.
-    """
-    marked, own = _classes(docs.select("doc_id", F.xxhash64("text").alias("which"), "text"))
-    return heads(docs, marked.join(own, "fp"))
-
-
-def heads(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, by ``grouped(doc_id, which, label, component_id)`` with the hash of each row's text."""
-    heads = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = heads.groupBy("label", "component_id").agg(F.min("which").alias("__least"))
-    rows = docs.withColumn("__which", F.xxhash64("text"))
-    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["component_id"]) & (rows["__which"] == keep["__least"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__which"]).select(docs.columns)
+    marked = written(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    own = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    comp = connected(links(own.select("fp")))
+    own = own.join(comp, own["fp"] == comp["v"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
+    least = own.groupBy("label").agg(F.min("least").alias("component_id"))
+    return marked.join(own.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-_ = common

@@ -66,3 +66,17 @@ def test_without_rows_or_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e  f"), (None, None), (None, "x")], "doc_id long, text string")
     assert len(neardup.deduplicated(docs).collect()) == 3
     assert neardup.deduplicated(docs.limit(0)).collect() == []
+
+
+def test_groups_in_blocks(spark, texts):
+    """A group dealt to many blocks has the components of one block."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def parts(block):
+        marked, labels = neardup.classes(docs, block)
+        out = {}
+        for r in marked.join(labels, "set").select("row.doc_id", "label").collect():
+            out.setdefault(r.label, set()).add(r.doc_id)
+        return sorted(map(sorted, out.values()))
+
+    assert parts(150) == parts(neardup.BLOCK)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import decontam, html, langid, mixing, pii, quality, sharding, simhash, suffixdedup, windows
+from lattica.llm import decontam, html, langid, mixing, neardup, pii, quality, sharding, simhash, suffixdedup, windows
 from lattica.llm.common import word_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, bin string"
@@ -282,12 +282,10 @@ def test_rows_without_id(spark):
     a, b, c = say(80), say(80), say(80)
     rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, c + " tail"), (None, BENCH[0][1])]
     df = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "x", "y") for i, t in rows], SCHEMA)
-    kept = simhash.deduplicated(df)
-    fps = {t: simhash.fingerprint(t) for _, t in rows}
+    kept = neardup.deduplicated(df)
     assert kept.columns == df.columns
     texts = [r.text for r in kept.collect()]
-    assert len(texts) == len(set(texts)) and {a, b, BENCH[0][1]} <= set(texts)
-    assert (c in texts) == ((fps[c] ^ fps[c + " tail"]).bit_count() > 3)
+    assert sorted(texts) == sorted([a, b, c, BENCH[0][1]]) or sorted(texts) == sorted([a, b, c + " tail", BENCH[0][1]])
     clean = decontam.decontaminated(df, spark.createDataFrame(BENCH, "item_id long, text string"))
     assert clean.columns == df.columns
     assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows[:-1])

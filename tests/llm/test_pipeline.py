@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import mixing, simhash
+from lattica.llm import mixing
 from lattica.llm.common import word_count
 
 SF = "/root/testdata/sf0.001"
@@ -46,12 +46,18 @@ def norm(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
+def five(text):
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in text[a:b]) for a, b in word_spans(text)]
+    return {tuple(words[p : p + 5]) for p in range(max(1, len(words) - 4))} if words else set()
+
+
 def one_of_each(rows):
-    """One row of each component of fingerprints at three bits or fewer: least id, then least signed hash of the text."""
-    fps, group = [simhash.fingerprint(r[1]) for r in rows], list(range(len(rows)))
+    """One row of each component over five-word Jaccard similarity of 0.8 or more: least id, then least signed hash of the text."""
+    sets, group = [five(r[1]) for r in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if group[i] != group[j] and (fps[i] ^ fps[j]).bit_count() <= 3:
+            common, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if group[i] != group[j] and 5 * common >= 4 * either:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     best = {}
