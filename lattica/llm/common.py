@@ -70,6 +70,16 @@ def random_key(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def chance(*values: Column) -> Column:
+    """A hash-random number from 0 to 1 of some columns, over all 64 bits."""
+    return (F.xxhash64(*values).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+
+
+def sampled(docs: DataFrame, total: int, most: int, seed: str) -> DataFrame:
+    """About ``most`` of the ``total`` rows of ``docs(doc_id, text, ...)`` by hash, at any total; rows without id by their text."""
+    return docs if total <= most else docs.filter(chance(F.col("doc_id"), F.col("text"), F.lit(seed)) < F.lit(most / total))
+
+
 def key_bin(key: Column, bins: int) -> Column:
     """Range bin of a hex key: bins follow the order of keys and have about equal numbers of them."""
     return F.expr("0").cast("long") if bins <= 1 else F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") * F.lit(bins / 2.0**32)).cast("long")
