@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -85,5 +87,21 @@ def key_bin(key: Column, bins: int) -> Column:
     return F.expr("0").cast("long") if bins <= 1 else F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") * F.lit(bins / 2.0**32)).cast("long")
 
 
+def spread(rows: DataFrame, bins: int, per_bin: int) -> DataFrame:
+    """``rows(key, at, ...)`` with bin: the range bin of each key.
+
+    Rows of one key share a bin, so a key with more than ``per_bin`` rows (documents without id, say, or repeated rows) would
+    make a bin of any size. The row number ``at`` deals such rows out: their key becomes a hash of key and number.
+    """
+    rows = rows.withColumn("bin", key_bin(F.col("key"), bins))
+    over = rows.groupBy("bin").count().filter(F.col("count") > 3 * per_bin)
+    if over.isEmpty():
+        return rows
+    hot = rows.join(F.broadcast(over.select("bin")), "bin", "left_semi").groupBy("key").count().filter(F.col("count") > per_bin)
+    rows = rows.join(F.broadcast(hot.select("key", F.lit(True).alias("__hot"))), "key", "left")
+    rows = rows.withColumn("key", F.when(F.col("__hot"), F.md5(F.concat_ws(":", "key", "at"))).otherwise(F.col("key"))).drop("__hot")
+    return rows.withColumn("bin", key_bin(F.col("key"), bins))
+
+
 def bins_for(rows: int, per_bin: int = 20_000) -> int:
     return max(1, -(-rows // per_bin))

@@ -63,6 +63,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     size = wins.agg(F.sum(F.octet_length("win") + 64), F.collect_set(F.least(F.col("len"), F.lit(SHINGLE)))).first()
     sizes = sorted(size[1])
     out, doc_id, text = docs.select(F.struct(*docs.columns).alias("row")), F.col("row.doc_id"), F.col("row.text")
+    out = written(out.withColumn("at", F.monotonically_increasing_id()), "decontam-rows") if sizes else out
     if not sizes:
         nothing = F.array().cast("array<string>")
         return out.select(doc_id.alias("doc_id"), n_words(line(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items"), "row")
@@ -70,8 +71,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     hint = F.broadcast if small else (lambda df: df)
     own = _shingles(wins, F.col("win"), sizes, "win", "len", "items").filter(F.col("size") == F.least(F.col("len"), F.lit(SHINGLE)))
     own = own.select("win", "len", "items", F.col("pos").alias("offset"), "h")
-    lines = docs.select("doc_id", line(F.col("text")).alias("line")).filter("line <> ''").withColumn("n", n_words(F.col("line")))
-    placed = _shingles(lines, F.col("line"), sizes, "doc_id", "n")
+    lines = out.select("at", line(text).alias("line")).filter("line <> ''").withColumn("n", n_words(F.col("line")))
+    placed = _shingles(lines, F.col("line"), sizes, "at", "n")
     met = written(placed.join(hint(own.select("h").distinct()), "h", "left_semi"), "decontam-met")
     counts = met.groupBy("h").count()
     rare = Window.partitionBy("win").orderBy("count", "h", "offset")
@@ -79,8 +80,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     prefix = written(prefix, "decontam-prefixes")
     start = F.col("pos") - F.col("offset")
     found = met.join(hint(prefix), "h").filter((start >= 0) & (start + F.col("len") <= F.col("n")))
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct(start.alias("start"), "len", "win", "items")).alias("found"))
-    out = out.join(found, doc_id.eqNullSafe(F.col("doc_id")), "left")
+    found = found.groupBy("at").agg(F.collect_list(F.struct(start.alias("start"), "len", "win", "items")).alias("found"))
+    out = out.join(found, "at", "left")
     out = out.select("row", "found", line(text).alias("line"))
     out = out.select("row", "found", n_words(F.col("line")).alias("n"), F.when(F.col("found").isNotNull(), words(F.col("line"))).alias("ws"))
     same = lambda c: F.array_join(F.slice(F.col("ws"), c["start"] + 1, c["len"]), " ") == c["win"]
@@ -97,11 +98,15 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
+    """The rows of ``docs(doc_id, text, ...)`` that are not contaminated, with all their columns.
+
+    Null and empty texts have no words and stay; rows are judged one by one, whatever their ids; an empty table stays empty.
+    """
     return contamination(docs, benchmark).filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digest for all documents and all items of the benchmark."""
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))

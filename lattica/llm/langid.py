@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_value, small_batches, table
+from lattica.llm.common import by_value, chance, small_batches, table
 
 by_value(__name__)
 
@@ -30,7 +30,7 @@ _SPACE = 0x20
 class Space:
     """Vectors of letters and n-grams. The table of n-gram vectors starts anew when it reaches ``most`` rows."""
 
-    def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = SEED, most: int = 40_000) -> None:
+    def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = SEED, most: int = 24_000) -> None:
         self.dim, self.gram, self.seed, self.most = dim, gram, seed, most
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
@@ -89,6 +89,11 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v)), pa.array(range(len(v)), pa.int32()), pa.array(v)], ["lang", "dim", "v"])
 
 
+def share(count: Column, most: int) -> Column:
+    """Share of ``count`` rows that makes about ``most`` of them, at any count."""
+    return F.lit(float(most)) / count.cast("double")
+
+
 def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from ``labelled(doc_id, text, lang)`` without null labels.
 
@@ -97,9 +102,8 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
     """
     small_batches(labelled.sparkSession)
     counts = labelled.groupBy("lang").count()
-    share = (F.lit(float(train_rows)) / F.col("count") * F.lit(1e6)).cast("long")
-    picked = labelled.filter("text is not null").join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")
-    picked = picked.filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
+    picked = labelled.filter("text is not null").join(F.broadcast(counts.select("lang", share(F.col("count"), train_rows).alias("__share"))), "lang")
+    picked = picked.filter(chance(F.col("doc_id"), F.col("text"), F.lit("lang")) < F.col("__share")).select("text", "lang")
     sums = picked.mapInArrow(_totals, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
     langs = sorted({r["lang"] for r in sums})
     proto = np.zeros((len(langs), DIM))
@@ -129,12 +133,12 @@ def _predict(langs: list[str], proto: np.ndarray):
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs(..., text)`` with lang_pred and score (cosine, 0 at least) in place of the text.
+    """``docs(..., text)`` with lang_pred and score (cosine, 0 at least) in place of the text and of columns of these names.
 
     ``und`` and 0 where the text is null or has no letter, or nothing was learned.
     """
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "lang_pred string, score double"])
     return docs.select(*others, "text").mapInArrow(_predict(*model), schema)
 
@@ -148,22 +152,32 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
 
 
+def letters(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def _found(langs: list[str], proto: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space()
         for b in batches:
-            yield b.filter(pa.array([nearest(space, t, langs, proto)[0] != UNKNOWN for t in b.column("text").to_pylist()], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            yield b.filter(pa.array([(nearest(space, t, langs, proto)[0] != UNKNOWN) if langs else letters(t) for t in texts], pa.bool_()))
 
     return run
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which no language is found; rows pass where they are, without a shuffle."""
+    """``docs`` without the documents in which no language is found; rows pass where they are, without a shuffle.
+
+    A document is rejected if its language is ``und``, that is if its text is null, empty or without a letter. Where no row has a
+    label nothing is learned, and texts with a letter stay. Repeated rows pass or go alike; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_found(*learn(labelled(docs))), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents; score is the cosine with the nearest prototype."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return predict(rows, learn(labelled(docs)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACE, bins_for, key_bin, random_key, source_key, table, word_count, written
+from lattica.llm.common import SPACE, bins_for, random_key, source_key, spread, table, word_count, written
 
 #: Weights of the sources by code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,25 +51,30 @@ def mix(docs: DataFrame, size: Column, per_bin: int = 20_000) -> DataFrame:
     """How many words the mix takes from each row of ``docs(doc_id, source, ...)``.
 
     Returns doc_id, source, size, source_size, target, taken; one row per row of ``docs``. Null sources form one source, null
-    texts have size 0 and give 0. Rows equal in doc_id are ordered by size; fully equal rows are interchangeable. An empty
-    table gives an empty result. Only keys and sizes are shuffled, never texts.
+    texts have size 0 and give 0. Rows equal in doc_id are ordered by size, then as they are written. An empty table gives an
+    empty result. A doc_id that very many rows share (or lack) is dealt over the bins. Only keys and sizes are shuffled, never texts.
     """
-    slim = written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    slim = written(docs.select("doc_id", "source", size.alias("size")).withColumn("at", F.monotonically_increasing_id()), "mix-sizes")
+    return _taken(slim, per_bin).drop("at")
+
+
+def _taken(slim: DataFrame, per_bin: int = 20_000) -> DataFrame:
+    """``mix`` for ``slim(at, doc_id, source, size)``, a written table in which ``at`` numbers the rows."""
     slim = slim.withColumn("skey", source_key(F.col("source"))).withColumn("key", random_key(F.col("doc_id"), SEED))
-    slim = slim.withColumn("bin", key_bin(F.col("key"), bins_for(slim.count(), per_bin)))
+    slim = spread(slim, bins_for(slim.count(), per_bin), per_bin)
     in_bins = slim.groupBy("skey", "bin").agg(F.sum("size").alias("bin_size"), F.first("source").alias("source"))
     in_bins = written(in_bins, "mix-bins")
     budgets = targets(in_bins.groupBy("skey").agg(F.sum("bin_size").alias("source_size"), F.first("source").alias("source")))
     up_to = Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_bins.select("skey", "bin", F.coalesce(F.sum("bin_size").over(up_to), F.lit(0)).alias("bin_start"))
     starts = starts.join(budgets, "skey")
-    inside = Window.partitionBy("skey", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("skey", "bin").orderBy("key", "doc_id", "size", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = slim.withColumn("upto", F.sum("size").over(inside)).join(starts, ["skey", "bin"])
     whole = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     left = whole - epochs * F.col("source_size") - (F.col("bin_start") + F.col("upto") - F.col("size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("at", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -81,21 +86,25 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed(docs: DataFrame, sizes: Column) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as taken, the row at a source's cut shortened to the words taken.
 
-    Rows of the same doc_id (null is one) and size share one decision, the largest, and repeat accordingly.
+    Rows are told apart by a number of their own, so rows without id and repeated rows are each decided for themselves, and the
+    words of a source sum to the whole part of its target. Null and empty texts have no words and are not taken; an empty table
+    gives an empty one. ``n_chars``, if there, follows the text.
     """
-    plan = mix(docs, sizes).filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    out = docs.withColumn("__n", sizes)
-    out = out.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    out = out.withColumn("__part", F.explode(F.expr("sequence(1, (__taken + __size - 1) div __size)")))
-    last = F.col("__taken") - (F.col("__part") - 1) * F.col("__size")
-    cut = last < F.col("__size")
-    out = out.withColumn("text", F.when(cut, first_words(F.col("text"), last)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    rows = written(docs.select(F.struct(*docs.columns).alias("row"), sizes.alias("size")).withColumn("at", F.monotonically_increasing_id()), "mix-rows")
+    plan = _taken(rows.select("at", "row.doc_id", "row.source", "size")).filter("taken > 0").select("at", "taken")
+    out = rows.join(plan, "at").withColumn("part", F.explode(F.expr("sequence(1, (taken + size - 1) div size)")))
+    last = F.col("taken") - (F.col("part") - 1) * F.col("size")
+    cut = last < F.col("size")
+    own = {c: F.col(f"row.{c}") for c in docs.columns}
+    own["text"] = F.when(cut, first_words(F.col("row.text"), last)).otherwise(F.col("row.text"))
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(cut, F.length(own["text"]).cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[c.alias(k) for k, c in own.items()])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs, word_count(F.col("text"))).drop("source")
 

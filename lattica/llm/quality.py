@@ -22,8 +22,8 @@ from lattica.llm.common import by_value, small_batches, table
 by_value(__name__)
 
 COMMON, GROUPS = 100, 4
-#: A task's summary of word counts keeps so many words of a language: none more frequent than 1 in so many is missed.
-SUMMARY = 20_000
+#: A task sends its word counts when it holds so many.
+HELD = 400_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Least length for a comparison, and the distance of characters above which it fails.
 CHAR_LENGTH, CHAR_DISTANCE = 300, 0.30
@@ -68,42 +68,29 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(kl / 2, 0, 1))
 
 
-def _pruned(counts: Counter, most: int) -> Counter:
-    """Misra-Gries: keep the ``most`` most frequent words, less the count of the next one."""
-    less = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) - most - 1)[len(counts) - most - 1])
-    return Counter({w: n - less for w, n in counts.items() if n > less})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of the words with a letter, and of all words and classes under names that no word has. A task adds up what
+    it holds and sends it whenever that reaches HELD words, so counts are exact and memory is bounded."""
+    lookup, sums = _class_table(), {}
 
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, own in sums.items():
+            own = {w: n for w, n in own.items() if w[:1] == " " or any(map(str.isalpha, w))}
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
+        sums.clear()
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, Counter] = {}
     for b in batches:
         for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
+            text = text.as_py()
+            words = normal(split(text))
             own = sums.setdefault(lang, Counter())
-            own.update(normal(split(text.as_py())))
-            if len(own) > 8 * SUMMARY:
-                sums[lang] = _pruned(own, SUMMARY)
-    for lang, own in sums.items():
-        own = _pruned(own, SUMMARY) if len(own) > SUMMARY else own
-        own = Counter({w: n for w, n in own.items() if any(map(str.isalpha, w))})
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
-
-
-def _exact(vocabulary: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, known, sums = _class_table(), set(vocabulary), {}
-        for b in batches:
-            for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                text = text.as_py()
-                words = normal(split(text))
-                own = sums.setdefault(lang, Counter())
-                own.update(w for w in words if w in known)
-                own["\0words"] += len(words)
-                for i, n in enumerate(classes(text.encode(), lookup).tolist()):
-                    own[f"\0class{i}"] += n
-        for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
-
-    return run
+            own.update(words)
+            own[" words"] += len(words)
+            for i, n in enumerate(classes(text.encode(), lookup).tolist()):
+                own[f" class{i}"] += n
+        if sum(map(len, sums.values())) > HELD:
+            yield from sent()
+    yield from sent()
 
 
 Reference = dict  # vocabulary: list[str]; groups: array (languages, len + 1) of each word's group, the last for other words; words: array (languages, GROUPS + 1); chars: array (languages, classes); limits: array (LENGTHS, languages)
@@ -145,20 +132,19 @@ def limits(words: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, common: int = COMMON) -> Reference:
     """References from all of ``docs(text, lang)`` with text and language. What comes to the driver grows with the languages only.
 
-    Summaries of bounded size find the words that may be common; a second pass counts those exactly.
+    One pass counts all words exactly; the counts are added up in tasks before they are shuffled, and only the most frequent
+    words of each language come back. Null texts and languages are left out; an empty table gives no reference.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("text", "lang").filter("text is not null and lang is not null")
-    schema = "lang string, word string, n long"
-    found = rows.mapInArrow(_summaries, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    likely = found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= 2 * common).select("word").distinct()
-    vocabulary = sorted(r["word"] for r in likely.collect())
+    found = rows.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    special = F.col("word").startswith(" ")
+    top = Window.partitionBy("lang", special).orderBy(F.col("n").desc(), "word")
     exact: dict[str, dict[str, int]] = {}
-    for r in rows.mapInArrow(_exact(vocabulary), schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+    for r in found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= common).select("lang", "word", "n").collect():
         exact.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    langs = sorted(k for k, own in exact.items() if own.get("\0words"))
-    own_words = {k: sorted((w for w in exact[k] if w[:1] != "\0"), key=lambda w: (-exact[k][w], w))[:common] for k in langs}
+    langs = sorted(k for k, own in exact.items() if own.get(" words"))
+    own_words = {k: sorted((w for w in exact[k] if w[:1] != " "), key=lambda w: (-exact[k][w], w))[:common] for k in langs}
     vocabulary = sorted({w for ws in own_words.values() for w in ws})
     index, groups = {w: i for i, w in enumerate(vocabulary)}, np.full((len(langs), len(vocabulary) + 1), GROUPS)
     words = np.zeros((len(langs), GROUPS + 1))
@@ -166,8 +152,8 @@ def learn(docs: DataFrame, common: int = COMMON) -> Reference:
         counts = [exact[lang][w] for w in own_words[lang]]
         groups[k, [index[w] for w in own_words[lang]]] = grouped(counts)
         words[k] = np.bincount(np.array(grouped(counts), int), counts, GROUPS + 1)
-        words[k, -1] = exact[lang]["\0words"] - sum(counts)
-    chars = np.array([[exact[k].get(f"\0class{i}", 0) for i in range(_CLASSES)] for k in langs], float)
+        words[k, -1] = exact[lang][" words"] - sum(counts)
+    chars = np.array([[exact[k].get(f" class{i}", 0) for i in range(_CLASSES)] for k in langs], float)
     return {"vocabulary": vocabulary, "groups": groups, "words": words, "chars": chars, "limits": limits(words)}
 
 
@@ -233,5 +219,6 @@ def judged(docs: DataFrame, ref: Reference) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents, and both distances."""
     docs = table(spark, sf_dir, "documents")
     return judged(docs, learn(docs))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bins_for, key_bin, random_key, source_key, table, written
+from lattica.llm.common import bins_for, random_key, source_key, spread, table, written
 
 SHARDS = 8
 SEED = "shard"
@@ -31,15 +31,25 @@ def interleave(docs: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) ->
 
     Returns doc_id, source, size (UTF-8 bytes plus 1; a null text has size 1 and CRC 0), text_crc32, shard, slot. Counts of the
     shards differ by one at most; slots have no gaps. Null sources form one source. Rows equal in doc_id are told apart by size
-    and CRC; fully equal rows are interchangeable. With fewer rows than shards some shards stay empty. Texts are not shuffled.
+    and CRC, then as they are written. With fewer rows than shards some shards stay empty. Texts are not shuffled.
     """
+    slim = docs.select(*_slim_columns()).withColumn("at", F.monotonically_increasing_id())
+    return _placed(written(slim, "shard-rows"), shards, per_bin).drop("at")
+
+
+def _slim_columns() -> list:
     text = F.col("text")
-    slim = docs.select("doc_id", "source", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    slim = written(slim, "shard-rows").withColumn("skey", source_key(F.col("source"))).withColumn("key", random_key(F.col("doc_id"), SEED))
+    return ["doc_id", "source", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32")]
+
+
+def _placed(slim: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) -> DataFrame:
+    """``interleave`` for ``slim(at, doc_id, source, size, text_crc32)``, a written table in which ``at`` numbers the rows."""
+    slim = slim.withColumn("skey", source_key(F.col("source"))).withColumn("key", random_key(F.col("doc_id"), SEED))
     total = slim.count()
     bins = bins_for(total, per_bin)
-    order = ["key", "doc_id", "size", "text_crc32"]
-    ranked = _numbered(slim.withColumn("__kbin", key_bin(F.col("key"), bins)), ["skey"], "__kbin", order, "rank")
+    order = ["key", "doc_id", "size", "text_crc32", "at"]
+    slim = spread(slim, bins, per_bin).withColumnRenamed("bin", "__kbin")
+    ranked = _numbered(slim, ["skey"], "__kbin", order, "rank")
     per_source = slim.groupBy("skey").agg(F.count(F.lit(1)).alias("source_rows"))
     fraction = (F.col("rank") + F.lit(0.5)) / F.col("source_rows")
     ranked = written(ranked.join(per_source, "skey").withColumn("fraction", fraction), "shard-ranks")
@@ -47,16 +57,30 @@ def interleave(docs: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) ->
     shard = F.expr(f"(pos * {shards}) div {max(total, 1)}")
     placed = placed.withColumn("shard", shard.cast("int"))
     slot = F.col("pos") - F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return placed.select("doc_id", "source", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+    return placed.select("at", "doc_id", "source", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs(doc_id, source, text, ...)``, text included, with size, text_crc32, shard and slot as in ``interleave``.
+
+    Rows are told apart by a number of their own, so documents that a mix repeats keep each their place. Columns of the names
+    made here are replaced. Null texts stay null; an empty table gives an empty one.
+    """
+    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    rows = written(docs.select(F.struct(*kept).alias("row")).withColumn("at", F.monotonically_increasing_id()), "shard-texts")
+    slim = written(rows.select("at", "row.*").select("at", *_slim_columns()), "shard-rows")
+    places = _placed(slim, shards).select("at", "size", "text_crc32", "shard", "slot")
+    return rows.join(places, "at").select(*[F.col(f"row.{c}") for c in kept], "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write ``docs`` (unique doc_ids) as one folder per shard, rows of a shard in slot order within each file."""
-    out = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Write ``sharded(docs)`` as one folder per shard, its rows in the order of slots within and across the files."""
+    out = written(sharded(docs, shards), "shards")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents, by the law ``rows``."""
     placed = interleave(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

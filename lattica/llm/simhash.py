@@ -59,9 +59,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(..., text)`` with fp (the 64 bits as a signed long) in place of the text."""
+    """``docs(..., text)`` with fp (the 64 bits as a signed long) in place of the text and of a column of that name."""
     small_batches(docs.sparkSession)
-    others = docs.drop("text")
+    others = docs.drop("text", "fp")
     return docs.select(*others.columns, "text").mapInArrow(_fingerprints, StructType([*others.schema.fields, StructField("fp", LongType())]))
 
 
@@ -99,16 +99,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
 
-    held: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.uint64))
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # batches whose last key may go on
     for batch in batches:
-        keys = np.concatenate([held[0], batch.column("key").to_numpy()])
-        fps = np.concatenate([held[1], batch.column("fp").to_numpy().view(np.uint64)])
+        keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
         at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        held = (keys[at:], fps[at:])
-        if at:
-            yield from links(keys[:at], fps[:at])
-    if len(held[0]):
-        yield from links(*held)
+        if at or held and len(keys) and held[-1][0][-1] != keys[0]:
+            before = [*held, (keys[:at], fps[:at])]
+            yield from links(np.concatenate([k for k, _ in before]), np.concatenate([f for _, f in before]))
+            held = []
+        if len(keys):
+            held.append((keys[at:], fps[at:]))
+    if held:
+        yield from links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -167,6 +169,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     out = components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

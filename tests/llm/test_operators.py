@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import decontam, html, langid, mixing, neardup, pii, quality, sharding, simhash, suffixdedup, windows
+from lattica.llm import common, decontam, html, langid, mixing, neardup, pii, quality, sharding, simhash, suffixdedup, windows
 from lattica.llm.common import word_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, bin string"
@@ -289,6 +289,83 @@ def test_rows_without_id(spark):
     clean = decontam.decontaminated(df, spark.createDataFrame(BENCH, "item_id long, text string"))
     assert clean.columns == df.columns
     assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows[:-1])
-    mixed = mixing.mixed(df.dropDuplicates(["text"]), word_count(F.col("text")))
-    want = mixing.mix(df.dropDuplicates(["text"]), word_count(F.col("text"))).agg(F.sum("taken")).first()[0]
-    assert mixed.select(F.sum(word_count(F.col("text")))).first()[0] >= want
+    mixed = mixing.mixed(df, word_count(F.col("text")))
+    want = mixing.mix(df, word_count(F.col("text"))).agg(F.sum("taken")).first()[0]
+    assert mixed.select(F.sum(word_count(F.col("text")))).first()[0] == want
+
+
+def test_many_rows_without_id_are_dealt_out(spark):
+    """Rows that lack an id or share one don't meet in one bin, and budgets and shards stay exact."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"), F.col("id").alias("at"))
+    bins = common.spread(rows.withColumn("key", common.random_key(F.col("doc_id"), "x")), 60, 100).groupBy("bin").count().agg(F.max("count"), F.count("*")).first()
+    assert bins[0] < 200 and bins[1] == 60
+    got = mixing.mix(rows, word_count(F.col("text")), per_bin=100)
+    assert got.agg(F.sum("taken"), F.first("target")).first() == (27000, 27000.0)
+    counts = sharding.interleave(rows, 4, per_bin=100).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("m"), F.max("slot").alias("top")).collect()
+    assert [(r.n, r.m, r.top) for r in counts] == [(1500, 1500, 1499)] * 4
+
+
+def test_many_contaminated_rows_without_id(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(BENCH[0][1] + " "), F.col("id").cast("string")).alias("text"))
+    assert decontam.contamination(docs, spark.createDataFrame(BENCH, "item_id long, text string")).agg(F.sum("n_hit")).first()[0] == 4000 * 14
+
+
+def test_samples_at_any_size(spark):
+    """The share of a made-up count is never zero, and follows the count."""
+    one = spark.range(1).select(langid.share(F.lit(10**11), 4000).alias("s"), common.chance(F.lit(1), F.lit("t"), F.lit("x")).alias("c")).first()
+    assert one.s == pytest.approx(4e-8) and 0 <= one.c <= 1
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert 300 < common.sampled(docs, 20000, 400, "x").count() < 500
+    assert common.sampled(docs, 10**11, 400, "x").count() == 0
+
+
+def test_shards_hold_their_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 3 if i % 4 else None, f"t{i // 2}" if i else None, "ab"[i % 2], i) for i in range(23)], "doc_id long, text string, source string, size long")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(repr(r.text) for r in got.collect()) == sorted(repr(r.text) for r in docs.collect())
+    slots = {}
+    for r in got.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 4
+    assert sharding.sharded(docs.limit(0)).count() == 0
+
+
+def test_language_by_naive_bundling(spark):
+    """Cosines against letter vectors bound and bundled one n-gram at a time; without labels texts with letters stay."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("The cat, the hat", "en"), ("le chat est là", "fr"), ("one more line here", "en"), ("Été à Paris", "fr"), ("a", "en"), ("12 !", "fr"), (None, "en"), ("that cat", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    space = langid.Space()
+
+    def naive(text):
+        line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        total = np.zeros(langid.DIM)
+        for p in range(len(line) - 2):
+            total += np.prod([np.roll(space.letter(ord(c)), 2 - k) for k, c in enumerate(line[p : p + 3])], axis=0)
+        return total
+
+    langs, proto = langid.learn(df.filter("lang is not null"))
+    want = {}
+    for lang in ("en", "fr"):
+        own = sum(naive(t) for _, t, k in rows if k == lang and t and any(map(str.isalpha, t)))
+        want[lang] = own / np.linalg.norm(own)
+        assert np.allclose(proto[langs.index(lang)], want[lang])
+    for r in langid.predict(df.select("doc_id", "text"), (langs, proto)).collect():
+        t = rows[r.doc_id][1]
+        if t and any(map(str.isalpha, t)):
+            v = naive(t)
+            cos = {k: w @ v / np.linalg.norm(v) for k, w in want.items()}
+            assert r.lang_pred == max(cos, key=cos.get) and abs(r.score - max(0, max(cos.values()))) < 1e-5
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in langid.identified(bare).collect()} == {0, 1, 2, 3, 4, 7}
+    clash = langid.predict(df.select("doc_id", "text", F.lit(1).alias("score")), (langs, proto))
+    assert clash.columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").filter("held_out and lang is not null and n >= 40")
+    right, all_ = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right >= 0.97 * all_
