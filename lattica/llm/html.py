@@ -2,8 +2,9 @@
 
 Paragraphs pass points for length and commas to their ancestors, half as many to the second and fewer further up; an
 ancestor's points are discounted by the part of its text inside links. The best container, with the siblings that belong to
-it, is the article; its blocks in page order are the text. What can't be content by its element or by a name in its class, id
-or role is left out of the tree.
+it, is the article; its blocks in page order are the text. Elements that are no article text (menus, forms, asides) are left
+out of the tree; a name in class, id or role only tells against a part of the page, and a part that holds most of the page's
+text stays whatever its name.
 """
 
 from __future__ import annotations
@@ -19,101 +20,135 @@ from lattica.llm.common import by_value, small_batches, table
 
 by_value(__name__)
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag: without quotes, or with quoted values after "="; a quote elsewhere, or one that nothing closes, is a character.
+_PLAIN = re.compile(r"""([^>"']*+)>""")
+_QUOTED = re.compile(r"""((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>"'=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_COMMENT_END = re.compile(r"--!?>")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAMES = re.compile(r"[A-Za-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea title iframe noembed noframes xmp noscript template nav footer aside form button select option datalist dialog menu svg math canvas object audio video head map fieldset".split())
+DROPPED = frozenset("noscript template nav footer aside form button select option datalist dialog menu svg math canvas object audio video head map fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd li div section article main".split())
-#: Words of class, id and role names of what is no article text.
+#: Words of class, id and role names that tell against a part of the page.
 UNLIKELY = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer header login masthead menu modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies dialog footer header login masthead menu modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+COMMENTS = frozenset("comment comments disqus replies".split())
 #: An open element that a start tag of the key's kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LEAST = 25  # characters of a paragraph that gives points
 
 
 class Node:
-    __slots__ = ("above", "children", "links", "points", "size", "tag")
+    __slots__ = ("above", "children", "closed", "commas", "inline", "kind", "links", "net", "points", "size", "tag")
 
-    def __init__(self, tag: str, above: Node | None) -> None:
-        self.tag, self.above = tag, above
+    def __init__(self, tag: str, above: Node | None, kind: str = "") -> None:
+        self.tag, self.above, self.kind, self.closed = tag, above, kind, False
         self.children: list = []  # Nodes and texts
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.points, self.size, self.links, self.net = 0.0, 0, 0, 0
+        self.commas = self.inline = 0  # of the text that is not in blocks below
 
 
-def dropped(tag: str, attributes: str, inside_article: bool) -> bool:
+def kind_of(tag: str, attributes: str, inside_article: bool) -> str:
+    """``dropped`` for what is no article text by its element or is hidden, ``comments`` or ``unlikely`` by its names, or empty."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return "dropped"
+    if not attributes or tag in ("html", "body"):
+        return ""
+    kind = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and not UNLIKELY.isdisjoint(x.lower() for x in _NAMES.findall(value)):
-            return True
-        if name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes, re.I))
+        if name == "hidden" or name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
+            return "dropped"
+        if name in ("class", "id", "role"):
+            words = {x.lower() for x in _NAMES.findall(value)}
+            if not COMMENTS.isdisjoint(words):
+                kind = "comments"
+            elif not kind and not UNLIKELY.isdisjoint(words):
+                kind = "unlikely"
+    return kind
+
+
+def tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, whether it closes, attributes) of each tag, the last with an empty name. Comments and what is inside
+    raw elements are left out, and so is a tag that the page doesn't end. Each character is looked at a bounded number of times."""
+    at, text, last, quotes = 0, [], html.rfind(">"), True
+    while True:
+        begin = html.find("<", at)
+        if begin < 0:
+            yield "".join([*text, html[at:]]), "", False, ""
+            return
+        text.append(html[at:begin])
+        m = _NAME.match(html, begin + 1)
+        if m and m.end() <= last:
+            rest = _PLAIN.match(html, m.end()) or quotes and _QUOTED.match(html, m.end())
+            if not rest:
+                quotes = False
+                rest = re.compile("([^>]*+)>").match(html, m.end())
+            tag, at = m[2].lower(), rest.end()
+            if not m[1] and tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+                at = (html.find(">", end.start()) + 1 or len(html)) if end else len(html)
+                continue
+            yield "".join(text), tag, bool(m[1]), rest[1]
+            text = []
+        elif m:
+            at = len(html)
+        elif html.startswith("<!--", begin):
+            end = _COMMENT_END.search(html, begin + 2)
+            at = end.end() if end else len(html)
+        elif html[begin + 1 : begin + 2] in ("!", "?", "/"):
+            at = html.find(">", begin) + 1 or len(html)
+        else:
+            text.append("<")
+            at = begin + 1
 
 
 def parse(html: str) -> Node:
-    """Tree of what may be content. Unclosed and crossed tags are mended as browsers do in the main: a block start closes an open
-    paragraph with all that is in it, an end tag closes up to its element, and without one is void."""
+    """Tree of the page. Unclosed and crossed tags are mended as browsers do in the main: a block start closes an open paragraph
+    with all that is in it, an end tag closes up to its element, and without one is void."""
     root = Node("html", None)
-    stack, at, skip, articles, paragraphs = [root], 0, 0, 0, 0
+    stack, articles = [root], 0
     open_tags: dict[str, int] = {}
-    skipped: list[str] = []
 
-    def pop() -> None:
-        nonlocal articles, paragraphs
+    def pop() -> Node:
+        nonlocal articles
         gone = stack.pop()
         open_tags[gone.tag] -= 1
         articles -= gone.tag in ("article", "main")
-        paragraphs -= gone.tag == "p"
+        return gone
 
-    while True:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start() if m else len(html)]
-        if text and not skipped:
+    def close(tag: str) -> None:
+        while stack[-1].tag != tag:
+            pop()
+        pop().closed = True
+
+    for text, tag, closing, attributes in tags(html):
+        if text:
             stack[-1].children.append(unescape(text) if "&" in text else text)
-        if not m:
-            return root
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
         if not tag:
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not closing and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-            at = (html.find(">", end.start()) + 1 or len(html)) if end else len(html)
-            continue
-        if skipped:
-            if tag not in VOID and tag == skipped[0]:
-                skipped = skipped[1:] if closing else [tag, *skipped]
-            continue
+            return root
         if closing:
             if open_tags.get(tag):
-                while stack[-1].tag != tag:
-                    pop()
-                pop()
+                close(tag)
             continue
         if tag == "br":
             stack[-1].children.append("\n")
             continue
-        if tag in BLOCKS and paragraphs:
-            while stack[-1].tag != "p":
-                pop()
-            pop()
+        if tag in BLOCKS or tag == "body":
+            for open_tag in ("head", "p"):
+                if open_tags.get(open_tag):
+                    close(open_tag)
         if tag in CLOSES:
             for k in range(len(stack) - 1, max(len(stack) - 8, 0), -1):
                 if stack[k].tag in CLOSES[tag]:
                     while len(stack) > k:
-                        pop()
+                        pop().closed = True
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
@@ -121,18 +156,44 @@ def parse(html: str) -> Node:
             if tag == "hr":
                 stack[-1].children.append(Node("hr", stack[-1]))
             continue
-        if dropped(tag, attributes, articles > 0):
-            skipped = [tag]
-            # a dropped block still parts the text around it
-            if tag in BLOCKS:
-                stack[-1].children.append(Node("hr", stack[-1]))
-            continue
-        node = Node(tag, stack[-1])
+        node = Node(tag, stack[-1], kind_of(tag, attributes, articles > 0))
         stack[-1].children.append(node)
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1
         articles += tag in ("article", "main")
-        paragraphs += tag == "p"
+    return root
+
+
+def prune(root: Node) -> None:
+    """Take out what is no article text. Text outside links decides: an unlikely part, or an element that was never closed, goes
+    unless it holds half of the page's and no article is elsewhere; comments go unless there is next to nothing else; if nothing would stay, names don't count."""
+    nodes = _order(root)
+    inside, articles, around = {}, {}, {id(root): 0}
+    for node in reversed(nodes):
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        below = [c for c in node.children if isinstance(c, Node)]
+        inside[id(node)] = 0 if node.tag == "a" else own + sum(inside[id(c)] for c in below)
+        node.net = 0 if node.tag == "a" else own + sum(c.net for c in below if not (c.kind == "dropped" and c.closed or c.kind == "comments"))
+        articles[id(node)] = sum(articles[id(c)] for c in below) + (node.tag in ("article", "main") and node.net > 0)
+    for node in nodes[1:]:
+        around[id(node)] = around[id(node.above)] + (node.above.tag in ("article", "main") and node.above.net > 0)
+    total = root.net
+
+    def goes(c: Node, names: bool) -> bool:
+        if c.kind == "dropped" and c.closed:
+            return True
+        if c.kind == "comments":
+            return names and 10 * total >= inside[id(c)]
+        return (c.kind == "dropped" or names and c.kind == "unlikely") and (2 * c.net < total or articles[id(root)] > articles[id(c)] + around[id(c)])
+
+    left = {}
+    for node in reversed(nodes):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        left[id(node)] = own + sum(left[id(c)] for c in node.children if isinstance(c, Node) and not goes(c, True))
+    names = left[id(root)] > 0
+    for node in nodes:
+        # a dropped block still parts the text around it
+        node.children = [Node("hr" if c.tag in BLOCKS else "span", node) if isinstance(c, Node) and goes(c, names) else c for c in node.children]
 
 
 def _order(root: Node) -> list[Node]:
@@ -146,27 +207,28 @@ def _order(root: Node) -> list[Node]:
 def score(root: Node) -> list[Node]:
     """Set size, links and points of all nodes; gives those with points."""
     nodes = _order(root)
-    inline: dict[int, list[str]] = {}
     for node in reversed(nodes):
-        own = [c for c in node.children if isinstance(c, str)]
-        node.size += sum(len(" ".join(c.split())) for c in own)
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += (n := len(" ".join(c.split())))
+                node.inline += n
+                node.commas += c.count(",") + c.count("、") + c.count("，")
         if node.tag == "a":
             node.links = node.size
         if node.above is not None:
             node.above.size += node.size
             node.above.links += node.links
             if node.tag not in BLOCKS:
-                inline.setdefault(id(node.above), []).extend([*own, *inline.pop(id(node), [])])
-        if node.tag in PARAGRAPHS:
-            text = " ".join(" ".join([*own, *inline.pop(id(node), [])]).split())
-            if len(text) >= LEAST:
-                points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
-                up, depth = node.above or node, 1
-                if node.tag in ("div", "section", "article", "main"):
-                    up = node
-                while up is not None and depth <= 5:
-                    up.points += points / depth if depth < 3 else points / (3 * depth)
-                    up, depth = up.above, depth + 1
+                node.above.inline += node.inline
+                node.above.commas += node.commas
+        if node.tag in PARAGRAPHS and node.inline >= LEAST:
+            points = 1 + node.commas + min(node.inline / 100, 3)
+            up, depth = node.above or node, 1
+            if node.tag in ("div", "section", "article", "main"):
+                up = node
+            while up is not None and depth <= 5:
+                up.points += points / depth if depth < 3 else points / (3 * depth)
+                up, depth = up.above, depth + 1
     return [n for n in nodes if n.points > 0]
 
 
@@ -182,9 +244,11 @@ def content(root: Node) -> list[Node]:
         return articles[:1] or [root]
     value = {id(n): n.points * (1 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: value[id(n)])
-    up = best
+    # an article around the best container stays whole if what it adds is no heap of links
+    mass = lambda n: (n.size - n.links) * (1 - _density(n))
+    up, least = best, mass(best)
     while up is not None:
-        if up.tag in ("article", "main"):
+        if up.tag in ("article", "main") and mass(up) >= least:
             best = up
         up = up.above
     if best.above is None or best.tag == "body":
@@ -205,9 +269,11 @@ def content(root: Node) -> list[Node]:
 
 
 def blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks, white space made one space. Lists and tables that are mostly links are left out."""
+    """Texts of the blocks, white space made one space. Where the whole page is the container, lists and tables that are mostly
+    links are left out, as they are menus there."""
     out: list[str] = []
     run: list[str] = []
+    whole = any(n.tag in ("html", "body") for n in nodes)
 
     def flush() -> None:
         text = " ".join("".join(run).split())
@@ -223,7 +289,7 @@ def blocks(nodes: list[Node]) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         else:
-            if x.tag in ("ul", "ol", "table", "dl") and x.size and _density(x) > 0.6:
+            if whole and x.tag in ("ul", "ol", "table", "dl") and x.size and _density(x) > 0.6:
                 continue
             inside = list(reversed(x.children))
             todo += [None, *inside, None] if x.tag in BLOCKS else inside
@@ -233,7 +299,11 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 def extract(html: str | None) -> str:
     """Main text of a page; empty if there is none, as for null and empty pages."""
-    return "\n".join(blocks(content(parse(html)))) if html else ""
+    if not html:
+        return ""
+    root = parse(html)
+    prune(root)
+    return "\n".join(blocks(content(root)))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,4 +320,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all pages."""
     return extracted(table(spark, sf_dir, "pages"))
