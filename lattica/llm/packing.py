@@ -2,17 +2,19 @@
 
 Consecutive windows of a text with the same minimiser value form one string (a super-k-mer). Windows that are equal have equal
 minimisers, so they meet in one bucket. A task sends each distinct string once, with all places where it saw it, in one
-compressed block for each bucket: large groups of copies are combined before the shuffle.
+compressed block for each bucket. Of the places of a string it sends on only the earliest: the others repeat it, whatever else
+there is, so their spans are settled in the task. A string that a third of all rows have thus costs a bucket one place a task.
+Buckets and partitions follow the bytes of the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import by_value
@@ -24,11 +26,16 @@ HELD_BYTES = 32 << 20
 #: Longer runs of windows are cut; any cut will do, as all parts go to the same bucket.
 LONGEST_RUN = 512
 NO_ID = (1 << 63) - 1
+#: Bytes of text for each bucket and each shuffle partition, and the most partitions.
+BUCKET_BYTES, PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 64 << 20, 50_000
 
 
 class Packer:
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.zip = buckets, zstandard.ZstdCompressor(level=9)
+    """``units`` gives the length of a string in units of text; with ``within``, a place repeats an earlier one of the same
+    document too, else only places of earlier documents."""
+
+    def __init__(self, buckets: int, units: Callable[[bytes], int], within: bool) -> None:
+        self.buckets, self.units, self.within, self.zip = buckets, units, within, zstandard.ZstdCompressor(level=9)
         self.clear()
 
     def clear(self) -> None:
@@ -45,18 +52,41 @@ class Packer:
         self.held += 40
         self.places.append((i, doc, key, start))
 
+    def earliest(self, places: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, tuple[list[int], list[bytes]]]:
+        """The earliest places of each string, and blocks, dealt by document, with the spans of the others."""
+        rank = np.lexsort((places[:, 3], places[:, 1], places[:, 0])) if self.within else np.lexsort((places[:, 1], places[:, 0]))
+        places = places[rank]
+        new = np.concatenate(([True], places[1:, 0] != places[:-1, 0]))
+        first = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = places[:, 1] > first[:, 1]
+        if self.within:
+            later |= places[:, 3] > first[:, 3]
+        gone = places[later]
+        out: tuple[list[int], list[bytes]] = ([], [])
+        if len(gone):
+            size = np.array([self.units(strings[i]) for i in gone[:, 0].tolist()], np.int64)
+            home = gone[:, 1] % self.buckets
+            order = np.argsort(home, kind="stable")
+            gone, size, home = gone[order], size[order], home[order]
+            edges = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                columns = [np.array([0, b - a], np.int32), np.diff(gone[a:b, 1], prepend=0), gone[a:b, 2], gone[a:b, 3], size[a:b]]
+                out[0].append(int(home[a]))
+                out[1].append(self.zip.compress(b"".join(c.tobytes() for c in columns)))
+        return places[~later], out
+
     def blocks(self) -> Iterator[pa.RecordBatch]:
         if not self.minis:
             return
         minis = np.array(self.minis, np.uint64)
         home = (minis % np.uint64(self.buckets)).astype(np.int64)
-        places = np.array(self.places, np.int64)
         strings = list(self.ids)
+        places, settled = self.earliest(np.array(self.places, np.int64), strings)
         order, place_home = np.argsort(home, kind="stable"), home[places[:, 0]]
         local = np.empty(len(home), np.int64)
         by_place = np.argsort(place_home, kind="stable")
         cut, place_cut = np.searchsorted(home[order], range(self.buckets + 1)), np.searchsorted(place_home[by_place], range(self.buckets + 1))
-        out: tuple[list[int], list[bytes]] = ([], [])
+        out: tuple[list[int], list[bytes]] = settled
         for b in np.unique(home).tolist():
             own, at = order[cut[b] : cut[b + 1]], places[by_place[place_cut[b] : place_cut[b + 1]]]
             local[own] = np.arange(len(own))
@@ -72,15 +102,21 @@ class Packer:
         self.clear()
 
 
-def unpack(blocks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct strings of a bucket, 32 bits of their minimisers, and places (string, doc, key, start) of them."""
+def unpack(blocks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct strings of a bucket, 32 bits of their minimisers, places (string, doc, key, start) of them, and settled spans
+    (doc, key, first, end)."""
     ids: dict[bytes, int] = {}
     minis: list[np.ndarray] = []
     places: list[np.ndarray] = []
+    settled: list[np.ndarray] = [np.empty((0, 4), np.int64)]
     for block in blocks:
         data = zstandard.ZstdDecompressor().decompress(block)
         n, m = np.frombuffer(data, np.int32, 2).tolist()
         at = 8
+        if not n:
+            doc, key, start, size = np.frombuffer(data, np.int64, 4 * m, at).reshape(4, m)
+            settled.append(np.column_stack([np.cumsum(doc), key, start, start + size]))
+            continue
         cols = []
         for kind, count in ((np.int32, n), (np.uint32, n), (np.int32, m), (np.int64, m), (np.int64, m), (np.int32, m)):
             cols.append(np.frombuffer(data, kind, count, at))
@@ -95,7 +131,8 @@ def unpack(blocks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
             at += size
         minis.append(mini[new])
         places.append(np.column_stack([own[np.cumsum(which)], np.cumsum(doc), key, start.astype(np.int64)]))
-    return list(ids), np.concatenate(minis), np.concatenate(places)
+    gone = np.concatenate(settled)
+    return list(ids), np.concatenate(minis or [np.empty(0, np.uint32)]), np.concatenate(places or [np.empty((0, 4), np.int64)]), [gone[:, i] for i in range(4)]
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -136,7 +173,7 @@ REMOVED = "doc long, key long, span long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (a null id is the largest), key (tells rows of the same id apart by text; 0 if no id repeats) and text.
+    """doc (a null id is the largest; ids are whole numbers), key (tells rows of the same id apart by text; 0 if no id repeats) and text.
 
     A hash doesn't compress and goes with every string, so one look at the ids first saves a good part of the exchange.
     """
@@ -152,9 +189,18 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(lists, ["doc", "key"], "left").select("doc_id", "text", "spans")
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Two buckets for each shuffle partition, which the cluster sets in proportion to its data."""
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def counts(text_bytes: int, partitions: int) -> tuple[int, int]:
+    """Buckets and shuffle partitions for so many bytes of text: at least what the session sets, more where the text is large."""
+    parts = max(partitions, min(-(-text_bytes // PARTITION_BYTES), MOST_PARTITIONS))
+    return max(2 * parts, -(-text_bytes // BUCKET_BYTES)), parts
+
+
+def in_buckets(rows: DataFrame, pack: Callable[[int], Callable], bucket: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Spans (doc, key, span) that ``bucket`` finds in the blocks of each bucket, made by ``pack(buckets)``."""
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets, parts = counts(total, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = rows.select("doc", "key", "text").mapInArrow(pack(buckets), "bucket int, block binary")
+    return blocks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, REMOVED)
 
 
 def mask(n: int, spans: list[int] | None) -> np.ndarray:
@@ -165,5 +211,3 @@ def mask(n: int, spans: list[int] | None) -> np.ndarray:
     step = np.bincount(s >> 32, minlength=n + 1)[: n + 1].astype(np.int64) - np.bincount(s & 0xFFFFFFFF, minlength=n + 1)[: n + 1]
     return np.cumsum(step)[:n] > 0
 
-
-_ = Column

@@ -1,9 +1,10 @@
 """Exact substring deduplication of 100-byte strings with suffix arrays.
 
 Stretches of text are dealt to buckets by the minimiser of their 100-byte windows, so equal windows meet. Stretches whose
-minimiser occurs once can't repeat and stop there. The others form shards of bounded size. A shard's suffix array comes from
+minimiser occurs once can't repeat and stop there. The others form shards of bounded size, cut between minimisers. A shard's suffix array comes from
 Larsson-Sadakane refinement, its common prefixes from Kasai's rule run in lock step over the shard's strings; neighbours with a
-common prefix of 100 bytes are the same window. Shards of one bucket are merged by binary search of windows in sorted windows.
+common prefix of 100 bytes are the same window. Where one minimiser's stretches fill several shards, these are merged by binary
+search of windows in sorted windows.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Minimisers:
 
 def _pack(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, minimisers = packing.Packer(buckets), Minimisers()
+        packer, minimisers = packing.Packer(buckets, len, within=True), Minimisers()
         for b in batches:
             for doc, key, text in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 data = text.as_py().encode()
@@ -184,22 +185,45 @@ def repeats(string: bytes) -> bool:
     return n > LENGTH - UNIT + 1 or n > 1 and string.find(string[n - 1 : LENGTH], n) >= 0
 
 
+def parts(chosen: np.ndarray, minis: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """The strings ``chosen`` by minimiser, dealt to parts of about ``most`` bytes. A part ends between minimisers; only the
+    strings of one that alone is larger go to several parts, which hold nothing else."""
+    chosen = chosen[np.argsort(minis[chosen], kind="stable")]
+    edges = np.flatnonzero(np.concatenate(([True], minis[chosen][1:] != minis[chosen][:-1], [True]))) if len(chosen) else np.zeros(1, int)
+    out, held, total = [], [], 0
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = chosen[a:b]
+        n = int(size[own].sum())
+        if held and total + n > most:
+            out.append(np.concatenate(held))
+            held, total = [], 0
+        if n > most:
+            out += [x for x in np.split(own, np.flatnonzero(np.diff(np.cumsum(size[own]) // most, prepend=0))) if len(x)]
+        else:
+            held.append(own)
+            total += n
+    return [*out, np.concatenate(held)] if held else out
+
+
 def find(blocks: list[bytes], shard_bytes: int = SHARD_BYTES) -> pa.Table:
     """Spans of bytes of one bucket to remove."""
-    strings, minis, places = packing.unpack(blocks)
+    strings, minis, places, settled = packing.unpack(blocks)
+    if not strings:
+        return packing.removed(settled[:1], settled[2:3], settled[3:], settled[1:2])
     ids, rank = np.unique(places[:, 1], return_inverse=True)
     spot = rank << 32 | places[:, 3]
     first = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(first, places[:, 0], spot)
     size = np.array([len(s) for s in strings])
     later = places[spot > first[places[:, 0]]]
-    docs, keys, firsts, ends = [later[:, 1]], [later[:, 2]], [later[:, 3]], [later[:, 3] + size[later[:, 0]]]
+    docs, keys, firsts, ends = [settled[0], later[:, 1]], [settled[1], later[:, 2]], [settled[2], later[:, 3]], [settled[3], later[:, 3] + size[later[:, 0]]]
     chosen = packing.several(minis)
     chosen = np.flatnonzero(chosen | np.array([not c and repeats(s) for s, c in zip(strings, chosen.tolist(), strict=True)], bool))
-    cuts = np.flatnonzero(np.diff(np.cumsum(size[chosen]) // shard_bytes, prepend=0))
-    shards = [(part, Shard([strings[g] for g in part.tolist()], first[part])) for part in np.split(chosen, cuts) if len(part)]
-    for i, (_, a) in enumerate(shards):
-        for _, b in shards[i + 1 :]:
+    shards = [(part, Shard([strings[g] for g in part.tolist()], first[part])) for part in parts(chosen, minis, size, shard_bytes)]
+    for i, (own, a) in enumerate(shards):
+        for other, b in shards[i + 1 :]:
+            if minis[own[-1]] != minis[other[0]]:
+                break
             a.merge(b)
     head = places[spot == first[places[:, 0]]]
     head = head[np.argsort(head[:, 0], kind="stable")]
@@ -242,12 +266,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     and keep alike. A null doc_id counts as the largest. Removed runs may cut a character, so what is kept is binary.
     """
     small_batches(docs.sparkSession)
-    rows, buckets = packing.keyed(docs), packing.bucket_count(docs)
-    blocks = rows.select("doc", "key", "text").mapInArrow(_pack(buckets), "bucket int, block binary")
-    spans = blocks.groupBy("bucket").applyInArrow(_bucket, packing.REMOVED)
+    rows = packing.keyed(docs)
+    spans = packing.in_buckets(rows, _pack, _bucket)
     kind = dict(docs.dtypes)["doc_id"]
     return packing.with_spans(rows, spans).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")

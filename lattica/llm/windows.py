@@ -47,7 +47,7 @@ def minimisers(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _pack(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, cache = packing.Packer(buckets), Hashes()
+        packer, cache = packing.Packer(buckets, lambda s: s.count(b" ") + 1, within=False), Hashes()
         for b in batches:
             for doc, key, text in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 words = text.as_py().encode().split()
@@ -71,12 +71,14 @@ def _ranks(a: np.ndarray, step: int) -> np.ndarray:
 
 def find(blocks: list[bytes]) -> pa.Table:
     """Spans of words of one bucket to remove."""
-    strings, minis, places = packing.unpack(blocks)
+    strings, minis, places, settled = packing.unpack(blocks)
+    if not strings:
+        return packing.removed(settled[:1], settled[2:3], settled[3:], settled[1:2])
     least = np.full(len(strings), packing.NO_ID)
     np.minimum.at(least, places[:, 0], places[:, 1])
     wins = np.array([s.count(b" ") for s in strings]) + 2 - WINDOW
     later = places[places[:, 1] > least[places[:, 0]]]
-    docs, keys, firsts, ends = [later[:, 1]], [later[:, 2]], [later[:, 3]], [later[:, 3] + wins[later[:, 0]] + WINDOW - 1]
+    docs, keys, firsts, ends = [settled[0], later[:, 1]], [settled[1], later[:, 2]], [settled[2], later[:, 3]], [settled[3], later[:, 3] + wins[later[:, 0]] + WINDOW - 1]
     chosen = np.flatnonzero(packing.several(minis))
     if len(chosen):
         ids: dict[bytes, int] = {}
@@ -133,14 +135,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     from each other; each is judged by its own text. A null doc_id counts as the largest. Windows never cross documents.
     """
     small_batches(docs.sparkSession)
-    rows, buckets = packing.keyed(docs), packing.bucket_count(docs)
-    blocks = rows.select("doc", "key", "text").mapInArrow(_pack(buckets), "bucket int, block binary")
-    spans = blocks.groupBy("bucket").applyInArrow(_bucket, packing.REMOVED)
+    rows = packing.keyed(docs)
+    spans = packing.in_buckets(rows, _pack, _bucket)
     kind = dict(docs.dtypes)["doc_id"]
     return packing.with_spans(rows, spans).mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontam, html, langid, mixing, neardup, pii, quality, sharding, simhash, suffixdedup, windows
+from lattica.llm import common, decontam, html, langid, mixing, neardup, packing, pii, quality, sharding, simhash, suffixdedup, windows
 from lattica.llm.common import word_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, bin string"
@@ -119,6 +119,52 @@ def test_suffix_array_and_shards():
     assert np.concatenate([p.first[p.classes] for p in parts]).tolist() == whole.first[whole.classes].tolist()
 
 
+def test_parts_end_between_minimisers():
+    rng = np.random.default_rng(1)
+    minis, size = rng.integers(0, 40, 500), rng.integers(100, 200, 500)
+    minis[:200] = 7
+    got = suffixdedup.parts(np.arange(500), minis, size, 3000)
+    assert sorted(np.concatenate(got).tolist()) == list(range(500))
+    assert all(size[p].sum() <= 3200 or len(set(minis[p])) == 1 for p in got)
+    homes = [{i for i, p in enumerate(got) if m in minis[p]} for m in range(40)]
+    assert len(homes[7]) > 5 and all(set(minis[got[i]]) == {7} for i in homes[7]) and all(len(h) <= 1 or m == 7 for m, h in enumerate(homes) if size[minis == m].sum() <= 3000)
+    assert suffixdedup.parts(np.arange(0), minis, size, 10) == []
+
+
+def test_buckets_follow_the_bytes():
+    assert packing.counts(10, 4) == (8, 4)
+    buckets, parts = packing.counts(10**14, 200)
+    assert 10**14 / buckets <= packing.BUCKET_BYTES and parts == packing.MOST_PARTITIONS
+    assert packing.counts(30 * 10**9, 200)[1] > 400
+
+
+@pytest.mark.parametrize("held", [1, 4000])
+def test_copies_settled_in_the_task(spark, monkeypatch, held):
+    """Many copies of a passage, with blocks sent at once or after many strings, against brute force."""
+    monkeypatch.setattr(packing, "HELD_BYTES", held)
+    rnd = random.Random(6)
+    words = lambda n: " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randint(0, 99)) for _ in range(n))
+    passage = words(30)
+    rows = [(rnd.randint(0, 30), words(rnd.randint(0, 20)) + " " + passage + " " + words(rnd.randint(0, 3)) + " " + (passage if rnd.random() < 0.3 else "")) for _ in range(60)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, got = set(), by_id(suffixdedup.deduplicated(df))
+    for i, t in sorted(rows):
+        b, gone = t.encode(), set()
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone |= set(range(s, s + 100))
+            seen.add(b[s : s + 100])
+        assert got[i].kept == bytes(x for k, x in enumerate(b) if k not in gone)
+    first, got = {}, by_id(windows.deduplicated(df))
+    for i, t in sorted(rows):
+        w, gone = split(t), set()
+        for s in range(len(w) - 12):
+            if first.setdefault(tuple(w[s : s + 13]), i) < i:
+                gone |= set(range(s, s + 13))
+        assert got[i].kept == " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
 def test_window_dedup(docs):
     got, first = by_id(windows.deduplicated(docs)), {}
     for i, t, *_ in corpus():
