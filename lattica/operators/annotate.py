@@ -48,12 +48,13 @@ def regulators(crm: DataFrame, genes: DataFrame, window: int) -> DataFrame:
     """TF, gene, nTFs, edge, regulator for factors of intervals within ``window`` of a gene's start, both ends inclusive.
 
     The range join runs as an equality join on chromosome and bin with the band as residual, so no task holds a chromosome;
-    each (interval, gene) pair meets in the bins both cover and counts once, since factors form a set. Without a hit: empty.
+    each (interval, gene) pair meets in the bins both cover and counts once, since factors form a set. An interval that ends
+    before it starts counts if both its ends are within the window. Without a hit: empty.
     """
     width = max(1, BIN_SPANS * window)
     g = genes.select("chr", "gene_name", F.col("start").alias("tss"))
     g = g.withColumn("bin", F.explode(F.sequence(F.expr(f"floor((tss - {window}) / {width})"), F.expr(f"floor((tss + {window}) / {width})"))))
-    c = crm.filter("end >= start").select("chr", F.col("start").alias("lo"), F.col("end").alias("hi"), "TF_list_list")
+    c = crm.select("chr", F.col("start").alias("lo"), F.col("end").alias("hi"), "TF_list_list")
     c = c.withColumn("bin", F.explode(F.sequence(F.expr(f"floor(lo / {width})"), F.expr(f"floor(hi / {width})"))))
     near = (F.col("hi") >= F.col("tss") - window) & (F.col("lo") <= F.col("tss") + window)
     hits = c.join(g, ["chr", "bin"]).filter(near).select("gene_name", F.explode("TF_list_list").alias("TF")).distinct()

@@ -51,12 +51,9 @@ def top_edge_counts(grn: DataFrame, fractions: list[float], cells: DataFrame | N
 
 def annotate_global(grn: DataFrame, fractions: list[float], key_name: str = "global", nan_fill: int = 0) -> DataFrame:
     """All edges with one count column for each fraction, named {key_name}_cell_count_{te}."""
-    counts = top_edge_counts(grn, fractions)
-    out = edges_of(grn)
-    for te in fractions:
-        own = counts.filter(F.col("te") == te).select("source", "target", F.col("cell_count").alias(f"{key_name}_cell_count_{te}"))
-        out = out.join(own, ["source", "target"], "left")
-    return out.fillna(nan_fill)
+    wide = top_edge_counts(grn, fractions).groupBy("source", "target")
+    wide = wide.agg(*[F.max(F.when(F.col("te") == te, F.col("cell_count"))).alias(f"{key_name}_cell_count_{te}") for te in fractions])
+    return edges_of(grn).join(wide, ["source", "target"], "left").fillna(nan_fill)
 
 
 def annotate_clusters(grn: DataFrame, fractions: list[float], cells: DataFrame, nan_fill: int = 0) -> DataFrame:
@@ -99,11 +96,27 @@ def keep_edges(grn: DataFrame, edges: DataFrame) -> DataFrame:
     return grn.join(edges.select("source", "target"), ["source", "target"], "left_semi")
 
 
+def count_totals(wide: DataFrame) -> DataFrame:
+    """threshold, cluster, cell_count: sums of the columns cell_count_{te}_{cluster} of ``annotate_clusters``, one row for each."""
+    names = [c for c in wide.columns if c.startswith("cell_count_") and len(c.split("_")) == 4]
+    if not names:
+        raise KeyError("no columns cell_count_{te}_{cluster}")
+    sums = wide.agg(*[F.sum(f"`{c}`").alias(c) for c in names])
+    parts = [F.struct(F.lit(float(c.split("_")[2])).alias("threshold"), F.lit(c.split("_")[3]).alias("cluster"), F.col(f"`{c}`").alias("cell_count")) for c in names]
+    return sums.select(F.inline(F.array(*parts)))
+
+
 def genes_of(edges: DataFrame) -> DataFrame:
     """All names that are a source or a target."""
     return edges.select(F.col("source").alias("gene")).union(edges.select("target")).distinct()
 
 
+def ordered_names(genes: DataFrame, names: DataFrame, only: bool = True) -> DataFrame:
+    """``genes(gene_idx, gene)`` among the names, or all of them, in the order of gene_idx; ValueError if none is left."""
+    kept = filter_names(genes.select("gene"), names, only)
+    return genes.join(kept.select("gene"), "gene", "left_semi").select("gene_idx", "gene").orderBy("gene_idx")
+
+
 def filter_names(genes: DataFrame, names: DataFrame, only: bool = True) -> DataFrame:
     """Genes among the names (one column, any name), or all of them; ValueError if none is left."""
     if not only:

@@ -63,7 +63,8 @@ def hierarchical(expr: DataFrame, genes: list | None = None) -> tuple[DataFrame,
 
 
 def quantile_regression(x: np.ndarray, y: np.ndarray, q: float) -> tuple[float, float]:
-    """(intercept, slope) of the q-quantile line, by iteratively reweighted least squares."""
+    """(intercept, slope) of the q-quantile line: iteratively reweighted least squares, then the best line through two of the
+    points nearest to it, as an optimal line goes through two points."""
     a = np.column_stack([np.ones_like(x), x])
     beta = np.linalg.lstsq(a, y, rcond=None)[0]
     for _ in range(1000):
@@ -74,12 +75,29 @@ def quantile_regression(x: np.ndarray, y: np.ndarray, q: float) -> tuple[float,
         beta = new
         if done:
             break
-    return float(beta[0]), float(beta[1])
+    loss = lambda b: float((r := y - a @ b)[r >= 0].sum() * q - r[r < 0].sum() * (1 - q))
+    near = np.argsort(np.abs(y - a @ beta), kind="stable")[:24]
+    lines = [beta] + [np.array([y[i] - m * x[i], m]) for n, i in enumerate(near) for j in near[:n] if x[i] != x[j] for m in [(y[i] - y[j]) / (x[i] - x[j])]]
+    best = min(lines[1:] or lines, key=loss)
+    return float(best[0]), float(best[1])
+
+
+def below(pairs: DataFrame, cophenet: float) -> DataFrame:
+    """Pairs that meet below the distance; nulls drop."""
+    return pairs.filter(F.col("cophenet") < cophenet)
+
+
+def regression_points(pairs: DataFrame, cophenet_below: float, q: float = 0.1) -> DataFrame:
+    """The pairs below the distance with ``line``, the q-quantile line at their distance: what a plot of the fit shows."""
+    own = below(pairs, cophenet_below)
+    df = own.select("cophenet", "corr").toPandas()
+    intercept, slope = quantile_regression(df["cophenet"].to_numpy(), df["corr"].to_numpy(), q)
+    return own.withColumn("line", F.lit(intercept) + F.lit(slope) * F.col("cophenet"))
 
 
 def cutoff(pairs: DataFrame, cophenet_below: float, correlation: float = 0.6, q: float = 0.1) -> tuple[float | None, float, float]:
     """(cophenetic distance at which the q-quantile line reaches the correlation, None if it is flat; intercept; slope)."""
-    df = pairs.filter(F.col("cophenet") < cophenet_below).select("cophenet", "corr").toPandas()
+    df = below(pairs, cophenet_below).select("cophenet", "corr").toPandas()
     intercept, slope = quantile_regression(df["cophenet"].to_numpy(), df["corr"].to_numpy(), q)
     return (None if slope == 0 else (correlation - intercept) / slope), intercept, slope
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -33,13 +34,22 @@ def nearest(expr: DataFrame, k: int, block_cells: int = 2000) -> DataFrame:
             return pd.DataFrame({"cell_id": a["cell_id"][:0], "nbr_id": a["cell_id"][:0], "dist": []})
         b = b.sort_values("cell_id")
         x, y, ids = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["cell_id"].to_numpy()
-        out = []
-        for cell, row in zip(a["cell_id"], x, strict=True):
-            d = np.sqrt(((y - row) ** 2).sum(axis=1))
-            d[ids == cell] = np.inf
-            best = np.argsort(d, kind="stable")[: min(k, len(d))]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"cell_id": cell, "nbr_id": ids[best], "dist": d[best]}))
+        own, out = a["cell_id"].to_numpy(), []
+        norms = (y * y).sum(axis=1)
+        for at in range(0, len(x), 256):
+            part, names = x[at : at + 256], own[at : at + 256]
+            # products choose some more than k, whose exact distances then decide
+            rough = norms - 2 * part @ y.T
+            rough[names[:, None] == ids] = np.inf
+            more = min(k + 16, len(ids))
+            some = np.sort(np.argpartition(rough, more - 1, axis=1)[:, :more], axis=1)
+            d = np.sqrt(((y[some] - part[:, None]) ** 2).sum(axis=2))
+            d[names[:, None] == ids[some]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, best, axis=1).ravel()
+            nbr = ids[np.take_along_axis(some, best, axis=1)].ravel()
+            ok = np.isfinite(dist)
+            out.append(pd.DataFrame({"cell_id": np.repeat(names, best.shape[1])[ok], "nbr_id": nbr[ok], "dist": dist[ok]}))
         return pd.concat(out)
 
     near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, f"cell_id {kind}, nbr_id {kind}, dist double")
@@ -77,6 +87,19 @@ def add_mask(expr: DataFrame, edges: DataFrame, strict: bool = False, k: int = 1
     return mask, mask_support(edges, mask)
 
 
+def mask_frame(mask: DataFrame, cells: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell_id, edge_idx, source, target, b: every cell's mask of the edges of ``order(edge_idx, source, target)`` that the mask
+    has, 1 or 0; the edges of ``order`` that it lacks). Missing edges are reported, not made up."""
+    known = mask.select("source", "target").distinct()
+    kept = order.join(known, ["source", "target"], "left_semi")
+    missing = order.join(known, ["source", "target"], "left_anti")
+    if not missing.isEmpty():
+        warnings.warn("the mask lacks some of the edges", stacklevel=2)
+    on = mask.select("cell_id", "source", "target", F.lit(1).alias("b"))
+    out = kept.crossJoin(cells.select("cell_id")).join(on, ["cell_id", "source", "target"], "left").fillna(0, ["b"])
+    return out.select("cell_id", "edge_idx", "source", "target", "b"), missing
+
+
 def apply_mask(grn: DataFrame, mask: DataFrame) -> DataFrame:
     """Weights outside of the mask become 0."""
     keys = ["cell_id", "source", "target"]

@@ -38,37 +38,57 @@ def _lgamma_digamma(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gamma, np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r / 252)) - slope
 
 
+#: Activations inside the chains: value and derivative. Other names mean relu.
+ACTIVATIONS = {
+    "relu": (lambda a: np.maximum(a, 0), lambda a: (a > 0).astype(float)),
+    "leaky_relu": (lambda a: np.where(a > 0, a, 0.01 * a), lambda a: np.where(a > 0, 1.0, 0.01)),
+    "elu": (lambda a: np.where(a > 0, a, np.expm1(np.minimum(a, 0))), lambda a: np.where(a > 0, 1.0, np.exp(np.minimum(a, 0)))),
+    "sigmoid": (_sigmoid, lambda a: _sigmoid(a) * (1 - _sigmoid(a))),
+}
+
+
 class Model:
-    """Encoder (hidden, latent) and one decoder (hidden, genes) for each head, ReLU inside.
+    """An encoder chain (hidden sizes, latent) and one decoder chain (hidden sizes reversed, genes) for each head.
 
-    Heads: mu, theta and, zero-inflated, pi, all with softplus; a plain autoencoder has mu with ReLU.
+    ``hidden`` is a size or a list of sizes, which may be empty. Heads: mu, theta and, zero-inflated, pi, all with softplus; a
+    plain autoencoder has mu with ReLU.
     """
 
-    def __init__(self, genes: int, latent: int = 8, hidden: int = 64, kind: str = "ZINBAutoencoder", loss: str = "mse", seed: int = 0) -> None:
+    def __init__(self, genes: int, latent: int = 8, hidden: int | list[int] = 64, kind: str = "ZINBAutoencoder", loss: str = "mse", seed: int = 0, activation: str = "relu") -> None:
         if kind == "Autoencoder" and loss not in ("mse", "logcosh"):
             raise ValueError("loss must be mse or logcosh")
-        self.kind, self.loss_name = kind, loss
+        self.kind, self.loss_name, self.activation = kind, loss, activation.lower() if activation.lower() in ACTIVATIONS else "relu"
         self.heads = {"ZINBAutoencoder": ("mu", "theta", "pi"), "Autoencoder": ("mu",)}.get(kind, ("mu", "theta"))
+        hidden = [hidden] if isinstance(hidden, int) else list(hidden)
         rng = np.random.default_rng(seed)
-        layer = lambda i, o: (rng.uniform(-1, 1, (i, o)) / np.sqrt(i), np.zeros(o))
         self.p: dict[str, np.ndarray] = {}
-        sizes = [("e1", genes, hidden), ("e2", hidden, latent), *[x for h in self.heads for x in ((f"{h}1", latent, hidden), (f"{h}2", hidden, genes))]]
-        for name, i, o in sizes:
-            self.p[f"{name}w"], self.p[f"{name}b"] = layer(i, o)
+        self.layers = len(hidden) + 1
+        for chain, sizes in (("e", [genes, *hidden, latent]), *((h, [latent, *reversed(hidden), genes]) for h in self.heads)):
+            for k, (i, o) in enumerate(zip(sizes[:-1], sizes[1:], strict=True)):
+                self.p[f"{chain}{k}w"], self.p[f"{chain}{k}b"] = rng.uniform(-1, 1, (i, o)) / np.sqrt(i), np.zeros(o)
+
+    def _chain(self, name: str, x: np.ndarray, seen: dict, dropout: float = 0.0, rng=None) -> np.ndarray:
+        """What the last layer gives before its activation; ``seen`` keeps each layer's input, sums and dropout."""
+        for k in range(self.layers):
+            a = x @ self.p[f"{name}{k}w"] + self.p[f"{name}{k}b"]
+            keep = (rng.random(a.shape) >= dropout) / (1 - dropout) if dropout and rng is not None and k < self.layers - 1 else 1.0
+            seen[name, k] = (x, a, keep)
+            x = ACTIVATIONS[self.activation][0](a) * keep
+        return a
+
+    def _out(self, a: np.ndarray) -> np.ndarray:
+        return np.maximum(a, 0) if self.kind == "Autoencoder" else _softplus(a)
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.p["e1w"] + self.p["e1b"], 0) @ self.p["e2w"] + self.p["e2b"]
+        return self._chain("e", x, {})
 
     def forward(self, x: np.ndarray, dropout: float = 0.0, rng=None) -> dict:
-        p, c = self.p, {"x": x}
-        c["h"] = np.maximum(x @ p["e1w"] + p["e1b"], 0)
-        c["keep"] = (rng.random(c["h"].shape) >= dropout) / (1 - dropout) if dropout and rng is not None else 1.0
-        c["hd"] = c["h"] * c["keep"]
-        c["z"] = c["hd"] @ p["e2w"] + p["e2b"]
+        """x, z and each head's output; dropout follows every hidden activation."""
+        c: dict = {"x": x, "seen": {}}
+        c["z"] = self._chain("e", x, c["seen"], dropout, rng)
         for k in self.heads:
-            c[f"{k}h"] = np.maximum(c["z"] @ p[f"{k}1w"] + p[f"{k}1b"], 0)
-            c[f"{k}a"] = c[f"{k}h"] @ p[f"{k}2w"] + p[f"{k}2b"]
-            c[k] = np.maximum(c[f"{k}a"], 0) if self.kind == "Autoencoder" else _softplus(c[f"{k}a"])
+            c[f"{k}a"] = self._chain(k, c["z"], c["seen"], dropout, rng)
+            c[k] = self._out(c[f"{k}a"])
         return c
 
     def loss(self, c: dict) -> tuple[float, dict[str, np.ndarray]]:
@@ -101,36 +121,58 @@ class Model:
         return float(out.mean()), {"mu": dmu / y.size, "theta": dth / y.size, "pi": dpi / y.size}
 
     def gradients(self, c: dict, by: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        p, g, dz = self.p, {}, 0
+        g: dict[str, np.ndarray] = {}
+
+        def back(name: str, da: np.ndarray) -> np.ndarray:
+            for k in reversed(range(self.layers)):
+                x, _, _ = c["seen"][name, k]
+                g[f"{name}{k}w"], g[f"{name}{k}b"] = x.T @ da, da.sum(0)
+                da = da @ self.p[f"{name}{k}w"].T
+                if k:
+                    _, a, keep = c["seen"][name, k - 1]
+                    da = da * keep * ACTIVATIONS[self.activation][1](a)
+            return da
+
+        dz = 0
         for k in self.heads:
-            da = by[k] * ((c[f"{k}a"] > 0) if self.kind == "Autoencoder" else _sigmoid(c[f"{k}a"]))
-            g[f"{k}2w"], g[f"{k}2b"] = c[f"{k}h"].T @ da, da.sum(0)
-            dh = (da @ p[f"{k}2w"].T) * (c[f"{k}h"] > 0)
-            g[f"{k}1w"], g[f"{k}1b"] = c["z"].T @ dh, dh.sum(0)
-            dz = dz + dh @ p[f"{k}1w"].T
-        g["e2w"], g["e2b"] = c["hd"].T @ dz, dz.sum(0)
-        dh = (dz @ p["e2w"].T) * c["keep"] * (c["h"] > 0)
-        g["e1w"], g["e1b"] = c["x"].T @ dh, dh.sum(0)
+            dz = dz + back(k, by[k] * ((c[f"{k}a"] > 0) if self.kind == "Autoencoder" else _sigmoid(c[f"{k}a"])))
+        back("e", dz)
+        return g
+
+    def jacobians(self, x: np.ndarray, rule: str = "plain", head: str = "mu") -> np.ndarray:
+        """cells x targets x inputs; the rule sets what passes a ReLU backwards: plain, guided or deconv. Other activations pass
+        their derivative."""
+        seen: dict = {}
+        out = self._chain(head, self._chain("e", x, seen), seen)
+
+        def passed(g: np.ndarray, a: np.ndarray, relu: bool) -> np.ndarray:
+            a = a[:, None]
+            if not relu:
+                return g * ACTIVATIONS[self.activation][1](a)
+            return g * {"plain": a > 0, "guided": (a > 0) & (g > 0), "deconv": g > 0}[rule]
+
+        # the outermost derivative is diagonal: it scales the rows of the last weights
+        slope = {"plain": out > 0, "guided": out > 0, "deconv": np.ones_like(out, bool)}[rule] if self.kind == "Autoencoder" else _sigmoid(out)
+        g = slope[:, :, None] * self.p[f"{head}{self.layers - 1}w"].T[None]
+        for name, k in self._behind(head):
+            if k < self.layers - 1:
+                g = passed(g, seen[name, k][1], self.activation == "relu")
+            g = g @ self.p[f"{name}{k}w"].T
         return g
 
+    def _behind(self, head: str) -> list[tuple[str, int]]:
+        """Layers before a head's last one, from the last to the first."""
+        return [*((head, k) for k in reversed(range(self.layers - 1))), *(("e", k) for k in reversed(range(self.layers)))]
+
     def jacobian(self, x: np.ndarray, rule: str = "plain", head: str = "mu") -> np.ndarray:
-        """targets x inputs for one cell; the rule sets what passes a ReLU backwards: plain, guided or deconv."""
-        p = self.p
-        a1 = x @ p["e1w"] + p["e1b"]
-        z = np.maximum(a1, 0) @ p["e2w"] + p["e2b"]
-        a2 = z @ p[f"{head}1w"] + p[f"{head}1b"]
-        out = np.maximum(a2, 0) @ p[f"{head}2w"] + p[f"{head}2b"]
-        passed = lambda g, a: g * {"plain": a > 0, "guided": (a > 0) & (g > 0), "deconv": g > 0}[rule]
-        g = np.eye(len(out))
-        g = passed(g, out) if self.kind == "Autoencoder" else g * _sigmoid(out)
-        g = passed(g @ p[f"{head}2w"].T, a2) @ p[f"{head}1w"].T
-        return passed(g @ p["e2w"].T, a1) @ p["e1w"].T
-
-
-def train(x: np.ndarray, kind: str, epochs: int, latent: int, hidden: int, dropout: float, seed: int, lr: float = 1e-4, batch: int = 32, patience: int = 10, min_delta: float = 1e-3, every: int = 10, early_stop: bool = True) -> Model | None:
+        """targets x inputs for one cell."""
+        return self.jacobians(x[None], rule, head)[0]
+
+
+def train(x: np.ndarray, kind: str, epochs: int, latent: int, hidden: int | list[int], dropout: float, seed: int, lr: float = 1e-4, batch: int = 32, patience: int = 10, min_delta: float = 1e-3, every: int = 10, early_stop: bool = True, activation: str = "relu") -> Model | None:
     """Adam on a random 80 % of the cells, keeping the weights of the best validation; None if the loss is never finite."""
     rng = np.random.default_rng(seed)
-    model, order = Model(x.shape[1], latent, hidden, kind, seed=seed), rng.permutation(len(x))
+    model, order = Model(x.shape[1], latent, hidden, kind, seed=seed, activation=activation), rng.permutation(len(x))
     n_val = max(1, len(x) // 5) if early_stop else 0
     val, own = x[order[:n_val]], x[order[n_val:]]
     m, v, t = {k: np.zeros_like(w) for k, w in model.p.items()}, {k: np.zeros_like(w) for k, w in model.p.items()}, 0
@@ -163,44 +205,54 @@ def packed(expr: DataFrame) -> DataFrame:
     return expr.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene", "x"))), lambda s: s["x"].cast("double")).alias("v"))
 
 
-def model_zoo(expr: DataFrame, n_models: int = 10, epochs: int = 10_000, kind: str = "ZINBAutoencoder", dropout: float = 0.1, latent: int = 8, hidden: int = 64, seed: int = 0, failures: int = 5, lr: float = 1e-4, early_stop: bool = True) -> list[Model]:
-    """Models trained in parallel, one to a task. An unknown kind is a negative binomial; up to ``failures`` spare seeds fill in
-    for models that don't converge. The training matrix must fit a task, as any one model's must."""
-    cells = packed(expr).withColumn("model_id", F.explode(F.sequence(F.lit(0), F.lit(n_models + failures - 1))))
+def model_zoo(expr: DataFrame, n_models: int = 10, epochs: int = 10_000, kind: str = "ZINBAutoencoder", dropout: float = 0.1, latent: int = 8, hidden: int | list[int] = 64, seed: int = 0, failures: int = 5, lr: float = 1e-4, early_stop: bool = True, activation: str = "relu") -> list[Model]:
+    """Models trained in parallel, one to a task. An unknown kind is a negative binomial. Only if models don't converge, up to
+    ``failures`` spare seeds are trained for them. The training matrix must fit a task, as any one model's must."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         i = int(df["model_id"].iloc[0])
         x = np.stack(df.sort_values("cell_id")["v"].to_numpy())
-        model = train(x, kind, epochs, latent, hidden, dropout, seed + i, lr, early_stop=early_stop)
+        model = train(x, kind, epochs, latent, hidden, dropout, seed + i, lr, early_stop=early_stop, activation=activation)
         return pd.DataFrame({"model_id": [i], "model": [pickle.dumps(model.__dict__) if model else None]})
 
-    rows = cells.groupBy("model_id").applyInPandas(one, "model_id int, model binary").filter("model is not null").orderBy("model_id").limit(n_models).collect()
-    out = []
-    for r in rows:
-        out.append(Model.__new__(Model))
-        out[-1].__dict__.update(pickle.loads(r["model"]))
-    return out
+    def trained(first: int, end: int) -> list[Model]:
+        cells = packed(expr).withColumn("model_id", F.explode(F.sequence(F.lit(first), F.lit(end - 1))))
+        out = []
+        for r in cells.groupBy("model_id").applyInPandas(one, "model_id int, model binary").filter("model is not null").orderBy("model_id").collect():
+            out.append(Model.__new__(Model))
+            out[-1].__dict__.update(pickle.loads(r["model"]))
+        return out
 
+    out = trained(0, n_models)
+    if len(out) < n_models and failures > 0:
+        out += trained(n_models, n_models + failures)
+    return out[:n_models]
 
-def attribution(model: Model, x: np.ndarray, method: str = "GradientShap", background: np.ndarray | None = None, raw: bool = False, samples: int = 5, seed: int = 0) -> np.ndarray:
-    """targets x sources of one cell. GradientShap: mean gradient at random points between a background and the cell, times
-    their difference unless ``raw``."""
+
+def attribution_of_cells(model: Model, x: np.ndarray, method: str = "GradientShap", background: np.ndarray | None = None, raw: bool = False, samples: int = 5, seed: int = 0) -> np.ndarray:
+    """cells x targets x sources. GradientShap: mean gradient at random points between a background and the cell, times their
+    difference unless ``raw``; the points depend on the cell's values only."""
     if method == "GuidedBackprop":
-        return model.jacobian(x, "guided")
+        return model.jacobians(x, "guided")
     if method == "Deconvolution":
-        return model.jacobian(x, "deconv")
+        return model.jacobians(x, "deconv")
     if method != "GradientShap":
         raise ValueError(f"unknown method {method}")
-    rng = np.random.default_rng((seed, *np.abs(x[:4] * 1e3).astype(np.int64).tolist()))
-    background = np.zeros((1, len(x))) if background is None else background
+    background = np.zeros((1, x.shape[1])) if background is None else background
+    rngs = [np.random.default_rng((seed, *np.abs(row[:4] * 1e3).astype(np.int64).tolist())) for row in x]
     total = 0
     for _ in range(samples):
-        b = background[rng.integers(len(background))]
-        g = model.jacobian(b + rng.random() * (x - b))
-        total = total + (g if raw else g * (x - b))
+        b = background[[r.integers(len(background)) for r in rngs]]
+        g = model.jacobians(b + np.array([[r.random()] for r in rngs]) * (x - b))
+        total = total + (g if raw else g * (x - b)[:, None])
     return total / samples
 
 
+def attribution(model: Model, x: np.ndarray, method: str = "GradientShap", background: np.ndarray | None = None, raw: bool = False, samples: int = 5, seed: int = 0) -> np.ndarray:
+    """targets x sources of one cell."""
+    return attribution_of_cells(model, x[None], method, background, raw, samples, seed)[0]
+
+
 def backgrounds(x: np.ndarray, kind: str = "zeros", seed: int = 0) -> np.ndarray:
     """zeros (also for unknown kinds), data, or randomize: every column permuted on its own; ValueError unless 2-D."""
     if x.ndim != 2:
@@ -218,8 +270,12 @@ def attributions(models: list[Model], expr: DataFrame, method: str = "GradientSh
     def run(batches):
         for b in batches:
             for i, model in enumerate(models):
-                w = [attribution(model, np.asarray(v), method, background, raw).ravel() for v in b["v"]]
-                yield pd.DataFrame({"cell_id": b["cell_id"], "model_id": i, "w": w})
+                # cells of a block go together; a block's arrays stay below some 100 MB
+                step = max(1, 4_000_000 // (len(genes) * max(len(genes), *map(max, (w.shape for w in model.p.values())))))
+                for at in range(0, len(b), step):
+                    part = b.iloc[at : at + step]
+                    w = attribution_of_cells(model, np.stack(part["v"].to_numpy()), method, background, raw)
+                    yield pd.DataFrame({"cell_id": part["cell_id"], "model_id": i, "w": list(w.reshape(len(part), -1))})
 
     wide = packed(expr).mapInPandas(run, f"cell_id {kinds['cell_id']}, model_id int, w array<double>")
     names = F.array(*map(F.lit, genes))

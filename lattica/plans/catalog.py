@@ -6,10 +6,15 @@ have none and are tested by invariants.
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import asdict
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lattica.functions import special
 from lattica.operators import annotate, clusters, edges, export, genes, masks, networks, stats
+from lattica.sources import files, matrix
 from lattica.sources import views as v
 from lattica.sources.views import ctes
 from lattica.streaming import counts
@@ -151,7 +156,8 @@ def _models(spark, d):
 @query(f"{_BASE}, m AS (SELECT cell_id, source, target, w * (i + 1) AS w FROM grn, range(4) t(i)) SELECT cell_id, source, target, avg(w) AS mean_w, sum(w) AS sum_w, median(w) AS median_w FROM m GROUP BY ALL")
 def ensemble_aggregate(spark, d):
     m, keys = _models(spark, d), ["cell_id", "source", "target"]
-    return m.groupBy(*keys).agg(F.avg("w").alias("mean_w"), F.sum("w").alias("sum_w"), F.median("w").alias("median_w"))
+    mean, total, median = (stats.aggregate_models(m, how).withColumnRenamed("w", f"{how}_w") for how in ("mean", "sum", "median"))
+    return mean.join(total, keys).join(median, keys)
 
 
 @query(f"{_BASE} SELECT cell_id, source, target, l::INTEGER AS level, w * l * (l + 1) / 2 / l AS w FROM grn, (SELECT unnest([2, 4]) AS l)")
@@ -221,9 +227,10 @@ def ranksum_bh(spark, d):
     return out.select("cluster", "signature", *[R(c).alias(c) for c in ("stat", "p", "p_adj", "mean_diff", "z_score")])
 
 
-@query()
+@query(f"{_TEST}, z AS (SELECT cluster, signature, (stat - avg(stat) OVER (PARTITION BY cluster)) / stddev_samp(stat) OVER (PARTITION BY cluster) AS z FROM f), o3 AS (SELECT signature, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, signature) AS r FROM z) SELECT DISTINCT signature FROM o3 WHERE r <= 5")
 def top_signatures(spark, d):
-    return stats.top_signatures(stats.rank_sum(_scores(spark, d), v.cells(spark, d)), 5)
+    tests = stats.rank_sum(_scores(spark, d).withColumn("score", R("score", 8)), v.cells(spark, d))
+    return stats.top_signatures(tests.withColumn("z_score", R("z_score", 9)), 5)
 
 
 @query(f"{_UCELL} SELECT cell_id, cluster, signature || '_regulon' AS regulon, round(score, 8) AS score FROM sc JOIN cells USING (cell_id) WHERE signature IN ('Brand#1', 'Brand#2')")
@@ -306,7 +313,7 @@ def spectral_clusters(spark, d):
     return clusters.spectral(near, 10)
 
 
-@query()
+@query("SELECT vec_id AS cell_id, CAST((CAST(label AS INTEGER) + 3) % 10 AS VARCHAR) AS label, CAST(label AS VARCHAR) AS remap FROM embeddings")
 def unify_labels(spark, d):
     own = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("label").cast("string"))
     renamed = own.select("cell_id", ((F.col("label").cast("int") + 3) % 10).cast("string").alias("label"))
@@ -326,6 +333,278 @@ def gene_clusters(spark, d):
     return genes.add_clusters(expr.select("gene").distinct(), names, links, cutoff)
 
 
+#: Five genes over six cells: two pairs that go together and one gene apart.
+_FEW = [("a", (1, 2, 3, 4, 5, 6)), ("b", (2, 4, 6, 8, 10, 11)), ("c", (6, 5, 4, 3, 2, 1)), ("d", (9, 8, 8, 5, 4, 4)), ("e", (1, 5, 1, 5, 1, 5))]
+
+
+def _few(spark):
+    return spark.createDataFrame([(i, g, float(x)) for g, xs in _FEW for i, x in enumerate(xs)], "cell_id long, gene string, x double")
+
+
+_FEW_SQL = "few AS (SELECT g, unnest(range(6)) AS i, unnest(xs)::DOUBLE AS x FROM (VALUES " + ", ".join(f"('{g}', {list(xs)})" for g, xs in _FEW) + ") t(g, xs)), "
+# merges of the fixed table, by hand from its distances: a with b, c with d, then the pairs by their mean distance, e where it is nearest
+_FEW_SQL += """cr AS (SELECT a.g AS a, b.g AS b, corr(a.x, b.x) AS corr FROM few a JOIN few b USING (i) GROUP BY ALL),
+ds AS (SELECT x.a AS a, y.a AS b, sqrt(sum(pow(x.corr - y.corr, 2))) AS d FROM cr x JOIN cr y ON x.b = y.b GROUP BY ALL),
+ab(k, m) AS (VALUES ('a', 'ab'), ('b', 'ab'), ('c', 'cd'), ('d', 'cd'), ('e', 'e')),
+pr AS (SELECT x.m AS m, y.m AS n, avg(d) AS d FROM ds JOIN ab x ON x.k = ds.a JOIN ab y ON y.k = ds.b WHERE x.m < y.m GROUP BY ALL),
+lo AS (SELECT arg_min(m, d) AS m, arg_min(n, d) AS n, min(d) AS d FROM pr), tl AS (SELECT k, CASE WHEN ab.m IN (lo.m, lo.n) THEN 1 ELSE 2 END AS t FROM ab, lo),
+tp AS (SELECT avg(d) AS d FROM ds JOIN tl x ON x.k = ds.a JOIN tl y ON y.k = ds.b WHERE x.t = 1 AND y.t = 2),
+co AS (SELECT ds.a, ds.b, CASE WHEN x.m = y.m THEN ds.d WHEN u.t <> w.t THEN tp.d ELSE lo.d END AS cophenet FROM ds JOIN ab x ON x.k = ds.a JOIN ab y ON y.k = ds.b JOIN tl u ON u.k = ds.a JOIN tl w ON w.k = ds.b, lo, tp WHERE ds.a < ds.b)"""
+
+
+@query(f"WITH {_FEW_SQL} SELECT co.a, co.b, round(cophenet, 6) AS cophenet, round(corr, 6) AS corr FROM co JOIN cr ON cr.a = co.a AND cr.b = co.b")
+def linkage_fixed(spark, d):
+    return genes.hierarchical(_few(spark))[0].withColumns({"cophenet": R("cophenet"), "corr": R("corr")})
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('b', 1), ('c', 2), ('d', 2), ('e', 3), ('f', NULL)) t(gene, correlation_cluster)")
+def clusters_fixed(spark, d):
+    _, links, names = genes.hierarchical(_few(spark))
+    every = spark.createDataFrame([(g,) for g in "abcdef"], "gene string")
+    return genes.add_clusters(every, names, links, 0.5)
+
+
+@query(f"{ctes('rawx', 'expr')}, p AS (SELECT gene, avg(x) AS cophenet, stddev_samp(x) AS corr FROM expr GROUP BY gene), l AS (SELECT a.corr - (a.corr - b.corr) / (a.cophenet - b.cophenet) * a.cophenet AS i, (a.corr - b.corr) / (a.cophenet - b.cophenet) AS s FROM p a JOIN p b ON a.gene < b.gene AND a.cophenet <> b.cophenet), "
+       "f AS (SELECT i, s, sum(CASE WHEN corr >= i + s * cophenet THEN 0.1::DOUBLE * (corr - i - s * cophenet) ELSE 0.9::DOUBLE * (i + s * cophenet - corr) END) AS loss FROM l, p GROUP BY i, s), best AS (SELECT arg_min(i, loss) AS i, arg_min(s, loss) AS s FROM f) SELECT gene, round(i + s * cophenet, 5) AS line FROM p, best")
+def quantile_line(spark, d):
+    points = v.expr_counts(spark, d).groupBy("gene").agg(F.avg("x").alias("cophenet"), F.stddev_samp("x").alias("corr"))
+    return genes.regression_points(points, float("inf"), 0.1).select("gene", R("line", 5).alias("line"))
+
+
+@query(f"{ctes('rawx', 'expr')}, p AS (SELECT a.gene AS a, b.gene AS b, 1 - corr(a.x, b.x) AS cophenet FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene < b.gene GROUP BY ALL) SELECT a, b, round(cophenet, 6) AS cophenet FROM p WHERE cophenet < 1.0")
+def pairs_below(spark, d):
+    pairs = stats.gene_correlation(v.expr_counts(spark, d)).select("a", "b", (1 - F.col("corr")).alias("cophenet"))
+    return genes.below(pairs, 1.0).withColumn("cophenet", R("cophenet"))
+
+
+@query(f"{ctes('rawx', 'expr')} SELECT gene, round(avg(x), 6) AS mean FROM expr GROUP BY gene")
+def gene_means(spark, d):
+    return stats.mean_by(v.expr_counts(spark, d)).withColumn("mean", R("mean"))
+
+
+@query(f"{ctes('rawx', 'expr')} SELECT cell_id, gene, CAST(CAST(2 * x AS FLOAT) AS DOUBLE) AS counts, CAST(CAST(x / 3 AS FLOAT) AS DOUBLE) AS x FROM expr")
+def layer_choice(spark, d):
+    expr = v.expr_counts(spark, d).withColumn("counts", F.col("x") * 2).withColumn("x", F.col("x") / 3)
+    of = lambda layer: files.choose_layer(expr, layer).select("cell_id", "gene", F.col("x").cast("double").alias("counts" if layer == "counts" else "x"))
+    return of("counts").join(of("X"), ["cell_id", "gene"])
+
+
+@query(f"{_BASE}, {v.SQL['cells']}, {_RANKED}, n AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS threshold) SELECT threshold, CAST(cluster AS VARCHAR) AS cluster, CAST(count(*) AS BIGINT) AS cell_count FROM ranked JOIN cells USING (cell_id), n WHERE r <= CAST(round_even((SELECT count(*) FROM edges) * threshold, 0) AS BIGINT) GROUP BY ALL")
+def count_totals(spark, d):
+    return edges.count_totals(edges.annotate_clusters(v.grn(spark, d), [0.1, 0.2], v.cells(spark, d)))
+
+
+@query(f"{ctes('rawx', 'expr', 'net')}, g AS (SELECT gene, row_number() OVER (ORDER BY gene DESC) - 1 AS gene_idx FROM (SELECT DISTINCT gene FROM expr)) SELECT gene_idx::INTEGER AS gene_idx, gene FROM g WHERE gene IN (SELECT source FROM net WHERE weight > 4) ORDER BY gene_idx")
+def tf_filter_ordered(spark, d):
+    from pyspark.sql import Window
+
+    names = v.expr_counts(spark, d).select("gene").distinct().withColumn("gene_idx", F.row_number().over(Window.orderBy(F.col("gene").desc())) - 1)
+    return edges.ordered_names(names, v.ext_net(spark, d).filter("weight > 4").select("source"))
+
+
+@query(f"{_BASE} SELECT cell_id, source, target, w FROM grn")
+def matrix_wrap(spark, d):
+    grn = v.grn(spark, d)
+    var = spark.createDataFrame([(i, r.source, r.target) for i, r in enumerate(edges.edges_of(grn).orderBy("source", "target").collect())], "idx int, source string, target string")
+    packed = grn.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "target", "w"))), lambda s: s["w"]).alias("v"))
+    return matrix.checked(matrix.wrap(packed, var)).select("cell_id", "source", "target", "w")
+
+
+@query(f"{_UCELL} SELECT c.cell_id, cluster, round(score, 8) AS score FROM cells c LEFT JOIN sc ON sc.cell_id = c.cell_id AND signature = (SELECT min(signature) FROM sc) WHERE c.cell_id IN (SELECT cell_id FROM sc)")
+def drop_stale_columns(spark, d):
+    scores = _scores(spark, d)
+    first = scores.agg(F.min("signature").alias("signature"))
+    own = scores.join(first, "signature", "left_semi").select("cell_id", R("score", 8).alias("score"))
+    cells = v.cells(spark, d).join(own.select("cell_id"), "cell_id", "left_semi").withColumn("old_regulon", F.lit(1.0)).withColumn("score", F.lit(0.0))
+    return stats.merge_to_cells(cells, own)
+
+
+@query(f"{_BASE}, {_EDGES} SELECT e.source, e.target, length(e.target) % 3 AS correlation_cluster FROM edges e WHERE length(e.target) % 2 = 0")
+def target_clusters(spark, d):
+    own = edges.edges_of(v.grn(spark, d))
+    clustered = own.select(F.col("target").alias("gene")).distinct().filter(F.length("gene") % 2 == 0).withColumn("correlation_cluster", (F.length("gene") % 3).cast("long"))
+    return annotate.with_target_clusters(own.select("source", "target"), clustered).select("source", "target", "correlation_cluster")
+
+
+@query(f"{_STRICT}, c AS (SELECT DISTINCT cell_id FROM expr), m AS (SELECT a.cell_id, a.gene AS source, b.gene AS target FROM expr a JOIN expr b USING (cell_id) WHERE a.x > 0 AND b.x > 0 AND a.gene <> b.gene), o AS (SELECT DISTINCT source, target FROM m), k AS (SELECT e.*, row_number() OVER (ORDER BY e.source, e.target) AS edge_idx FROM e) "
+       "SELECT c.cell_id, k.edge_idx::INTEGER AS edge_idx, k.source, k.target, CASE WHEN m.cell_id IS NULL THEN 0 ELSE 1 END AS b FROM k SEMI JOIN o ON o.source = k.source AND o.target = k.target CROSS JOIN c LEFT JOIN m ON m.cell_id = c.cell_id AND m.source = k.source AND m.target = k.target")
+def mask_frame(spark, d):
+    return _mask_frame(spark, d)[0]
+
+
+@query(f"{_STRICT}, m AS (SELECT DISTINCT a.gene AS source, b.gene AS target FROM expr a JOIN expr b USING (cell_id) WHERE a.x > 0 AND b.x > 0 AND a.gene <> b.gene) SELECT e.source, e.target FROM e ANTI JOIN m ON m.source = e.source AND m.target = e.target")
+def mask_missing(spark, d):
+    return _mask_frame(spark, d)[1].select("source", "target")
+
+
+def _mask_frame(spark, d):
+    from pyspark.sql import Window
+
+    expr = v.expr_counts(spark, d)
+    names = expr.select("gene").distinct()
+    order = names.toDF("source").crossJoin(names.toDF("target")).withColumn("edge_idx", F.row_number().over(Window.orderBy("source", "target")))
+    return masks.mask_frame(masks.pair_mask(masks.binarize(expr)), expr.select("cell_id").distinct(), order)
+
+
+@query(f"{_KNN}, both_ways AS (SELECT cell_id, nbr_id FROM k UNION SELECT nbr_id, cell_id FROM k), g AS (SELECT cell_id AS nbr_id, unnest(range(0, len(v))) AS gene, unnest(v) AS x FROM x), n AS (SELECT b.cell_id, gene FROM both_ways b JOIN g USING (nbr_id) WHERE x > 0 GROUP BY ALL HAVING count(*) >= 5) SELECT a.gene::INTEGER AS source, b.gene::INTEGER AS target, count(*) AS count_nonzero FROM n a JOIN n b ON a.cell_id = b.cell_id AND a.gene <> b.gene GROUP BY ALL")
+def mask_neighbours(spark, d):
+    """The mask that is not strict: a gene counts where five neighbours express it."""
+    expr = v.expr_dense(spark, d)
+    pairs = expr.select(F.col("gene").alias("source")).distinct().crossJoin(expr.select(F.col("gene").alias("target")).distinct()).filter("source <> target")
+    return masks.add_mask(expr, pairs, False, 10, 5)[1].filter("count_nonzero > 0")
+
+
+@query(f"{ctes('rawsq', 'sq', 'rawx', 'expr')}, m AS (SELECT a.cell_id, a.gene AS source, b.gene AS target FROM expr a JOIN expr b USING (cell_id) WHERE a.x > 0 AND b.x > 0 AND a.gene <> b.gene) SELECT source, target, sum(CASE WHEN m.cell_id IS NULL THEN 0.0 ELSE w END) AS w FROM sq LEFT JOIN m USING (cell_id, source, target) GROUP BY ALL")
+def mask_applied(spark, d):
+    mask = masks.pair_mask(masks.binarize(v.expr_counts(spark, d)))
+    return masks.apply_mask(v.square_grn(spark, d), mask).groupBy("source", "target").agg(F.sum("w").alias("w"))
+
+
+@query(f"{_BASE}, {_EDGES} SELECT DISTINCT e.source, e.target, CASE WHEN p_size % 2 = 0 THEN 'Activation' WHEN p_size % 3 = 0 THEN 'Repression' ELSE 'Unknown' END AS mode, CASE WHEN p_size % 2 = 0 THEN 'green' WHEN p_size % 3 = 0 THEN 'red' ELSE 'grey' END AS colour FROM edges e JOIN part ON p_brand = e.source AND p_type = e.target WHERE p_size <= 5 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#13')")
+def curated_graph(spark, d):
+    curated = annotate.curate(edges.edges_of(v.grn(spark, d)), v.moded_net(spark, d))
+    return export.directed(curated, ["Brand#1", "Brand#2", "Brand#13"])[1]
+
+
+@query(f"PIVOT ({ctes('rawsq')}, e AS (SELECT DISTINCT source, target FROM rawsq WHERE source IN ('Brand#1', 'Brand#2', 'Brand#3')), n AS (SELECT DISTINCT source FROM e) SELECT x.source AS a, y.source AS b, (SELECT count(*) FROM e i JOIN e j USING (target) WHERE i.source = x.source AND j.source = y.source) AS shared FROM n x, n y) ON b USING first(shared) GROUP BY a")
+def shared_heatmap(spark, d):
+    raw = v._weights(spark, d, F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string")))
+    return export.heatmap(stats.shared_targets(raw, ["Brand#1", "Brand#2", "Brand#3"]))
+
+
+def _line(kind: str, n: int, scale: float) -> networks.Model:
+    """A model with weights that SQL can follow: one hidden unit adds up the cell, output j is (j + 1) times that, scaled."""
+    model = networks.Model(n, 1, [1], kind)
+    for name in model.p:
+        model.p[name] = np.zeros_like(model.p[name]) if name[-1] == "b" else np.ones_like(model.p[name])
+    model.p["e0w"] /= 1000
+    for k, head in enumerate(model.heads):
+        model.p[f"{head}1w"] *= scale * np.arange(1, n + 1) / (k + 1)
+    return model
+
+
+_LINE = ctes("rawx", "expr", "cells") + ", g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS j FROM (SELECT DISTINCT gene FROM expr)), s AS (SELECT cell_id, sum(x) / 1000 AS s FROM expr GROUP BY cell_id)"
+
+
+def _summary_sql(head: int, out: str) -> str:
+    return f"{_LINE}, o AS (SELECT cluster, gene, j * s / {head} AS a FROM s JOIN cells USING (cell_id), g) SELECT cluster, gene, round(avg({out}), 6) AS mean FROM o GROUP BY ALL"
+
+
+def _summary(spark, d, kind, head):
+    expr = v.expr_counts(spark, d)
+    n = expr.select("gene").distinct().count()
+    return networks.summaries(_line(kind, n, 1.0), expr, head, v.cells(spark, d)).withColumn("mean", R("mean"))
+
+
+@query(_summary_sql(1, "a"))
+def autoencoder_summary(spark, d):
+    return _summary(spark, d, "Autoencoder", "mu")
+
+
+@query(_summary_sql(2, "CASE WHEN a > 30 THEN a ELSE ln(1 + exp(a)) END"))
+def nb_autoencoder_summary(spark, d):
+    return _summary(spark, d, "NegativeBinomialAutoencoder", "theta")
+
+
+@query(_summary_sql(3, "CASE WHEN a > 30 THEN a ELSE ln(1 + exp(a)) END"))
+def zinb_autoencoder_summary(spark, d):
+    return _summary(spark, d, "ZINBAutoencoder", "pi")
+
+
+def _attributed(spark, d, models, method, strategy="mean", **kw):
+    expr = v.expr_counts(spark, d)
+    n = expr.select("gene").distinct().count()
+    out = networks.infer([_line("Autoencoder", n, m) for m in models], expr, method, strategy, **kw)
+    return out.withColumn("w", R("w"))
+
+
+@query(f"{_LINE} SELECT cell_id, e.gene AS source, g.gene AS target, round(j * x / 1000, 6) AS w FROM expr e JOIN s USING (cell_id), g")
+def attribution_shap(spark, d):
+    """Of a linear network a gradient times the distance from zero is the weight times the value."""
+    return _attributed(spark, d, [1.0], "GradientShap")
+
+
+@query(f"{_LINE} SELECT cell_id, e.gene AS source, g.gene AS target, round(j / 1000::DOUBLE, 6) AS w FROM expr e JOIN s USING (cell_id), g")
+def attribution_guided(spark, d):
+    return _attributed(spark, d, [1.0], "GuidedBackprop")
+
+
+@query(f"{_LINE} SELECT cell_id, e.gene AS source, g.gene AS target, round(j * 2 / 1000::DOUBLE, 6) AS w FROM expr e JOIN s USING (cell_id), g")
+def attribution_deconvolution(spark, d):
+    """Mean over models of weights 1 and 3."""
+    return _attributed(spark, d, [1.0, 3.0], "Deconvolution")
+
+
+@query(f"{_LINE} SELECT cell_id, g.gene AS source, e.gene AS target, round(j * x * 4 / 1000, 6) AS w FROM expr e JOIN s USING (cell_id), g")
+def attribution_summed(spark, d):
+    """Models summed, with the ends of an edge swapped."""
+    return _attributed(spark, d, [1.0, 3.0], "GradientShap", "sum", swap_labels=True)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS chr, event_id AS start, event_id + 5 AS 'end', event_type || ',x' AS TF_list, [event_type, 'x'] AS TF_list_list FROM events")
+def bed_file(spark, d):
+    e = v.table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("chr"), F.col("event_id").cast("long").alias("start"), (F.col("event_id") + 5).alias("end"), F.concat("event_type", F.lit(",x")).alias("TF_list"), F.lit(2).alias("n"), F.lit("+").alias("s"), F.lit(1).alias("a"), F.lit(1).alias("b"), F.lit("z").alias("c"))
+    path = f"{files.scratch(spark)}/bed"
+    rows.write.csv(path, sep="\t")
+    return files.read_bed(spark, path).select("chr", "start", "end", "TF_list", "TF_list_list")
+
+
+@query("SELECT 'chr' || CAST(user_id AS VARCHAR) AS chr, event_id AS start, 'g' || CAST(event_id AS VARCHAR) AS gene_name, event_type AS gene_biotype FROM events WHERE event_id % 3 = 0 AND event_id % 5 <> 0")
+def gtf_genes(spark, d):
+    e, q = v.table(spark, d, "events"), F.lit('"')
+    name = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit(' gene_name "g'), F.col("event_id").cast("string"), F.lit('";'))).otherwise(F.lit(""))
+    attributes = F.concat(F.lit('gene_id "i";'), name, F.lit(' gene_biotype '), q, F.col("event_type"), q)
+    rows = e.select(F.concat_ws("\t", F.col("user_id").cast("string"), F.lit("src"), F.when(F.col("event_id") % 3 == 0, "gene").otherwise("exon"), F.col("event_id").cast("string"), F.lit("9"), F.lit("."), F.lit("+"), F.lit("."), attributes).alias("value"))
+    path = f"{files.scratch(spark)}/gtf"
+    rows.write.text(path)
+    return files.gene_annotation(files.read_gtf(spark, path)).select("chr", "start", "gene_name", "gene_biotype")
+
+
+@query("SELECT DISTINCT p_brand AS tfs FROM part")
+def name_file(spark, d):
+    path = f"{files.scratch(spark)}/names"
+    v.table(spark, d, "part").select("p_brand").distinct().write.text(path)
+    return files.read_names(spark, path)
+
+
+@query("SELECT DISTINCT p_brand AS source, p_type AS target, 1.0::DOUBLE AS weight FROM part")
+def edge_file(spark, d):
+    path = f"{files.scratch(spark)}/edges"
+    v.table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("target")).distinct().write.csv(path, header=True, sep="\t")
+    return files.read_edges(spark, path, "\t")
+
+
+@query(f"{_BASE} SELECT cell_id, source, target, w FROM grn")
+def table_file(spark, d):
+    path = f"{files.scratch(spark)}/network"
+    files.write_table(v.grn(spark, d), path)
+    return files.read_table(spark, path)
+
+
+@query("SELECT 'learning_rate' AS name, '0.25' AS value UNION ALL SELECT 'model', 'ZINBAutoencoder' UNION ALL SELECT 'n_models', '7' UNION ALL SELECT 'tf_only', 'False'")
+def settings_file(spark, d):
+    """Settings written as YAML and read again: those that differ from the defaults."""
+    with tempfile.TemporaryDirectory() as folder:  # on the driver only
+        files.Settings(learning_rate=0.25, model="ZINBAutoencoder", n_models=7, tf_only=False).write_yaml(f"{folder}/s.yaml")
+        back = asdict(files.Settings.read_yaml(f"{folder}/s.yaml"))
+    changed = [(k, str(x)) for k, x in back.items() if x != asdict(files.Settings())[k]]
+    return spark.createDataFrame(changed, "name string, value string")
+
+
+@query("SELECT CAST(label AS VARCHAR) AS label, count(*) AS cells FROM embeddings GROUP BY ALL")
+def community_groups(spark, d):
+    """Communities of a graph whose links never leave a label: one community each, named by its label."""
+    own = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("label").cast("string").alias("label"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label").orderBy("cell_id")
+    near = own.select("cell_id", F.array(F.lead("cell_id", 1).over(w), F.lead("cell_id", 2).over(w), F.first("cell_id").over(w)).alias("near"))
+    links = near.select("cell_id", F.explode("near").alias("nbr_id")).filter("nbr_id is not null and nbr_id <> cell_id")
+    found = clusters.modularity_communities(links, 0.01).join(own, "cell_id")
+    return found.groupBy("community", "label").agg(F.count(F.lit(1)).alias("cells")).select("label", "cells")
+
+
 @query()
 def ensemble_network(spark, d):
     """Training and attribution over all genes: 3 models, their mean network."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields
+import tempfile
+import uuid
+from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
 import yaml
@@ -51,6 +53,16 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -59,24 +71,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 class Settings:
     """Run settings as a YAML mapping; unknown keys raise TypeError."""
 
-    input_data: str = ""
-    output_directory: str = ""
-    adata_filename: str = "network.parquet"
+    # fixed values: the keys of the settings format
+    input_data: str = "data.parquet"
     layer: str = "X"
-    model_type: str = "ZINBAutoencoder"
-    xai_method: str = "GradientShap"
-    background_type: str = "zeros"
-    n_models: int = 20
+    output_directory: str = "output"
+    transcription_factors: str = ""
+    tf_only: bool = True
+    penalize_error: bool = True
+    adata_filename: str = "network.parquet"
+    grn: str = "network.tsv"
+    masking_percentage: float = 0.1
+    print_every: int = 100
+    optimizer: str = "Adam"
+    learning_rate: float = 0.005
     epochs: int = 10_000
-    learning_rate: float = 1e-4
-    batch_size: int = 32
-    dropout_rate: float = 0.1
-    latent_dim: int = 8
-    hidden_dim: list[int] = field(default_factory=lambda: [64])
-    masking_percentage: float = 0.0
-    test_size: float = 0.2
-    tf_only: bool = False
-    seed: int = 0
+    n_models: int = 20
+    validation_size: float = 0.2
+    model: str = "NegativeBinomialAutoencoder"
+    xai_method: str = "GradientShap"
+    aggregation_strategy: str = "mean"
 
     @classmethod
     def read_yaml(cls, path: str) -> Settings:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import special
 from lattica.operators import annotate, clusters, edges, export, genes, masks, networks, stats
-from lattica.sources import files
+from lattica.sources import files, matrix
 
 NAN = float("nan")
 
@@ -227,3 +227,82 @@ def test_stream(spark, grn, tmp_path):
     q = counts.streaming_counts(stream, 2).writeStream.outputMode("complete").format("memory").queryName("top").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.source + r.target: r.cell_count for r in spark.table("top").collect()} == {"BA": 3, "AB": 2, "AA": 1}
+
+
+def test_settings_round_trip(tmp_path):
+    own = files.Settings(**{f: f"v_{f}" for f in files.SETTING_NAMES})
+    assert len(files.SETTING_NAMES) == 18
+    own.write_yaml(str(tmp_path / "s.yaml"))
+    assert files.Settings.read_yaml(str(tmp_path / "s.yaml")) == own
+    (tmp_path / "t.yaml").write_text("unknown: 1\n")
+    with pytest.raises(TypeError):
+        files.Settings.read_yaml(str(tmp_path / "t.yaml"))
+
+
+def test_matrix(spark):
+    m = spark.createDataFrame([("c", [1.0, 2.0]), ("d", [3.0, 4.0])], "cell_id string, v array<double>")
+    var = spark.createDataFrame([(0, "A", "B"), (1, "B", "A")], "idx int, source string, target string")
+    obs = spark.createDataFrame([("c", 7)], "cell_id string, cluster int")
+    got = {(r.cell_id, r.source, r.w, r.cluster) for r in matrix.wrap(m, var, obs).collect()}
+    assert got == {("c", "A", 1.0, 7), ("c", "B", 2.0, 7), ("d", "A", 3.0, None), ("d", "B", 4.0, None)}
+    for bad in (lambda: matrix.wrap(m, var.limit(1)), lambda: matrix.wrap(m, var.union(var)), lambda: matrix.checked(matrix.wrap(m.union(m), var)), lambda: edges.count_totals(m) and None):
+        with pytest.raises((ValueError, KeyError)):
+            bad()
+    names = spark.createDataFrame([(1, "x"), (0, "y"), (2, "z")], "gene_idx int, gene string")
+    assert [r.gene for r in edges.ordered_names(names, names.filter("gene <> 'z'").select("gene")).collect()] == ["y", "x"]
+
+
+def test_inverted_interval_counts(spark):
+    crm = spark.createDataFrame([("c", 120, 90, ["T"]), ("c", 500, 90, ["U"])], "chr string, start long, end long, TF_list_list array<string>")
+    loci = spark.createDataFrame([("c", 100, "g")], "chr string, start long, gene_name string")
+    assert [r.TF for r in annotate.regulators(crm, loci, 30).collect()] == ["T"]
+
+
+@pytest.mark.parametrize("activation", ["relu", "leaky_relu", "elu", "sigmoid", "other"])
+@pytest.mark.parametrize("hidden", [[], [4], [6, 3]])
+def test_gradients_of_chains(activation, hidden):
+    rng = np.random.default_rng(2)
+    x = rng.poisson(2, (6, 5)).astype(float)
+    model, h = networks.Model(5, 3, hidden, "NegativeBinomialAutoencoder", seed=3, activation=activation), 1e-6
+    assert model.p["e0w"].shape == (5, hidden[0] if hidden else 3)
+    model.p = {k: w + rng.normal(0, 0.2, w.shape) for k, w in model.p.items()}  # no sum is exactly at a kink
+    grads = model.gradients(c := model.forward(x), model.loss(c)[1])
+    assert set(grads) == set(model.p)
+    for name in model.p:
+        at = tuple(n - 1 for n in model.p[name].shape)
+        old, ends = model.p[name][at], []
+        for d in (h, -h):
+            model.p[name][at] = old + d
+            ends.append(model.loss(model.forward(x))[0])
+        model.p[name][at] = old
+        assert grads[name][at] == pytest.approx((ends[0] - ends[1]) / (2 * h), abs=1e-5)
+    jac = model.jacobians(x)
+    for s in range(5):
+        up, down = x.copy(), x.copy()
+        up[:, s] += h
+        down[:, s] -= h
+        assert jac[:, :, s] == pytest.approx((model.forward(up)["mu"] - model.forward(down)["mu"]) / (2 * h), abs=1e-5)
+    dropped = model.forward(x, 0.5, np.random.default_rng(1))["seen"]
+    assert not hidden or all((np.asarray(dropped[c, 0][2]) == 0).any() for c in ("e", "mu", "theta"))
+
+
+def test_process_of_string_cells(spark):
+    """Two groups of cells that differ in half of their genes, with names for ids."""
+    rng = np.random.default_rng(4)
+    rows = [(f"cell{i}", f"g{g}", float(rng.normal(6 if (g < 3) == (i < 15) else 0, 0.3))) for i in range(30) for g in range(6)]
+    got = clusters.process(spark.createDataFrame(rows, "cell_id string, gene string, x double"), 2, 5, 3).collect()
+    groups = {int(r.cell_id[4:]) < 15: set() for r in got}
+    for r in got:
+        groups[int(r.cell_id[4:]) < 15].add((r.spectral, r.community))
+    assert len(got) == 30 and all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == 2
+
+
+def test_communities(spark):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
+    knn = spark.createDataFrame(pairs, "cell_id string, nbr_id string")
+    got = as_dict(clusters.modularity_communities(knn), "cell_id", "community")
+    assert got == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1, "f": 1}
+    spread = as_dict(clusters.label_communities(knn.filter("cell_id <> 'c'")), "cell_id", "community")
+    assert len({spread[x] for x in "abc"}) == 1 and len({spread[x] for x in "def"}) == 1
+    big = clusters.spectral(knn, 2, method="power").collect()
+    assert len(big) == 6

@@ -1,11 +1,13 @@
 """Registered queries against their SQL on DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 from lattica.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
