@@ -140,6 +140,12 @@ def test_run_against_brute_force(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_empty_documents(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered():
     import __spark_entry__
 
