@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lower_ascii, table, written
+from lattica.llm.common import lower_ascii, numbered, table, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -62,8 +62,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     wins = written(windows(benchmark.select("item_id", "text")), "decontam-windows")
     size = wins.agg(F.sum(F.octet_length("win") + 64), F.collect_set(F.least(F.col("len"), F.lit(SHINGLE)))).first()
     sizes = sorted(size[1])
-    out, doc_id, text = docs.select(F.struct(*docs.columns).alias("row")), F.col("row.doc_id"), F.col("row.text")
-    out = written(out.withColumn("at", F.monotonically_increasing_id()), "decontam-rows") if sizes else out
+    doc_id, text = F.col("row.doc_id"), F.col("row.text")
+    out = numbered(docs, "decontam-rows") if sizes else docs.select(F.struct(*docs.columns).alias("row"))
     if not sizes:
         nothing = F.array().cast("array<string>")
         return out.select(doc_id.alias("doc_id"), n_words(line(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items"), "row")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACE, bins_for, random_key, source_key, spread, table, word_count, written
+from lattica.llm.common import SPACE, bins_for, numbered, random_key, source_key, spread, table, word_count, written
 
 #: Weights of the sources by code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -90,8 +90,9 @@ def mixed(docs: DataFrame, sizes: Column) -> DataFrame:
     words of a source sum to the whole part of its target. Null and empty texts have no words and are not taken; an empty table
     gives an empty one. ``n_chars``, if there, follows the text.
     """
-    rows = written(docs.select(F.struct(*docs.columns).alias("row"), sizes.alias("size")).withColumn("at", F.monotonically_increasing_id()), "mix-rows")
-    plan = _taken(rows.select("at", "row.doc_id", "row.source", "size")).filter("taken > 0").select("at", "taken")
+    rows = numbered(docs, "mix-rows")
+    slim = written(rows.select("at", "row.*").select("at", "doc_id", "source", sizes.alias("size")), "mix-sizes")
+    plan = _taken(slim).filter("taken > 0").select("at", "size", "taken")
     out = rows.join(plan, "at").withColumn("part", F.explode(F.expr("sequence(1, (taken + size - 1) div size)")))
     last = F.col("taken") - (F.col("part") - 1) * F.col("size")
     cut = last < F.col("size")

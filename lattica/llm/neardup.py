@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lattica.llm import simhash
-from lattica.llm.common import by_value, small_batches, written
+from lattica.llm.common import by_value, numbered, small_batches, written
 
 by_value(__name__)
 
@@ -77,7 +77,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             every.append(keys(s, times, plus))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (which, fps, sizes)]
-        yield pa.RecordBatch.from_arrays([b.column("row"), *longs, pa.array(every, pa.list_(pa.int64()))], ["row", "set", "fp", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, pa.array(every, pa.list_(pa.int64()))], [*b.schema.names[:-1], "set", "fp", "size", "keys"])
 
 
 def similar(sets: list[np.ndarray]) -> list[int]:
@@ -119,9 +119,9 @@ def _verified(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
 
 
-def _compared(tasks: DataFrame, marked: DataFrame) -> DataFrame:
+def _compared(tasks: DataFrame, rows: DataFrame) -> DataFrame:
     """Links among the sets of each task of ``tasks(task, set, at)``; ``at`` is the row that holds the set's text."""
-    texts = tasks.join(marked.select(F.col("at"), F.col("row.text").alias("text")), "at")
+    texts = tasks.join(rows.select("at", F.col("row.text").alias("text")), "at")
     return texts.select("task", "set", "text").groupBy("task").applyInArrow(_verified, "a long, b long")
 
 
@@ -135,16 +135,16 @@ def _task(group: str, first: Column | str, second: Column) -> Column:
     return F.concat_ws(":", F.col(group).cast("string"), F.col(first).cast("string") if isinstance(first, str) else first.cast("string"), second.cast("string"))
 
 
-def classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """at (a row number), row (all columns of ``docs``), set, size of each row; set and label, the class, of each distinct set.
+def classes(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """at, doc_id, which (a hash of the text), set, size of each of ``rows(at, row)``; set and label, the class, of each distinct set.
 
     Null, empty and wordless texts are one class. Repeated rows fall into one class; an empty table gives empty ones.
     """
-    small_batches(docs.sparkSession)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    small_batches(rows.sparkSession)
+    packed = rows.select("at", "row.doc_id", F.xxhash64("row.text").alias("which"), F.col("row.text").alias("text"))
     long = [StructField(n, LongType()) for n in ("set", "fp", "size")]
-    schema = StructType([packed.schema["row"], *long, StructField("keys", ArrayType(LongType()))])
-    marked = written(packed.mapInArrow(_marked, schema).withColumn("at", F.monotonically_increasing_id()), "near-rows")
+    schema = StructType([*packed.schema.fields[:-1], *long, StructField("keys", ArrayType(LongType()))])
+    marked = written(packed.mapInArrow(_marked, schema), "near-rows")
     own = written(marked.groupBy("set").agg(F.min("at").alias("at"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")).filter("size > 0"), "near-sets")
     key = Window.partitionBy("key")
     stars = own.select("set", F.explode("keys").alias("key")).withColumn("a", F.min("set").over(key)).filter(F.col("a") < F.col("set")).select("a", F.col("set").alias("b"))
@@ -159,7 +159,7 @@ def classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     members = written(members, "near-members")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.expr("sequence(1, blocks - 1)")).otherwise(F.array("block"))
     tasks = members.withColumn("second", F.explode(others)).select(_task("group", F.lit(0), F.col("second")).alias("task"), "set", "at")
-    links = written(_compared(tasks, marked), "near-links")
+    links = written(_compared(tasks, rows), "near-links")
     split = members.filter("blocks > 1")
     if not split.isEmpty():
         now = written(_labelled(split, links), "near-split")
@@ -170,7 +170,7 @@ def classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         outside = rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int"))
         outside = outside.withColumn("second", F.explode(F.expr("sequence(0, blocks - 1)"))).select(_task("group", "part", F.col("second")).alias("task"), "set", "at")
         every = now.join(parts, "group").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(_task("group", "part", F.col("block")).alias("task"), "set", "at")
-        links = links.unionAll(written(_compared(outside.unionAll(every).distinct(), marked), "near-links"))
+        links = links.unionAll(written(_compared(outside.unionAll(every).distinct(), rows), "near-links"))
     none = marked.filter("size = 0").select("set").distinct()
     return marked, _labelled(own.select("set"), links).unionAll(none.select("set", F.col("set").alias("label")))
 
@@ -180,8 +180,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts are one class. An empty table gives an empty one; the columns stay.
     """
-    marked, labels = classes(docs)
-    rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text"), F.col("at"))
+    rows = numbered(docs, "near-texts")
+    marked, labels = classes(rows)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("which"), F.col("at"))
     by_set = marked.groupBy("set").agg(F.min(rank).alias("rank"))
     heads = by_set.join(labels, "set").groupBy("label").agg(F.min("rank").alias("rank")).select(F.col("rank.at").alias("at"))
-    return marked.join(heads, "at", "left_semi").select("row.*")
+    return rows.join(heads, "at", "left_semi").select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bins_for, random_key, source_key, spread, table, written
+from lattica.llm.common import bins_for, numbered, random_key, source_key, spread, table, written
 
 SHARDS = 8
 SEED = "shard"
@@ -67,7 +67,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     made here are replaced. Null texts stay null; an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    rows = written(docs.select(F.struct(*kept).alias("row")).withColumn("at", F.monotonically_increasing_id()), "shard-texts")
+    rows = numbered(docs.select(*kept), "shard-texts")
     slim = written(rows.select("at", "row.*").select("at", *_slim_columns()), "shard-rows")
     places = _placed(slim, shards).select("at", "size", "text_crc32", "shard", "slot")
     return rows.join(places, "at").select(*[F.col(f"row.{c}") for c in kept], "size", "text_crc32", "shard", "slot")

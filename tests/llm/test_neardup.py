@@ -5,8 +5,9 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lattica.llm import neardup, simhash
+from lattica.llm import common, neardup, simhash
 
 
 def shingles(text):
@@ -73,10 +74,24 @@ def test_groups_in_blocks(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
     def parts(block):
-        marked, labels = neardup.classes(docs, block)
+        marked, labels = neardup.classes(common.numbered(docs, "rows"), block)
         out = {}
-        for r in marked.join(labels, "set").select("row.doc_id", "label").collect():
+        for r in marked.join(labels, "set").select("doc_id", "label").collect():
             out.setdefault(r.label, set()).add(r.doc_id)
         return sorted(map(sorted, out.values()))
 
     assert parts(150) == parts(neardup.BLOCK)
+
+
+def test_rows_on_disk_keep_their_numbers(spark, tmp_path):
+    """Rows of a table are known by file and place however they are read; rows that are computed are written first."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("doc_id"), F.lit("a").alias("text"), F.col("id").alias("n"))
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    own = spark.read.parquet(str(tmp_path / "t"))
+    first = {r.at: r.n for r in common.numbered(own, "x").select("at", "row.n").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    again = {r.at: r.n for r in common.numbered(own.select("n", "text"), "x").select("at", "row.n").collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert first == again and len(first) == 1000
+    twice = common.numbered(own.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), "x")
+    assert twice.select("at").distinct().count() == 2000
