@@ -5,6 +5,10 @@ minimisers, so they meet in one bucket. A task sends each distinct string once,
 compressed block for each bucket. Of the places of a string it sends on only the earliest: the others repeat it, whatever else
 there is, so their spans are settled in the task. A string that a third of all rows have thus costs a bucket one place a task.
 Buckets and partitions follow the bytes of the table.
+
+Frequent units of text would draw all different strings around them to one bucket. They come last in the order of minimisers,
+and a window of nothing but frequent units is dealt by the least and the greatest of them. Which units are frequent is estimated on a sample of the
+documents; any set of them gives the same spans, as a window's minimiser still depends on the window alone.
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_value
+from lattica.llm.common import by_value, chance
 
 by_value(__name__)
 
@@ -28,6 +33,10 @@ LONGEST_RUN = 512
 NO_ID = (1 << 63) - 1
 #: Bytes of text for each bucket and each shuffle partition, and the most partitions.
 BUCKET_BYTES, PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 64 << 20, 50_000
+#: Share of the documents in which units are counted, the places in all documents from which a unit is frequent, and the most
+#: frequent units that are told to the tasks (8 bytes each).
+UNIT_SHARE, FREQUENT, MOST_FREQUENT = 1 / 512, 1 << 16, 1 << 22
+LAST = np.uint64(1 << 63)
 
 
 class Packer:
@@ -142,12 +151,59 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - done)], a[width - done :]) if done < width else a
 
 
+def minimisers(order: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` places of units in the order; where all are frequent, a hash of the least and greatest, top bit set."""
+    minis = sliding_min(order, width)
+    at = np.flatnonzero(minis >= LAST)
+    if len(at):
+        both = minis[at] * np.uint64(0x9E3779B97F4A7C15) + ~sliding_min(~order, width)[at] * np.uint64(0xC2B2AE3D27D4EB4F)
+        minis[at] = both ^ both >> np.uint64(32) | LAST
+    return minis
+
+
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
     """(first, end) of runs of equal values, cut at LONGEST_RUN."""
     edges = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]))
     return [(a, min(a + LONGEST_RUN, e)) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for a in range(s, e, LONGEST_RUN)]
 
 
+class Frequent:
+    """Membership in a sorted array of units, most of them settled by 24 of their bits."""
+
+    def __init__(self, units: np.ndarray) -> None:
+        self.units, self.some = units, np.zeros(1 << 24 if len(units) else 0, bool)
+        if len(units):
+            self.some[units >> np.uint64(40)] = True
+
+    def flags(self, units: np.ndarray) -> np.ndarray:
+        if not len(self.units):
+            return np.zeros(len(units), bool)
+        out = self.some[units >> np.uint64(40)]
+        at = np.flatnonzero(out)
+        out[at] = self.units[np.minimum(np.searchsorted(self.units, units[at]), len(self.units) - 1)] == units[at]
+        return out
+
+
+def _counted(units: Callable[[], Callable[[bytes], Iterator[np.ndarray]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = units()
+        for b in batches:
+            for text in b.column("text"):
+                for found in of(text.as_py().encode()):
+                    unit, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(n.astype(np.int64))], ["unit", "n"])
+
+    return run
+
+
+def frequent(rows: DataFrame, units: Callable[[], Callable[[bytes], Iterator[np.ndarray]]]) -> np.ndarray:
+    """The frequent units of the texts, sorted; ``units()`` makes a function that gives the units of a text, piece by piece."""
+    some = rows.filter(chance(F.col("doc"), F.col("key"), F.lit("units")) < F.lit(UNIT_SHARE)).select("text")
+    counted = some.mapInArrow(_counted(units), "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= UNIT_SHARE * FREQUENT).orderBy(F.desc("n"), "unit").limit(MOST_FREQUENT).toArrow()
+    return np.sort(found.column("unit").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def several(minis: np.ndarray) -> np.ndarray:
     """True for the strings whose minimiser another string has too."""
     _, inverse, counts = np.unique(minis, return_inverse=True, return_counts=True)
@@ -195,11 +251,12 @@ def counts(text_bytes: int, partitions: int) -> tuple[int, int]:
     return max(2 * parts, -(-text_bytes // BUCKET_BYTES)), parts
 
 
-def in_buckets(rows: DataFrame, pack: Callable[[int], Callable], bucket: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Spans (doc, key, span) that ``bucket`` finds in the blocks of each bucket, made by ``pack(buckets)``."""
+def in_buckets(rows: DataFrame, units: Callable, pack: Callable[[int, Broadcast], Callable], bucket: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Spans (doc, key, span) that ``bucket`` finds in the blocks of each bucket, made by ``pack(buckets, frequent units)``."""
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets, parts = counts(total, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = rows.select("doc", "key", "text").mapInArrow(pack(buckets), "bucket int, block binary")
+    often = rows.sparkSession.sparkContext.broadcast(frequent(rows, units))
+    blocks = rows.select("doc", "key", "text").mapInArrow(pack(buckets, often), "bucket int, block binary")
     return blocks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(bucket, REMOVED)
 
 

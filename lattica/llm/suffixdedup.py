@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import packing
@@ -36,29 +37,51 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 class Minimisers:
-    """Minimisers of the windows of a piece of text: least hash of UNIT consecutive bytes."""
+    """Minimisers of the windows of a piece of text: least hash of UNIT consecutive bytes, frequent ones last."""
 
-    def __init__(self) -> None:
+    def __init__(self, often: packing.Frequent) -> None:
+        self.often = often
         self.up, self.down = np.empty(0, np.uint64), np.empty(0, np.uint64)
 
-    def of(self, data: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) < len(data):
             n = max(len(data), 1 << 16)
             self.up, self.down = _powers(_ODD, n), _powers(_INVERSE, n)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)))
-        h = (total[UNIT:] - total[:-UNIT]) * self.down[: len(data) - UNIT + 1]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        return packing.sliding_min(h, LENGTH - UNIT + 1)
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)))
+
+    def units(self, total: np.ndarray) -> np.ndarray:
+        """Hash of each UNIT consecutive bytes, by the sums of the piece."""
+        return _mixed((total[UNIT:] - total[:-UNIT]) * self.down[: len(total) - UNIT])
+
+    def of(self, data: np.ndarray) -> np.ndarray:
+        total = self.sums(data)
+        h = self.units(total)
+        return packing.minimisers((h >> np.uint64(1)) | self.often.flags(h).astype(np.uint64) << np.uint64(63), LENGTH - UNIT + 1)
+
+
+def _units():
+    minimisers = Minimisers(packing.Frequent(np.empty(0, np.uint64)))
+
+    def of(text: bytes) -> Iterator[np.ndarray]:
+        for piece in range(0, len(text) - LENGTH + 1, PIECE):
+            yield minimisers.units(minimisers.sums(np.frombuffer(text[piece : piece + PIECE + UNIT - 1], np.uint8)))
+
+    return of
 
 
-def _pack(buckets: int):
+def _pack(buckets: int, often: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, minimisers = packing.Packer(buckets, len, within=True), Minimisers()
+        packer, minimisers = packing.Packer(buckets, len, within=True), Minimisers(packing.Frequent(often.value))
         for b in batches:
             for doc, key, text in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 data = text.as_py().encode()
@@ -267,7 +290,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = packing.keyed(docs)
-    spans = packing.in_buckets(rows, _pack, _bucket)
+    spans = packing.in_buckets(rows, _units, _pack, _bucket)
     kind = dict(docs.dtypes)["doc_id"]
     return packing.with_spans(rows, spans).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

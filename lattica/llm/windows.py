@@ -1,6 +1,6 @@
 """Substring deduplication of 13-word windows by super-k-mer partitioning.
 
-The minimiser of a window is the least of its 3-word hashes, short and therefore common word triples last. Consecutive windows
+The minimiser of a window is the least of its 3-word hashes, short word triples late and frequent ones last. Consecutive windows
 sharing a minimiser travel as one packed string to its bucket, where windows are sorted by ranks of doubling length and equal
 ones are counted exactly, with the least doc_id of each.
 """
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import packing
@@ -22,7 +23,7 @@ by_value(__name__)
 
 WINDOW = 13
 UNIT = 3
-#: Triples of fewer bytes of words come last in the order of minimisers.
+#: Triples of fewer bytes of words come late in the order of minimisers.
 SHORT = 14
 
 
@@ -34,27 +35,46 @@ class Hashes(dict):
         return h
 
 
-def minimisers(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Minimiser of each window of WINDOW words; the top bit is set where all its triples are short."""
+def units(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each UNIT consecutive words."""
     h = hashes
     unit = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
     unit ^= unit >> np.uint64(29)
     unit *= np.uint64(0xBF58476D1CE4E5B9)
     unit ^= unit >> np.uint64(32)
-    short = (lengths[:-2] + lengths[1:-1] + lengths[2:] < SHORT).astype(np.uint64) << np.uint64(63)
-    return packing.sliding_min((unit >> np.uint64(1)) | short, WINDOW - UNIT + 1)
+    return unit
 
 
-def _pack(buckets: int):
+def minimisers(hashes: np.ndarray, lengths: np.ndarray, often: packing.Frequent) -> np.ndarray:
+    """Minimiser of each window of WINDOW words, short triples late and frequent ones last."""
+    unit = units(hashes)
+    short = (lengths[:-2] + lengths[1:-1] + lengths[2:] < SHORT).astype(np.uint64) << np.uint64(62)
+    last = often.flags(unit).astype(np.uint64) << np.uint64(63)
+    return packing.minimisers((unit >> np.uint64(2)) | short | last, WINDOW - UNIT + 1)
+
+
+def _units():
+    cache = Hashes()
+
+    def of(text: bytes) -> Iterator[np.ndarray]:
+        words = text.split()
+        if len(words) >= WINDOW:
+            yield units(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+
+    return of
+
+
+def _pack(buckets: int, often: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, cache = packing.Packer(buckets, lambda s: s.count(b" ") + 1, within=False), Hashes()
+        last = packing.Frequent(often.value)
         for b in batches:
             for doc, key, text in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 words = text.as_py().encode().split()
                 if len(words) < WINDOW:
                     continue
                 hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-                minis = minimisers(hashes, np.fromiter(map(len, words), np.int64, len(words)))
+                minis = minimisers(hashes, np.fromiter(map(len, words), np.int64, len(words)), last)
                 for first, end in packing.runs(minis):
                     packer.add(b" ".join(words[first : end + WINDOW - 1]), int(minis[first]), doc, key, first)
                     if packer.held > packing.HELD_BYTES:
@@ -136,7 +156,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = packing.keyed(docs)
-    spans = packing.in_buckets(rows, _pack, _bucket)
+    spans = packing.in_buckets(rows, _units, _pack, _bucket)
     kind = dict(docs.dtypes)["doc_id"]
     return packing.with_spans(rows, spans).mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 

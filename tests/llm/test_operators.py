@@ -138,10 +138,13 @@ def test_buckets_follow_the_bytes():
     assert packing.counts(30 * 10**9, 200)[1] > 400
 
 
-@pytest.mark.parametrize("held", [1, 4000])
-def test_copies_settled_in_the_task(spark, monkeypatch, held):
-    """Many copies of a passage, with blocks sent at once or after many strings, against brute force."""
+@pytest.mark.parametrize(("held", "frequent"), [(1, 1 << 16), (4000, 1 << 16), (4000, 20), (4000, 1)])
+def test_copies_settled_in_the_task(spark, monkeypatch, held, frequent):
+    """Many copies of a passage, with blocks sent at once or after many strings, against brute force; no unit is frequent, those
+    of the passage, or all."""
     monkeypatch.setattr(packing, "HELD_BYTES", held)
+    monkeypatch.setattr(packing, "UNIT_SHARE", 1.01)
+    monkeypatch.setattr(packing, "FREQUENT", frequent)
     rnd = random.Random(6)
     words = lambda n: " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randint(0, 99)) for _ in range(n))
     passage = words(30)
@@ -165,6 +168,23 @@ def test_copies_settled_in_the_task(spark, monkeypatch, held):
         assert got[i].kept == " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
+def test_frequent_units_draw_no_strings(spark, monkeypatch):
+    """Strings around a passage don't meet at the minimisers of its edges: none has as many strings as a frequent unit has places."""
+    monkeypatch.setattr(packing, "UNIT_SHARE", 1.01)
+    monkeypatch.setattr(packing, "FREQUENT", 50)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(7))
+    passage = " ".join(word() for _ in range(40))
+    rows = packing.keyed(spark.createDataFrame([(i, " ".join([*(word() for _ in range(15)), passage, *(word() for _ in range(15))])) for i in range(200)], "doc_id long, text string"))
+    for module, hashed in ((windows, windows._units), (suffixdedup, suffixdedup._units)):
+        found = packing.frequent(rows, hashed)
+        most = []
+        for often in (found, found[:0]):
+            blocks = [b for batch in module._pack(1, type("", (), {"value": often}))(rows.toArrow().to_batches()) for b in batch.column("block").to_pylist()]
+            most.append(int(np.unique(packing.unpack(blocks)[1], return_counts=True)[1].max()))
+        assert len(found) > 30 and most[0] < packing.FREQUENT < most[1]
+
+
 def test_window_dedup(docs):
     got, first = by_id(windows.deduplicated(docs)), {}
     for i, t, *_ in corpus():
