@@ -13,6 +13,7 @@ documents; any set of them gives the same spans, as a window's minimiser still d
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ class Packer:
     def clear(self) -> None:
         self.ids: dict[bytes, int] = {}
         self.minis: list[int] = []
-        self.places: list[tuple[int, int, int, int]] = []
+        self.places = array("q")  # string, doc, key, start of each place
         self.held = 0
 
     def add(self, string: bytes, mini: int, doc: int, key: int, start: int) -> None:
@@ -59,7 +60,7 @@ class Packer:
             self.minis.append(mini)
             self.held += len(string) + 60
         self.held += 40
-        self.places.append((i, doc, key, start))
+        self.places.extend((i, doc, key, start))
 
     def earliest(self, places: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, tuple[list[int], list[bytes]]]:
         """The earliest places of each string, and blocks, dealt by document, with the spans of the others."""
@@ -90,7 +91,7 @@ class Packer:
         minis = np.array(self.minis, np.uint64)
         home = (minis % np.uint64(self.buckets)).astype(np.int64)
         strings = list(self.ids)
-        places, settled = self.earliest(np.array(self.places, np.int64), strings)
+        places, settled = self.earliest(np.frombuffer(self.places, np.int64).reshape(-1, 4), strings)
         order, place_home = np.argsort(home, kind="stable"), home[places[:, 0]]
         local = np.empty(len(home), np.int64)
         by_place = np.argsort(place_home, kind="stable")
