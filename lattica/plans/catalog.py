@@ -605,6 +605,18 @@ def community_groups(spark, d):
     return found.groupBy("community", "label").agg(F.count(F.lit(1)).alias("cells")).select("label", "cells")
 
 
+_LABELS = "l AS (SELECT s_suppkey AS cell_id, s_nationkey % 2 AS a, s_nationkey % 3 AS b, s_suppkey % 4 AS c, s_suppkey % 7 AS d FROM supplier)"
+
+
+@query(f"WITH {_LABELS}, p AS (SELECT x.cell_id, y.cell_id AS nbr_id, ((x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.c <> y.c)::INT + (x.d <> y.d)::INT) / 4.0::DOUBLE AS dist FROM l x JOIN l y ON x.cell_id <> y.cell_id) SELECT cell_id, nbr_id, dist FROM p QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY dist, nbr_id) <= 14")
+def hamming_knn(spark, d):
+    """Neighbours by the labels of four models."""
+    s = v.table(spark, d, "supplier")
+    models = {"a": F.col("s_nationkey") % 2, "b": F.col("s_nationkey") % 3, "c": F.col("s_suppkey") % 4, "d": F.col("s_suppkey") % 7}
+    labels = F.array(*[F.struct(F.lit(m).alias("model"), x.cast("long").alias("label")) for m, x in models.items()])
+    return clusters.hamming_nearest(s.select(F.col("s_suppkey").alias("cell_id"), F.inline(labels)))
+
+
 @query()
 def ensemble_network(spark, d):
     """Training and attribution over all genes: 3 models, their mean network."""

@@ -306,3 +306,28 @@ def test_communities(spark):
     assert len({spread[x] for x in "abc"}) == 1 and len({spread[x] for x in "def"}) == 1
     big = clusters.spectral(knn, 2, method="power").collect()
     assert len(big) == 6
+
+
+def test_potts_communities(spark):
+    """A triangle, a pair and a weak link between them: resolution decides whether a link is worth a pair."""
+    links = [("a", "b", 1.0), ("b", "a", 0.9), ("b", "c", 0.9), ("a", "c", 0.9), ("d", "e", 0.9), ("c", "d", 0.3)]
+    knn = spark.createDataFrame(links, "cell_id string, nbr_id string, w double")
+    got = lambda r: as_dict(clusters.potts_communities(knn, r), "cell_id", "community")
+    assert got(0.5) == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1}
+    assert got(1.0) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4}
+    assert set(got(0.01).values()) == {0}
+
+
+def test_consensus_of_models(spark):
+    """Two models agree on two groups of cells, a third splits them at random; each model's own network gives its labels."""
+    rng = np.random.default_rng(8)
+    grn = lambda half: spark.createDataFrame([(f"cell{i:02d}", f"g{g}", float(rng.normal(6 if (g < 3) == half(i) else 0, 0.3))) for i in range(24) for g in range(6)], "cell_id string, gene string, x double")
+    labels = clusters.model_labels({"m1": grn(lambda i: i < 12), "m2": grn(lambda i: i < 12), "m3": grn(lambda i: i % 2 == 0)}, 5, 3).persist()
+    assert labels.count() == 72 and labels.select("model", "label").distinct().count() == 6
+    near = {(r.cell_id, r.nbr_id): r.dist for r in clusters.hamming_nearest(labels, 23).collect()}
+    own = {}
+    for r in labels.collect():
+        own.setdefault(r.cell_id, {})[r.model] = r.label
+    assert near == {(a, b): pytest.approx(sum(own[a][m] != own[b][m] for m in own[a]) / 3) for a in own for b in own if a != b}
+    got = as_dict(clusters.consensus_communities(labels, 23, 0.5, closeness=True), "cell_id", "community")
+    assert len({got[f"cell{i:02d}"] for i in range(12)}) == 1 and len(set(got.values())) == 2
