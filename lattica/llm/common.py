@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Java/RE2 class of the characters that separate words.
 SPACE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of one key from which a join deals the key to several tasks.
+HOT_ROWS = 1_000_000
 
 
 def by_value(name: str) -> None:
@@ -123,3 +125,20 @@ def spread(rows: DataFrame, bins: int, per_bin: int) -> DataFrame:
 
 def bins_for(rows: int, per_bin: int = 20_000) -> int:
     return max(1, -(-rows // per_bin))
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``many(key, ...)`` joined with ``one(key, ...)``, which has each key once; rows of ``many`` without a match go.
+
+    ``many`` is a table on disk, so a row read again has the same number. A key with more than HOT_ROWS rows is dealt to as many
+    parts as it fills, and its row of ``one`` goes to each of them. Such keys are fewer than the rows of ``many`` over HOT_ROWS, so
+    telling them to all tasks is small.
+    """
+    hot = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS)).cast("int").alias("__parts")).filter("__parts > 1")
+    if hot.isEmpty():
+        return many.join(one, key)
+    hot = F.broadcast(hot)
+    parts = F.coalesce("__parts", F.lit(1))
+    many = many.join(hot, key, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
+    one = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return many.join(one, [key, "__part"]).drop("__part")

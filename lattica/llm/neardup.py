@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lattica.llm import simhash
-from lattica.llm.common import by_value, numbered, small_batches, written
+from lattica.llm.common import by_value, dealt_join, numbered, small_batches, written
 
 by_value(__name__)
 
@@ -150,12 +150,13 @@ def classes(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     stars = own.select("set", F.explode("keys").alias("key")).withColumn("a", F.min("set").over(key)).filter(F.col("a") < F.col("set")).select("a", F.col("set").alias("b"))
     # equal fingerprints of different sets are candidates too: each with the least set of its fingerprint
     by_fp = own.groupBy("fp").agg(F.min("set").alias("a"))
-    same = own.join(by_fp, "fp").filter(F.col("a") < F.col("set")).select("a", F.col("set").alias("b"))
-    near = simhash.links(by_fp.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
-    near = near.join(by_fp.select(F.col("fp").alias("fa"), F.col("a")), "fa").join(by_fp.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select("a", "b")
-    groups = _labelled(own.drop("keys", "fp"), stars.unionAll(same).unionAll(near).distinct()).withColumnRenamed("label", "group")
+    same = dealt_join(own.select("set", "fp"), by_fp, "fp").filter(F.col("a") < F.col("set")).select("a", F.col("set").alias("b"))
+    near = written(simhash.links(by_fp.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"}), "near-pairs")
+    near = written(dealt_join(near, by_fp.select(F.col("fp").alias("fa"), F.col("a")), "fa"), "near-pairs")
+    near = dealt_join(near, by_fp.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select("a", "b")
+    groups = written(_labelled(own.drop("keys", "fp"), stars.unionAll(same).unionAll(near).distinct()).withColumnRenamed("label", "group"), "near-groups")
     of = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / block).cast("int").alias("blocks")).filter("n > 1")
-    members = groups.join(of, "group").select("group", "set", "at", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
+    members = dealt_join(groups, of, "group").select("group", "set", "at", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
     members = written(members, "near-members")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.expr("sequence(1, blocks - 1)")).otherwise(F.array("block"))
     tasks = members.withColumn("second", F.explode(others)).select(_task("group", F.lit(0), F.col("second")).alias("task"), "set", "at")
@@ -165,11 +166,11 @@ def classes(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         now = written(_labelled(split, links), "near-split")
         counts = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
         largest = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        rest = now.join(largest, "group").filter(F.col("label") != F.col("largest"))
+        rest = written(dealt_join(now, largest, "group").filter(F.col("label") != F.col("largest")), "near-rest")
         parts = rest.join(own.select("set", "size"), "set").groupBy("group").agg(F.ceil(F.sum("size") / block).cast("int").alias("parts"))
-        outside = rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int"))
+        outside = dealt_join(rest, parts, "group").withColumn("part", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int"))
         outside = outside.withColumn("second", F.explode(F.expr("sequence(0, blocks - 1)"))).select(_task("group", "part", F.col("second")).alias("task"), "set", "at")
-        every = now.join(parts, "group").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(_task("group", "part", F.col("block")).alias("task"), "set", "at")
+        every = dealt_join(now, parts, "group").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(_task("group", "part", F.col("block")).alias("task"), "set", "at")
         links = links.unionAll(written(_compared(outside.unionAll(every).distinct(), rows), "near-links"))
     none = marked.filter("size = 0").select("set").distinct()
     return marked, _labelled(own.select("set"), links).unionAll(none.select("set", F.col("set").alias("label")))

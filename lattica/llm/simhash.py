@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lattica.llm.common import by_value, small_batches, table, written
+from lattica.llm.common import by_value, dealt_join, small_batches, table, written
 
 by_value(__name__)
 
@@ -141,13 +141,13 @@ def connected(edges: DataFrame) -> DataFrame:
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b"), F.col("a"))), "links")
     labels = written(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), F.col("label").alias("l")), "u").groupBy("v").agg(F.min("l").alias("l"))
+        near = dealt_join(both, labels.select(F.col("v").alias("u"), F.col("label").alias("l")), "u").groupBy("v").agg(F.min("l").alias("l"))
         # hook the old label's root, not only the node: roots of two linked trees merge at once
-        step = labels.join(near, "v").select("v", "label", F.least("label", "l").alias("low"))
-        hooks = step.groupBy("label").agg(F.min("low").alias("root")).withColumnRenamed("label", "old")
-        moved = step.join(hooks, step["label"] == hooks["old"]).select("v", "label", F.least("low", "root").alias("low"))
-        jump = labels.select(F.col("v").alias("w"), F.col("label").alias("up"))
-        new = moved.join(jump, moved["low"] == jump["w"]).select("v", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("changed"))
+        step = written(labels.join(near, "v").select("v", "label", F.least("label", "l").alias("low")), "steps")
+        hooks = step.groupBy("label").agg(F.min("low").alias("root"))
+        moved = written(dealt_join(step, hooks, "label").select("v", "label", F.least("low", "root").alias("low")), "moves")
+        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("up"))
+        new = dealt_join(moved, jump, "low").select("v", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("changed"))
         new = written(new, "labels")
         if new.filter("changed").isEmpty():
             return new.select("v", "label")
@@ -164,8 +164,9 @@ def components(docs: DataFrame) -> DataFrame:
     own = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     comp = connected(links(own.select("fp")))
     own = own.join(comp, own["fp"] == comp["v"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
+    own = written(own, "labelled")
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.join(own.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return dealt_join(marked, dealt_join(own, least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

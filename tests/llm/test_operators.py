@@ -270,8 +270,23 @@ def test_simhash(docs):
     assert {i: got[i].component_id for i in got} == brute_components(fps)
 
 
-def test_hamming_links(spark):
-    """Dense balls and chains of fingerprints, all bits in use."""
+def test_dealt_join(spark, monkeypatch):
+    """A key of most rows, null and unmatched keys, and repeated rows: the rows of a plain join, the hot key in several parts."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [("hot", i % 7) for i in range(200)] + [(f"k{i % 40}", i) for i in range(100)] + [(None, 1)] * 30 + [("lost", 2)] * 30
+    many = common.written(spark.createDataFrame(rows, "key string, x long"), "dealt")
+    one = spark.createDataFrame([("hot", 1.0), ("unused", 2.0), *((f"k{i}", float(i)) for i in range(40))], "key string, y double")
+    got = common.dealt_join(many, one, "key")
+    assert got.columns == ["key", "x", "y"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, "key").collect()))
+    assert common.dealt_join(many.filter("key = 'k1'"), one, "key").count() == 3
+    assert common.dealt_join(many.limit(0), one, "key").count() == 0
+
+
+@pytest.mark.parametrize("hot", [common.HOT_ROWS, 8])
+def test_hamming_links(spark, monkeypatch, hot):
+    """Dense balls and chains of fingerprints, all bits in use; joins with and without hot keys."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rnd = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(12):
