@@ -259,7 +259,9 @@ def brute_components(fps: dict[int, int]) -> dict[int, int]:
     return {i: root(i) for i in ids}
 
 
-def test_simhash(docs):
+@pytest.mark.parametrize("hot", [common.HOT_ROWS, 2])
+def test_simhash(docs, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     got, fps = by_id(simhash.components(docs)), {}
     for i, t, *_ in corpus():
         w = split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -283,10 +285,8 @@ def test_dealt_join(spark, monkeypatch):
     assert common.dealt_join(many.limit(0), one, "key").count() == 0
 
 
-@pytest.mark.parametrize("hot", [common.HOT_ROWS, 8])
-def test_hamming_links(spark, monkeypatch, hot):
-    """Dense balls and chains of fingerprints, all bits in use; joins with and without hot keys."""
-    monkeypatch.setattr(common, "HOT_ROWS", hot)
+def test_hamming_links(spark):
+    """Dense balls and chains of fingerprints, all bits in use."""
     rnd = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(12):
