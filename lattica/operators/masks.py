@@ -3,58 +3,195 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources.files import stored
+
 
 def binarize(expr: DataFrame, threshold: float = 0.0) -> DataFrame:
     return expr.withColumn("b", (F.col("x") > threshold).cast("int"))
 
 
-def nearest(expr: DataFrame, k: int, block_cells: int = 2000) -> DataFrame:
-    """cell_id, nbr_id, dist: the exact k nearest other cells by Euclidean distance, ties by id.
+#: Numbers in the pivots that every task gets (16 MB), whatever the number of cells.
+PIVOT_NUMBERS = 1 << 21
+#: Parts of balls, of which every task knows radius and size.
+MOST_PARTS = 1 << 17
+
+
+class _Index:
+    """Balls around pivots, cut to parts of bounded size: what a task needs to tell which parts a cell must be compared with.
 
-    Cells are packed in blocks; each pair of blocks is one task of dense products, which keeps k of each cell, and a window
-    merges them. Work is quadratic in the cells, as exact neighbours are; no task holds more than two blocks.
+    ``centre``, ``low``, ``high`` and ``count`` of part p are its ball, the least and largest distance of its cells from the ball's
+    pivot, and their number. By the triangle inequality a cell at distance d of the pivot is no nearer than max(d - high, low - d)
+    to any of them. ``slack`` is above what rounding can do to these distances.
     """
-    genes = F.array_sort(F.collect_list(F.struct("gene", "x")))
-    packed = expr.groupBy("cell_id").agg(F.transform(genes, lambda s: s["x"].cast("double")).alias("v"))
-    blocks = max(1, -(-packed.count() // block_cells))
-    packed = packed.withColumn("blk", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"))
-    sides = F.array(*[F.struct(F.lit(j).alias("other")) for j in range(blocks)])
-    left = packed.select("cell_id", "v", F.col("blk").alias("i"), F.explode(sides).alias("o")).select("cell_id", "v", "i", F.col("o.other").alias("j"))
-    right = packed.select("cell_id", "v", F.col("blk").alias("j"), F.explode(sides).alias("o")).select("cell_id", "v", F.col("o.other").alias("i"), "j").toDF("cell_id", "v", "i", "j")
-    kind = dict(expr.dtypes)["cell_id"]
 
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, pivots: np.ndarray, parts: pd.DataFrame):
+        self.pivots, self.norms = pivots, (pivots * pivots).sum(axis=1)
+        self.centre, self.low, self.high, self.count = (parts[c].to_numpy() for c in ("ball", "low", "high", "n"))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + self.norms - 2 * x @ self.pivots.T, 0))
+
+    def slack(self, x: np.ndarray) -> np.ndarray:
+        return 1e-6 * (np.sqrt((x * x).sum(axis=1)) + np.sqrt(self.norms.max()))
+
+    def visits(self, x: np.ndarray, k: int, tau: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of x, parts) to compare. Without ``tau`` those of the nearest balls that have more than ``k`` cells together;
+        with it, all others that can hold a cell within ``tau``."""
+        d = self.distances(x)[:, self.centre]
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(self.count[order], axis=1) - self.count[order]
+        first = np.zeros(d.shape, bool)
+        np.put_along_axis(first, order, before <= k, axis=1)
+        if tau is None:
+            return np.nonzero(first)
+        bound = np.maximum(d - self.high, self.low - d)
+        return np.nonzero(~first & (bound <= tau[:, None] + self.slack(x)[:, None]))
+
+
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    step = max(1, (1 << 21) // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _closest(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, tau: np.ndarray) -> pd.DataFrame:
+    """The ``k`` nearest of the cells ``ids``, which ascend, to each cell of ``own``, no farther than ``tau``; ties by id.
+
+    Products give rough distances, whose k-th and all within rounding of it are measured exactly, so ties at the end are all seen.
+    """
+    norms, out = (y * y).sum(axis=1), []
+    for c in _chunks(len(x), len(y)):
+        part = x[c]
+        size = (part * part).sum(axis=1)
+        rough = size[:, None] + norms - 2 * part @ y.T
+        margin = 1e-11 * (size + norms.max())
+        at = np.searchsorted(ids, own[c])
+        here = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == own[c])
+        rough[here, at[here]] = np.inf
+        limit = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + margin
+        row, col = np.nonzero((rough <= np.minimum(limit, tau[c] ** 2 + margin)[:, None]) & np.isfinite(rough))
+        dist = np.concatenate([np.sqrt(((y[col[p]] - part[row[p]]) ** 2).sum(axis=1)) for p in _chunks(len(row), y.shape[1])] or [np.empty(0)])
+        order = np.lexsort((col, dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = (place < k) & (dist <= tau[c][row])
+        out.append(pd.DataFrame({"cell_id": own[c][row[best]], "nbr_id": ids[col[best]], "dist": dist[best]}))
+    return pd.concat(out)
+
+
+def _searched(cells: DataFrame, members: DataFrame, index: _Index, k: int, block_cells: int) -> tuple[DataFrame, int]:
+    """(cell_id, nbr_id, dist; number of pairs compared): candidates from the parts that ``cells(cell_id, v[, tau])`` visit.
+
+    A part that many cells visit is copied for slices of these, so no group has more than about 4 x ``block_cells`` visits.
+    """
+    kind, later = dict(cells.dtypes)["cell_id"], "tau" in cells.columns
+    parts = len(index.count)
+
+    def of(b: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        x = np.stack(b["v"].to_numpy())
+        tau = b["tau"].to_numpy() if later else None
+        for c in _chunks(len(x), parts):
+            yield c, *index.visits(x[c], k, tau[c] if later else None)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(parts, np.int64)
+        for b in batches:
+            if len(b):
+                for _, _, part in of(b):
+                    n += np.bincount(part, minlength=parts)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"part": some, "n": n[some]})
+
+    n = np.zeros(parts, np.int64)
+    for r in cells.mapInPandas(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():
+        n[r["part"]] = r["n"]
+    slices = np.maximum(1, -(-n // (4 * block_cells)))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                deal = pd.util.hash_array(b["cell_id"].to_numpy())
+                for c, row, part in of(b):
+                    for p in _chunks(len(row), len(b["v"].iloc[0])):
+                        took = b.iloc[c].iloc[row[p]]
+                        yield pd.DataFrame({"part": part[p], "slice": (deal[c][row[p]] % slices[part[p]].astype(np.uint64)).astype(np.int64), "cell_id": took["cell_id"], "v": took["v"], "tau": took["tau"] if later else np.inf})
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"cell_id": a["cell_id"][:0], "nbr_id": a["cell_id"][:0], "dist": []})
         b = b.sort_values("cell_id")
-        x, y, ids = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["cell_id"].to_numpy()
-        own, out = a["cell_id"].to_numpy(), []
-        norms = (y * y).sum(axis=1)
-        for at in range(0, len(x), 256):
-            part, names = x[at : at + 256], own[at : at + 256]
-            # products choose some more than k, whose exact distances then decide
-            rough = norms - 2 * part @ y.T
-            rough[names[:, None] == ids] = np.inf
-            more = min(k + 16, len(ids))
-            some = np.sort(np.argpartition(rough, more - 1, axis=1)[:, :more], axis=1)
-            d = np.sqrt(((y[some] - part[:, None]) ** 2).sum(axis=2))
-            d[names[:, None] == ids[some]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, best, axis=1).ravel()
-            nbr = ids[np.take_along_axis(some, best, axis=1)].ravel()
-            ok = np.isfinite(dist)
-            out.append(pd.DataFrame({"cell_id": np.repeat(names, best.shape[1])[ok], "nbr_id": nbr[ok], "dist": dist[ok]}))
-        return pd.concat(out)
-
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, f"cell_id {kind}, nbr_id {kind}, dist double")
+        return _closest(a["cell_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["cell_id"].to_numpy(), np.stack(b["v"].to_numpy()), k, a["tau"].to_numpy())
+
+    asked = cells.mapInPandas(send, f"part int, slice long, cell_id {kind}, v array<double>, tau double")
+    copies = members.sparkSession.createDataFrame([(p, int(s)) for p, s in enumerate(slices) if n[p]], "part int, copies long")
+    held = members.join(F.broadcast(copies), "part").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    found = asked.groupBy("part", "slice").cogroup(held.groupBy("part", "slice")).applyInPandas(search, f"cell_id {kind}, nbr_id {kind}, dist double")
+    return found, int((n * index.count).sum())
+
+
+def _neighbours(expr: DataFrame, k: int, block_cells: int) -> tuple[DataFrame, int, int]:
+    """(cell_id, nbr_id, dist; pairs compared; pairs there are)."""
+    genes = F.array_sort(F.collect_list(F.struct("gene", "x")))
+    cells = stored(expr.groupBy("cell_id").agg(F.transform(genes, lambda s: s["x"].cast("double")).alias("v")))
+    kind = dict(expr.dtypes)["cell_id"]
+    shape = cells.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("m")).first()
+    n = shape["n"]
+    if n < 2:
+        return expr.sparkSession.createDataFrame([], f"cell_id {kind}, nbr_id {kind}, dist double"), 0, 0
+    balls = max(1, min(-(-n // block_cells), PIVOT_NUMBERS // max(1, shape["m"])))
+    pivots = np.array([r["v"] for r in cells.orderBy(F.xxhash64("cell_id"), "cell_id").limit(balls).select("v").collect()])
+    around = _Index(pivots, pd.DataFrame({"ball": [0], "low": [0.0], "high": [0.0], "n": [0]}))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy())
+                for c in _chunks(len(x), len(pivots)):
+                    d = around.distances(x[c])
+                    yield pd.DataFrame({"cell_id": b["cell_id"].iloc[c], "v": b["v"].iloc[c], "ball": d.argmin(axis=1), "r": d.min(axis=1)})
+
+    dealt = stored(cells.mapInPandas(assign, f"cell_id {kind}, v array<double>, ball int, r double"))
+    size = max(block_cells, -(-n // MOST_PARTS))
+    cut = dealt.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("cuts"))
+    dealt = dealt.join(F.broadcast(cut), "ball").withColumn("cut", F.pmod(F.xxhash64("cell_id", F.lit("part")), F.col("cuts")))
+    parts = dealt.groupBy("ball", "cut").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("ball", "cut").toPandas()
+    parts["part"] = range(len(parts))
+    numbers = expr.sparkSession.createDataFrame(parts[["ball", "cut", "part"]], "ball int, cut long, part int")
+    members = stored(dealt.join(F.broadcast(numbers), ["ball", "cut"]).select("part", "cell_id", "v"))
+    index = _Index(pivots, parts)
+    first, compared = _searched(cells, members, index, k, size)
+    first = stored(first)
     order = Window.partitionBy("cell_id").orderBy("dist", "nbr_id")
-    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    near = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    if len(parts) == 1:
+        return near, compared - n, n * (n - 1)
+    # a cell that has fewer than k others so far has seen them all
+    tau = near.groupBy("cell_id").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("tau"))
+    bounded = cells.join(tau.select("cell_id", F.when(F.col("c") >= k, F.col("tau")).otherwise(F.lit(float("inf"))).alias("tau")), "cell_id")
+    rest, more = _searched(stored(bounded), members, index, k, size)
+    both = near.unionByName(rest).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    return both, compared + more - n, n * (n - 1)
+
+
+def nearest(expr: DataFrame, k: int, block_cells: int = 1000) -> DataFrame:
+    """cell_id, nbr_id, dist: the exact k nearest other cells by Euclidean distance, ties by id.
+
+    Cells form balls around pivots. Each is first compared with the nearest balls' cells, which bounds its k-th distance, then with
+    every part of a ball that the triangle inequality can't rule out. Where all distances are much alike (many dimensions without
+    clusters) nothing can be ruled out, and the work is that of all pairs, in groups of bounded size.
+    """
+    return _neighbours(expr, k, block_cells)[0]
+
+
+def compared_pairs(expr: DataFrame, k: int, block_cells: int = 1000) -> tuple[int, int]:
+    """(ordered pairs of cells that ``nearest`` compares, ordered pairs there are)."""
+    return _neighbours(expr, k, block_cells)[1:]
 
 
 def neighbourhood(expr: DataFrame, knn: DataFrame, required: int = 1, threshold: float = 0.0) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BED_SCHEMA = "chr string, start long, end long, TF_list string, TF_number long, strand string, number1 long, number2 long, large_number string"
@@ -63,6 +63,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written below spark.checkpoint.dir and read back: lineage ends there, and lost executors cost nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, the place of each row from 0 by ``order``.
+
+    Rows are sorted by range and written; a row's file and its place there number it, with sums of the files' rows, so no task has
+    more than its range.
+    """
+    done = stored(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    file = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.file_name").alias("file"))
+    done = done.select(*df.columns, file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = done.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")).select("__file", F.coalesce(before, F.lit(0)).alias("__start"))
+    return done.join(F.broadcast(starts), "__file").select(*df.columns, (F.col("__start") + F.col("__row")).alias(name))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
