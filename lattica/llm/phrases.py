@@ -34,6 +34,8 @@ HELD_BYTES = 24 << 20
 #: One of so many documents tells which words are hot: those with a share of 1 / HOT_SHARE or more, so at most HOT_SHARE a language.
 SAMPLE = 64
 HOT_SHARE = 512
+#: Exact for counts below 10^15 and parts below 10^18.
+SCORE = "(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
 
 
 class _Ids(dict):
@@ -246,8 +248,7 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = 10, inside: i
     cuts = written(cuts.withColumn("part", F.struct("lang", F.col("first").alias("phrase"))), "phrase-cuts")
     cuts = written(dealt_join(cuts, parts.withColumnRenamed("n", "l"), "part").withColumn("part", F.struct("lang", F.col("rest").alias("phrase"))), "phrase-firsts")
     cuts = dealt_join(cuts, parts.withColumnRenamed("n", "r"), "part")
-    score = F.expr("(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
-    scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    scored = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     if max_n > 2:
         size = F.size("ws")
