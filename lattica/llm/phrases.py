@@ -126,68 +126,67 @@ def _sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatc
         yield batch.slice(at, rows)
 
 
+COUNTED = "lang string, phrase string, words int, n long, partial boolean"
+
+
 def _stacked(max_n: int, least: int):
     """Counts of all prefixes of sorted suffixes: lang, phrase, words, count, partial.
 
-    The stack holds, for each number of words, the open prefix, its count so far, and whether some of its suffixes were dealt
-    elsewhere. A prefix is closed by the first suffix that doesn't have it. Counts below ``least`` go, but for those in part and,
-    at zero words, the language's sum.
+    The stack holds, for each number of words, the open prefix, its count so far, and by how many words its suffixes were dealt. A
+    prefix is closed by the first suffix that doesn't have it. A batch is gone through by columns, one number of words after
+    the other: runs of equal prefixes within it are summed, its first run goes on with the stack's, its last stays open. Counts
+    below ``least`` go, but for those of which other tasks have a part, and the language's sum, which has zero words.
     """
+    types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+
+    def rows(lang, phrase, level: int, n, deep) -> pa.RecordBatch:
+        columns = [lang, phrase, np.full(len(n), level), n, deep > level if level else np.ones(len(n), bool)]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        open_lang, path, counts, deep = None, [], [0] * (max_n + 1), [0] * (max_n + 1)
-        total = 0
-
-        def close(down: int) -> None:
-            """Close all prefixes of more than ``down`` words; a prefix hands its count on to the one a word shorter."""
-            for k in range(len(path), down, -1):
-                n, d = counts[k], deep[k]
-                if n >= least or d > k:
-                    for column, value in zip(out, (open_lang, JOINT.join(path[:k]), k, n, d > k), strict=True):
-                        column.append(value)
-                if k > 1:
-                    counts[k - 1] += n
-                    deep[k - 1] = max(deep[k - 1], d)
-                counts[k] = deep[k] = 0
-            del path[down:]
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["lang", "phrase", "words", "n", "partial"])
-            for column in out:
-                column.clear()
-            return batch
-
-        def sum_up() -> None:
-            if total:
-                for column, value in zip(out, (open_lang, "", 0, total, True), strict=True):
-                    column.append(value)
+        path: list[str] = []  # the language and the words of the last suffix
+        counts, deep = [0] * (max_n + 1), [0] * (max_n + 1)
+
+        def closed(level: int) -> Iterator[pa.RecordBatch]:
+            if counts[level] and (counts[level] >= least or deep[level] > level or not level):
+                yield rows([path[0]], [JOINT.join(path[1 : level + 1])], level, np.array([counts[level]]), np.array([deep[level]]))
 
         for b in batches:
-            for lang, suffix, depth, count in zip(b.column("lang").to_pylist(), b.column("suffix").to_pylist(), b.column("depth").to_pylist(), b.column("count").to_pylist(), strict=True):
-                words = suffix.split(JOINT)
-                if lang != open_lang:
-                    close(0)
-                    sum_up()
-                    open_lang, total = lang, 0
-                same = 0
-                for x, y in zip(path, words):  # noqa: B905  one may be longer
-                    if x != y:
-                        break
-                    same += 1
-                if same < len(path):
-                    close(same)
-                path += words[same:]
-                k = len(words)
-                counts[k] += count
-                if depth > deep[k]:
-                    deep[k] = depth
-                total += count
-            if len(out[0]) >= 50_000:
-                yield flush()
-        close(0)
-        sum_up()
-        yield flush()
+            size = b.num_rows
+            if not size:
+                continue
+            lists = pc.split_pattern(b.column("suffix"), JOINT)
+            at = lists.offsets.to_numpy()
+            length = np.diff(at)
+            n, d = b.column("count").to_numpy(), b.column("depth").to_numpy()
+            same, columns = np.ones(size, bool), []
+            for level in range(max_n + 1):
+                has = length >= level
+                own = b.column("lang") if not level else lists.values.take(pa.array(at[:-1] + level - 1, mask=~has))
+                columns.append(own)
+                same[1:] &= np.asarray(pc.fill_null(pc.equal(own.slice(1), own.slice(0, size - 1)), False))
+                same[0] &= len(path) > level and bool(has[0]) and own[0].as_py() == path[level]
+                starts = np.flatnonzero(~same)
+                if same[0]:
+                    starts = np.concatenate([[0], starts])
+                else:
+                    yield from closed(level)
+                sums, most = np.add.reduceat(n, starts), np.maximum.reduceat(d, starts)
+                if same[0]:
+                    sums[0] += counts[level]
+                    most[0] = max(most[0], deep[level])
+                real = has[starts]
+                counts[level], deep[level] = (int(sums[-1]), int(most[-1])) if real[-1] else (0, 0)
+                told = np.flatnonzero(real[:-1] & ((sums[:-1] >= least) | (most[:-1] > level) | (level == 0)))
+                if len(told):
+                    first = pa.array(starts[told])
+                    parts = [c.take(first) for c in columns[1:]]
+                    phrase = pc.binary_join_element_wise(*parts, JOINT) if parts else pa.array([""] * len(told), pa.string())
+                    yield rows(columns[0].take(first), phrase, level, sums[told], most[told])
+            path = [b.column("lang")[size - 1].as_py(), *lists[size - 1].as_py()]
+        for level in range(max_n + 1):
+            yield from closed(level)
 
     return run
 
@@ -222,7 +221,7 @@ def counted(docs: DataFrame, max_n: int = MAX_N, least: int = 10) -> DataFrame:
     rows = own.select("lang", "text").mapInArrow(_suffix_rows(max_n, hot), "lang string, suffix string, depth int, count long")
     rows = rows.repartition("lang", F.expr("substring_index(suffix, char(0), depth)")).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    parts = written(rows.mapInArrow(_stacked(max_n, least), "lang string, phrase string, words int, n long, partial boolean"), "phrase-counts")
+    parts = written(rows.mapInArrow(_stacked(max_n, least), COUNTED), "phrase-counts")
     small_batches(spark)
     summed = parts.filter("partial").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.when(F.col("words") == 0, 1).otherwise(least))
     return parts.filter("not partial").select("lang", "phrase", "words", "n").unionByName(summed)
