@@ -30,7 +30,7 @@ JOINT = "\x00"
 #: A-Z to a-z, ends of pieces to a line feed, tab to a space.
 LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\x0a" * 10 + b" ")
 #: Bytes of text whose suffixes a task counts at a time.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 12 << 20
 #: One of so many documents tells which words are hot: those with a share of 1 / HOT_SHARE or more, so at most HOT_SHARE a language.
 SAMPLE = 64
 HOT_SHARE = 512
