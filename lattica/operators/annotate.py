@@ -40,24 +40,32 @@ def edge_overlap(edges: DataFrame, nets: list[tuple[str, DataFrame]]) -> DataFra
     return names.join(share, "net", "left").fillna(0.0, ["percent"])
 
 
-#: Mean number of bins that an interval or a search range covers; only the time of the join depends on it.
-BIN_SPANS = 2
+#: Bins of level k are 2 to the power of FINEST + STEP k wide; one bin of the last level holds everything.
+FINEST, STEP, LEVELS = 10, 3, 18
+
+
+def _bin(place, level: int):
+    return F.lit(0).cast("long") if level == LEVELS else F.shiftright(place, FINEST + STEP * level)
 
 
 def regulators(crm: DataFrame, genes: DataFrame, window: int) -> DataFrame:
     """TF, gene, nTFs, edge, regulator for factors of intervals within ``window`` of a gene's start, both ends inclusive.
 
-    The range join runs as an equality join on chromosome and bin with the band as residual, so no task holds a chromosome;
-    each (interval, gene) pair meets in the bins both cover and counts once, since factors form a set. An interval that ends
-    before it starts counts if both its ends are within the window. Without a hit: empty.
+    Each interval, widened by the window, is one row in the smallest bin that holds it, of bins in levels of eightfold width; a
+    gene's start looks into its bin of each level that has intervals. So the range join is an equality join on chromosome, level
+    and bin with the band as residual, and makes no more rows than intervals plus levels x genes, however long intervals are. A
+    factor counts once for a gene, since factors form a set. An interval that ends before it starts counts if both its ends
+    are within the window. Without a hit: empty.
     """
-    width = max(1, BIN_SPANS * window)
-    g = genes.select("chr", "gene_name", F.col("start").alias("tss"))
-    g = g.withColumn("bin", F.explode(F.sequence(F.expr(f"floor((tss - {window}) / {width})"), F.expr(f"floor((tss + {window}) / {width})"))))
-    c = crm.select("chr", F.col("start").alias("lo"), F.col("end").alias("hi"), "TF_list_list")
-    c = c.withColumn("bin", F.explode(F.sequence(F.expr(f"floor(lo / {width})"), F.expr(f"floor(hi / {width})"))))
-    near = (F.col("hi") >= F.col("tss") - window) & (F.col("lo") <= F.col("tss") + window)
-    hits = c.join(g, ["chr", "bin"]).filter(near).select("gene_name", F.explode("TF_list_list").alias("TF")).distinct()
+    c = crm.select("chr", (F.col("start").cast("long") - window).alias("lo"), (F.col("end").cast("long") + window).alias("hi"), "TF_list_list").filter("lo <= hi")
+    level = F.coalesce(*[F.when(_bin(F.col("lo"), k) == _bin(F.col("hi"), k), k) for k in range(LEVELS + 1)])
+    c = c.withColumn("level", level)
+    used = sorted(r[0] for r in c.select("level").distinct().collect())
+    at = lambda place, levels: F.coalesce(*[F.when(F.col("level") == k, _bin(place, k)) for k in levels], F.lit(0).cast("long"))
+    c = c.withColumn("bin", at(F.col("lo"), used))
+    g = genes.select("chr", "gene_name", F.col("start").cast("long").alias("tss"))
+    g = g.withColumn("level", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>"))).withColumn("bin", at(F.col("tss"), used))
+    hits = c.join(g, ["chr", "level", "bin"]).filter("tss between lo and hi").select("gene_name", F.explode("TF_list_list").alias("TF")).distinct()
     sizes = hits.groupBy("gene_name").agg(F.count(F.lit(1)).alias("nTFs"))
     out = hits.join(sizes, "gene_name")
     return out.select("TF", F.col("gene_name").alias("gene"), "nTFs", edge_key("TF", "gene_name").alias("edge"), F.lit(True).alias("regulator"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources.files import positions, stored
+
 
 def edge_key(source="source", target="target") -> Column:
     """Display name of an edge; joins use the pair, since names may hold the separator."""
@@ -51,28 +53,34 @@ def top_edge_counts(grn: DataFrame, fractions: list[float], cells: DataFrame | N
 
 def annotate_global(grn: DataFrame, fractions: list[float], key_name: str = "global", nan_fill: int = 0) -> DataFrame:
     """All edges with one count column for each fraction, named {key_name}_cell_count_{te}."""
-    wide = top_edge_counts(grn, fractions).groupBy("source", "target")
+    every = stored(edges_of(grn))
+    wide = top_edge_counts(grn, fractions, n_edges=every.count()).groupBy("source", "target")
     wide = wide.agg(*[F.max(F.when(F.col("te") == te, F.col("cell_count"))).alias(f"{key_name}_cell_count_{te}") for te in fractions])
-    return edges_of(grn).join(wide, ["source", "target"], "left").fillna(nan_fill)
+    return every.join(wide, ["source", "target"], "left").fillna(nan_fill)
 
 
 def annotate_clusters(grn: DataFrame, fractions: list[float], cells: DataFrame, nan_fill: int = 0) -> DataFrame:
     """All edges with columns cell_count_{te}_{cluster}; clusters come from ``cells``."""
-    counts = top_edge_counts(grn, fractions, cells)
+    every = stored(edges_of(grn))
+    counts = top_edge_counts(grn, fractions, cells, every.count())
     names = [f"cell_count_{te}_{c}" for te in fractions for c in sorted(r[0] for r in cells.select("cluster").distinct().collect())]
     wide = counts.withColumn("name", F.concat(F.lit("cell_count_"), F.col("te").cast("string"), F.lit("_"), F.col("cluster").cast("string"))).groupBy("source", "target").pivot("name", names)
-    return edges_of(grn).join(wide.agg(F.first("cell_count")), ["source", "target"], "left").fillna(nan_fill)
+    return every.join(wide.agg(F.first("cell_count")), ["source", "target"], "left").fillna(nan_fill)
 
 
 def filter_clusters(counts: DataFrame, n_edges: int, fraction: float, first: str, second: str) -> DataFrame:
-    """Union of the top edges by (first, second) and by (second, first); ``counts`` has both columns, ties go by edge key."""
+    """Union of the top edges by (first, second) and by (second, first); ``counts`` has both columns, ties go by edge key.
+
+    The share of the edges that stays may be large, so edges are sorted by range and numbered instead of gathered by a limit.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be above 0 and at most 1")
     missing = {first, second} - set(counts.columns)
     if missing:
         raise KeyError(f"missing columns: {sorted(missing)}")
     n = max(1, int(n_edges * fraction))
-    tops = [counts.orderBy(F.col(f"`{a}`").desc(), F.col(f"`{b}`").desc(), "edge_key").limit(n) for a, b in ((first, second), (second, first))]
+    order = lambda a, b: [F.col(f"`{a}`").desc(), F.col(f"`{b}`").desc(), F.col("edge_key").asc()]
+    tops = [positions(counts, order(a, b), "__at").filter(F.col("__at") < n).drop("__at") for a, b in ((first, second), (second, first))]
     return tops[0].unionByName(tops[1]).distinct()
 
 

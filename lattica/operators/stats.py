@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.special import normal_sf
+from lattica.operators.krylov import Blocks, index_of
 
 
 def aggregate_models(attributions: DataFrame, strategy: str = "mean") -> DataFrame:
@@ -31,10 +36,68 @@ def average_rank(order: Column, *partition: str) -> Column:
     return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(w.partitionBy(*partition, order)) - 1) / F.lit(2.0)
 
 
-def gene_correlation(expr: DataFrame) -> DataFrame:
-    """a < b, corr: Pearson correlation of all pairs of genes over cells."""
-    a, b = (expr.select("cell_id", F.col("gene").alias(n), F.col("x").alias(f"x{n}")) for n in "ab")
-    return a.join(b, "cell_id").filter("a < b").groupBy("a", "b").agg(F.corr("xa", "xb").alias("corr"))
+#: Genes of a block whose products with another block's a task sums: six matrices of its square.
+CORRELATED = 128
+
+
+def products(blocks: Blocks, width: int, of: Callable[..., np.ndarray]) -> DataFrame:
+    """p, q, data: sums, one for each task, of what ``of`` makes of two blocks of columns p <= q over the same rows.
+
+    ``of`` gets values and marks of entries (rows x ``width``) of the one block and the other, and gives a stack of matrices.
+    """
+    left, right = blocks.table.toDF("rb", "p", "i", "j", "x"), blocks.table.toDF("rb", "q", "k", "l", "y")
+
+    def filled(i: bytes, j: bytes, x: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.frombuffer(i, np.int32), np.frombuffer(j, np.int32)
+        values, there = np.zeros((rows, width)), np.zeros((rows, width))
+        values[i, j], there[i, j] = np.frombuffer(x), 1.0
+        return values, there
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        pack = lambda: pd.DataFrame([(*k, m.tobytes()) for k, m in sums.items()], columns=["p", "q", "data"])
+        for b in batches:
+            for p, q, i, j, x, k, m, y in zip(*[b[c] for c in ("p", "q", "i", "j", "x", "k", "l", "y")], strict=True):
+                rows = int(max(np.frombuffer(i, np.int32).max(), np.frombuffer(k, np.int32).max())) + 1
+                own = of(*filled(i, j, x, rows), *filled(k, m, y, rows))
+                sums[p, q] = sums[p, q] + own if (p, q) in sums else own
+            if len(sums) > 16:
+                yield pack()
+                sums.clear()
+        if sums:
+            yield pack()
+
+    return left.join(right, "rb").filter("p <= q").drop("rb").mapInPandas(partial, "p int, q int, data binary")
+
+
+def gene_correlation(expr: DataFrame, side: int = CORRELATED) -> DataFrame:
+    """a < b, corr: Pearson correlation of all pairs of genes over the cells that have both; null for one cell, or where a gene
+    doesn't vary.
+
+    Cells and genes are packed to blocks. A pair of gene blocks meets over each block of cells, and is summed in products of
+    matrices around the genes' means, so the shuffled rows are cells x genes packed, times the blocks of genes.
+    """
+    own = expr.select("cell_id", "gene", F.col("x").cast("double").alias("x")).filter("x is not null")
+    cells, genes = index_of(own, "cell_id"), index_of(own, "gene", side)
+    centred = own.join(own.groupBy("gene").agg(F.avg("x").alias("m")), "gene").select("cell_id", "gene", F.when(F.abs(F.col("x") - F.col("m")) > F.abs("m") * 1e-13, F.col("x") - F.col("m")).otherwise(F.lit(0.0)).alias("x"))
+    width = (genes.agg(F.max("pos")).first()[0] or 0) + 1
+    blocks = Blocks.of(centred.toDF("row", "col", "x"), cells, genes, zeros=True)
+
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        n, sa, sb, qa, qb, ab = sum(np.frombuffer(d).reshape(6, width, width) for d in part["data"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb, cov = qa - sa * sa / n, qb - sb * sb / n, ab - sa * sb / n
+            flat = (va <= 1e-13 * qa) | (vb <= 1e-13 * qb)
+            corr = np.where(flat, np.nan, cov / np.sqrt(va * vb))
+        i, j = np.nonzero(n > 0)
+        frame = pd.DataFrame({"p": part["p"].iloc[0], "q": part["q"].iloc[0], "i": i, "j": j, "n": n[i, j], "corr": np.clip(corr[i, j], -1, 1)})
+        return frame[(frame["p"] != frame["q"]) | (frame["i"] < frame["j"])]
+
+    met = products(blocks, width, lambda u, a, v, c: np.stack([a.T @ c, u.T @ c, a.T @ v, (u * u).T @ c, a.T @ (v * v), u.T @ v]))
+    met = met.groupBy("p", "q").applyInPandas(total, "p int, q int, i int, j int, n double, corr double")
+    kind = dict(expr.dtypes)["gene"]
+    met = met.join(genes.toDF("ga", "p", "i"), ["p", "i"]).join(genes.toDF("gb", "q", "j"), ["q", "j"])
+    return met.select(F.least("ga", "gb").cast(kind).alias("a"), F.greatest("ga", "gb").cast(kind).alias("b"), F.when(F.col("n") > 1, F.col("corr")).alias("corr"))
 
 
 def consistent_pairs(grn: DataFrame) -> DataFrame:
@@ -144,16 +207,34 @@ def merge_to_cells(cells: DataFrame, scores: DataFrame, replace: bool = True) ->
 
 
 def shared_targets(edges: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """a, b, shared: number of targets that two sources share; with itself, its targets. ValueError below two sources."""
+    """a, b, shared: number of targets that two sources share; with itself, its targets. ValueError below two sources.
+
+    The sources x targets table of ones is packed to blocks, and blocks of sources are multiplied over each block of targets: a
+    target that all sources have is one row of a block, not their square.
+    """
     own = edges.select("source", "target").distinct()
     if sources is not None:
         own = own.filter(F.col("source").isin(sources))
     names = own.select("source").distinct()
     if names.limit(2).count() < 2:
         raise ValueError("two sources are needed")
-    met = own.withColumnRenamed("source", "a").join(own.withColumnRenamed("source", "b"), "target").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    rows, columns = index_of(own, "target"), index_of(own, "source")
+    blocks = Blocks.of(own.select(F.col("target").alias("row"), F.col("source").alias("col"), F.lit(1.0).alias("x")), rows, columns)
+    width = columns.agg(F.max("pos")).first()[0] + 1
+
+    met = products(blocks, width, lambda u, a, v, c: np.stack([u.T @ v]))
+
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        n = sum(np.frombuffer(d).reshape(width, width) for d in part["data"])
+        i, j = np.nonzero(n)
+        return pd.DataFrame({"p": part["p"].iloc[0], "q": part["q"].iloc[0], "i": i, "j": j, "shared": np.rint(n[i, j]).astype(np.int64)})
+
+    met = met.groupBy("p", "q").applyInPandas(counted, "p int, q int, i int, j int, shared long")
+    met = met.join(columns.toDF("a", "p", "i"), ["p", "i"]).join(columns.toDF("b", "q", "j"), ["q", "j"])
+    # blocks meet once, in one order
+    both = met.select("a", "b", "shared").unionAll(met.filter("p < q").select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     every = names.toDF("a").crossJoin(names.toDF("b"))
-    return every.join(met, ["a", "b"], "left").fillna(0, ["shared"])
+    return every.join(both, ["a", "b"], "left").fillna(0, ["shared"])
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:

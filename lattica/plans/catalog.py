@@ -227,16 +227,22 @@ def ranksum_bh(spark, d):
     return out.select("cluster", "signature", *[R(c).alias(c) for c in ("stat", "p", "p_adj", "mean_diff", "z_score")])
 
 
-@query(f"{_TEST}, z AS (SELECT cluster, signature, (stat - avg(stat) OVER (PARTITION BY cluster)) / stddev_samp(stat) OVER (PARTITION BY cluster) AS z FROM f), o3 AS (SELECT signature, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, signature) AS r FROM z) SELECT DISTINCT signature FROM o3 WHERE r <= 5")
+_TOP = f"""{_TEST}, z AS (SELECT cluster, signature, (stat - avg(stat) OVER (PARTITION BY cluster)) / stddev_samp(stat) OVER (PARTITION BY cluster) AS z FROM f),
+o3 AS (SELECT signature, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, signature) AS r FROM z), top AS (SELECT DISTINCT signature FROM o3 WHERE r <= 5)"""
+
+
+@query(f"{_TOP} SELECT signature FROM top")
 def top_signatures(spark, d):
     tests = stats.rank_sum(_scores(spark, d).withColumn("score", R("score", 8)), v.cells(spark, d))
     return stats.top_signatures(tests.withColumn("z_score", R("z_score", 9)), 5)
 
 
-@query(f"{_UCELL} SELECT cell_id, cluster, signature || '_regulon' AS regulon, round(score, 8) AS score FROM sc JOIN cells USING (cell_id) WHERE signature IN ('Brand#1', 'Brand#2')")
+@query(f"{_TOP} SELECT cell_id, cluster, signature || '_regulon' AS regulon, round(score, 8) AS score FROM sc JOIN cells USING (cell_id) SEMI JOIN top USING (signature)")
 def regulon_activity(spark, d):
-    top = spark.createDataFrame([("Brand#1",), ("Brand#2",)], "signature string")
-    return stats.regulon_activity(_scores(spark, d), top, v.cells(spark, d)).withColumn("score", R("score", 8))
+    scores, cells = _scores(spark, d), v.cells(spark, d)
+    tests = stats.rank_sum(scores.withColumn("score", R("score", 8)), cells)
+    top = stats.top_signatures(tests.withColumn("z_score", R("z_score", 9)), 5)
+    return stats.regulon_activity(scores, top, cells).withColumn("score", R("score", 8))
 
 
 @query(f"{_UCELL} SELECT c.cell_id, cluster, round(score, 8) AS score FROM cells c LEFT JOIN sc ON sc.cell_id = c.cell_id WHERE signature = 'Brand#1'")
@@ -320,12 +326,33 @@ def unify_labels(spark, d):
     return clusters.unify_labels(own, renamed)[0]
 
 
-@query()
+#: Average linkage one merge a step: distances of rows of 1 - corr, then the nearest two clusters by their mean distance.
+_LINKS = """cr AS (SELECT a.gene AS a, b.gene AS b, corr(a.x, b.x) AS corr FROM expr a JOIN expr b USING (cell_id) GROUP BY ALL),
+ds AS (SELECT x.a AS a, y.a AS b, sqrt(sum(pow(CASE WHEN x.a = x.b THEN 1 ELSE x.corr END - CASE WHEN y.a = y.b THEN 1 ELSE y.corr END, 2))) AS d FROM cr x JOIN cr y ON x.b = y.b GROUP BY ALL),
+merges AS (SELECT 0 AS step, gene AS g, gene AS c, 0.0::DOUBLE AS h FROM (SELECT DISTINCT gene FROM expr)
+    UNION ALL SELECT s.step + 1, s.g, CASE WHEN s.c = m.y THEN m.x ELSE s.c END, m.d FROM merges s,
+        (SELECT x, y, d FROM (SELECT a.c AS x, b.c AS y, avg(ds.d) AS d FROM merges a JOIN merges b ON a.c < b.c JOIN ds ON ds.a = a.g AND ds.b = b.g GROUP BY ALL) ORDER BY round(d, 12), x, y LIMIT 1) m),
+co AS (SELECT a.g AS a, b.g AS b, min(a.h) AS cophenet FROM merges a JOIN merges b ON a.step = b.step AND a.c = b.c AND a.g < b.g GROUP BY ALL),
+pairs AS (SELECT co.a, co.b, cophenet, corr FROM co JOIN cr ON cr.a = co.a AND cr.b = co.b)"""
+_RECURSIVE = ctes("rawx", "expr").replace("WITH ", "WITH RECURSIVE ", 1)
+#: Cells by types of parts, a table of a few columns.
+_TYPES = "WITH RECURSIVE rawx AS (SELECT l_suppkey AS cell_id, p_type AS gene, sum(l_quantity) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), " + v.SQL["expr"]
+
+
+def _types(spark, d):
+    raw = v.table(spark, d, "lineitem").join(v.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("cell_id"), F.col("p_type").alias("gene")).agg(F.sum("l_quantity").alias("x"))
+    every = raw.select("cell_id").distinct().crossJoin(raw.select("gene").distinct())
+    return every.join(raw, ["cell_id", "gene"], "left").fillna(0.0, ["x"])
+
+
+@query(f"{_RECURSIVE}, {_LINKS} SELECT a, b, round(cophenet, 6) AS cophenet, round(corr, 6) AS corr FROM pairs")
 def gene_linkage(spark, d):
-    return genes.hierarchical(v.expr_counts(spark, d))[0]
+    return genes.hierarchical(v.expr_counts(spark, d))[0].withColumns({"cophenet": R("cophenet"), "corr": R("corr")})
 
 
-@query()
+@query(f"{_RECURSIVE}, {_LINKS}, l AS (SELECT a.corr - (a.corr - b.corr) / (a.cophenet - b.cophenet) * a.cophenet AS i, (a.corr - b.corr) / (a.cophenet - b.cophenet) AS s FROM pairs a JOIN pairs b ON (a.a, a.b) < (b.a, b.b) AND a.cophenet <> b.cophenet), "
+       "f AS (SELECT i, s, sum(CASE WHEN corr >= i + s * cophenet THEN 0.1::DOUBLE * (corr - i - s * cophenet) ELSE 0.9::DOUBLE * (i + s * cophenet - corr) END) AS loss FROM l, pairs GROUP BY i, s), best AS (SELECT arg_min(i, loss) AS i, arg_min(s, loss) AS s FROM f), "
+       "last AS (SELECT g, arg_max(c, step) AS c FROM merges, best WHERE h <= (0.0 - i) / s GROUP BY g), n AS (SELECT c, row_number() OVER (ORDER BY min(g)) AS k FROM last GROUP BY c) SELECT g AS gene, k::INTEGER AS correlation_cluster FROM last JOIN n USING (c)")
 def gene_clusters(spark, d):
     expr = v.expr_counts(spark, d)
     pairs, links, names = genes.hierarchical(expr)
@@ -333,35 +360,17 @@ def gene_clusters(spark, d):
     return genes.add_clusters(expr.select("gene").distinct(), names, links, cutoff)
 
 
-#: Five genes over six cells: two pairs that go together and one gene apart.
-_FEW = [("a", (1, 2, 3, 4, 5, 6)), ("b", (2, 4, 6, 8, 10, 11)), ("c", (6, 5, 4, 3, 2, 1)), ("d", (9, 8, 8, 5, 4, 4)), ("e", (1, 5, 1, 5, 1, 5))]
-
-
-def _few(spark):
-    return spark.createDataFrame([(i, g, float(x)) for g, xs in _FEW for i, x in enumerate(xs)], "cell_id long, gene string, x double")
-
-
-_FEW_SQL = "few AS (SELECT g, unnest(range(6)) AS i, unnest(xs)::DOUBLE AS x FROM (VALUES " + ", ".join(f"('{g}', {list(xs)})" for g, xs in _FEW) + ") t(g, xs)), "
-# merges of the fixed table, by hand from its distances: a with b, c with d, then the pairs by their mean distance, e where it is nearest
-_FEW_SQL += """cr AS (SELECT a.g AS a, b.g AS b, corr(a.x, b.x) AS corr FROM few a JOIN few b USING (i) GROUP BY ALL),
-ds AS (SELECT x.a AS a, y.a AS b, sqrt(sum(pow(x.corr - y.corr, 2))) AS d FROM cr x JOIN cr y ON x.b = y.b GROUP BY ALL),
-ab(k, m) AS (VALUES ('a', 'ab'), ('b', 'ab'), ('c', 'cd'), ('d', 'cd'), ('e', 'e')),
-pr AS (SELECT x.m AS m, y.m AS n, avg(d) AS d FROM ds JOIN ab x ON x.k = ds.a JOIN ab y ON y.k = ds.b WHERE x.m < y.m GROUP BY ALL),
-lo AS (SELECT arg_min(m, d) AS m, arg_min(n, d) AS n, min(d) AS d FROM pr), tl AS (SELECT k, CASE WHEN ab.m IN (lo.m, lo.n) THEN 1 ELSE 2 END AS t FROM ab, lo),
-tp AS (SELECT avg(d) AS d FROM ds JOIN tl x ON x.k = ds.a JOIN tl y ON y.k = ds.b WHERE x.t = 1 AND y.t = 2),
-co AS (SELECT ds.a, ds.b, CASE WHEN x.m = y.m THEN ds.d WHEN u.t <> w.t THEN tp.d ELSE lo.d END AS cophenet FROM ds JOIN ab x ON x.k = ds.a JOIN ab y ON y.k = ds.b JOIN tl u ON u.k = ds.a JOIN tl w ON w.k = ds.b, lo, tp WHERE ds.a < ds.b)"""
-
-
-@query(f"WITH {_FEW_SQL} SELECT co.a, co.b, round(cophenet, 6) AS cophenet, round(corr, 6) AS corr FROM co JOIN cr ON cr.a = co.a AND cr.b = co.b")
+@query(f"{_TYPES}, {_LINKS} SELECT a, b, round(cophenet, 6) AS cophenet, round(corr, 6) AS corr FROM pairs")
 def linkage_fixed(spark, d):
-    return genes.hierarchical(_few(spark))[0].withColumns({"cophenet": R("cophenet"), "corr": R("corr")})
+    return genes.hierarchical(_types(spark, d))[0].withColumns({"cophenet": R("cophenet"), "corr": R("corr")})
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('b', 1), ('c', 2), ('d', 2), ('e', 3), ('f', NULL)) t(gene, correlation_cluster)")
+@query(f"{_TYPES}, {_LINKS}, mid AS (SELECT (max(h) + min(h) FILTER (h > 0)) / 2 AS h FROM merges), last AS (SELECT g, arg_max(c, step) AS c FROM merges, mid WHERE merges.h <= mid.h GROUP BY g), n AS (SELECT c, row_number() OVER (ORDER BY min(g)) AS k FROM last GROUP BY c) SELECT p_type AS gene, k::INTEGER AS correlation_cluster FROM (SELECT DISTINCT p_type FROM part) LEFT JOIN (last JOIN n USING (c)) ON g = p_type")
 def clusters_fixed(spark, d):
-    _, links, names = genes.hierarchical(_few(spark))
-    every = spark.createDataFrame([(g,) for g in "abcdef"], "gene string")
-    return genes.add_clusters(every, names, links, 0.5)
+    """Types cut half way between the first and the last merge."""
+    _, links, names = genes.hierarchical(_types(spark, d))
+    every = v.table(spark, d, "part").select(F.col("p_type").alias("gene")).distinct()
+    return genes.add_clusters(every, names, links, (links[0, 2] + links[-1, 2]) / 2)
 
 
 @query(f"{ctes('rawx', 'expr')}, p AS (SELECT gene, avg(x) AS cophenet, stddev_samp(x) AS corr FROM expr GROUP BY gene), l AS (SELECT a.corr - (a.corr - b.corr) / (a.cophenet - b.cophenet) * a.cophenet AS i, (a.corr - b.corr) / (a.cophenet - b.cophenet) AS s FROM p a JOIN p b ON a.gene < b.gene AND a.cophenet <> b.cophenet), "
@@ -396,16 +405,14 @@ def count_totals(spark, d):
 
 @query(f"{ctes('rawx', 'expr', 'net')}, g AS (SELECT gene, row_number() OVER (ORDER BY gene DESC) - 1 AS gene_idx FROM (SELECT DISTINCT gene FROM expr)) SELECT gene_idx::INTEGER AS gene_idx, gene FROM g WHERE gene IN (SELECT source FROM net WHERE weight > 4) ORDER BY gene_idx")
 def tf_filter_ordered(spark, d):
-    from pyspark.sql import Window
-
-    names = v.expr_counts(spark, d).select("gene").distinct().withColumn("gene_idx", F.row_number().over(Window.orderBy(F.col("gene").desc())) - 1)
+    names = files.positions(v.expr_counts(spark, d).select("gene").distinct(), [F.col("gene").desc()], "gene_idx").withColumn("gene_idx", F.col("gene_idx").cast("int"))
     return edges.ordered_names(names, v.ext_net(spark, d).filter("weight > 4").select("source"))
 
 
 @query(f"{_BASE} SELECT cell_id, source, target, w FROM grn")
 def matrix_wrap(spark, d):
     grn = v.grn(spark, d)
-    var = spark.createDataFrame([(i, r.source, r.target) for i, r in enumerate(edges.edges_of(grn).orderBy("source", "target").collect())], "idx int, source string, target string")
+    var = files.positions(edges.edges_of(grn).select("source", "target"), [F.col("source").asc(), F.col("target").asc()], "idx").select(F.col("idx").cast("int").alias("idx"), "source", "target")
     packed = grn.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "target", "w"))), lambda s: s["w"]).alias("v"))
     return matrix.checked(matrix.wrap(packed, var)).select("cell_id", "source", "target", "w")
 
@@ -438,11 +445,10 @@ def mask_missing(spark, d):
 
 
 def _mask_frame(spark, d):
-    from pyspark.sql import Window
-
     expr = v.expr_counts(spark, d)
     names = expr.select("gene").distinct()
-    order = names.toDF("source").crossJoin(names.toDF("target")).withColumn("edge_idx", F.row_number().over(Window.orderBy("source", "target")))
+    pairs = names.toDF("source").crossJoin(names.toDF("target"))
+    order = files.positions(pairs, [F.col("source").asc(), F.col("target").asc()], "edge_idx").withColumn("edge_idx", (F.col("edge_idx") + 1).cast("int"))
     return masks.mask_frame(masks.pair_mask(masks.binarize(expr)), expr.select("cell_id").distinct(), order)
 
 
@@ -466,7 +472,8 @@ def curated_graph(spark, d):
     return export.directed(curated, ["Brand#1", "Brand#2", "Brand#13"])[1]
 
 
-@query(f"PIVOT ({ctes('rawsq')}, e AS (SELECT DISTINCT source, target FROM rawsq WHERE source IN ('Brand#1', 'Brand#2', 'Brand#3')), n AS (SELECT DISTINCT source FROM e) SELECT x.source AS a, y.source AS b, (SELECT count(*) FROM e i JOIN e j USING (target) WHERE i.source = x.source AND j.source = y.source) AS shared FROM n x, n y) ON b USING first(shared) GROUP BY a")
+@query(f"{ctes('rawsq')}, e AS (SELECT DISTINCT source, target FROM rawsq WHERE source IN ('Brand#1', 'Brand#2', 'Brand#3')), m AS (SELECT i.source AS a, j.source AS b, count(*) AS shared FROM e i JOIN e j USING (target) GROUP BY ALL), n AS (SELECT DISTINCT source AS a FROM e) "
+       "SELECT n.a, " + ", ".join(f"coalesce(max(shared) FILTER (b = 'Brand#{i}'), 0) AS \"Brand#{i}\"" for i in (1, 2, 3)) + " FROM n LEFT JOIN m ON m.a = n.a GROUP BY n.a")
 def shared_heatmap(spark, d):
     raw = v._weights(spark, d, F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string")))
     return export.heatmap(stats.shared_targets(raw, ["Brand#1", "Brand#2", "Brand#3"]))
@@ -630,3 +637,58 @@ def row_local_top_edges(spark, d):
     """The streaming operator on a table: one packed row a cell."""
     grn = v.grn(spark, d)
     return counts.streaming_counts(counts.pack(grn), edges.top_n(edges.edges_of(grn).count(), 0.1))
+
+
+#: Customers in five groups by nation; each links to four others of its group at places that look random, each twentieth also to the
+#: next customer, of whatever group.
+_PLANTED = """g AS (SELECT c_custkey AS cell_id, c_nationkey % 5 AS grp, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) - 1 AS r, count(*) OVER (PARTITION BY c_nationkey % 5) AS n FROM customer)"""
+
+
+def _planted(spark, d):
+    from pyspark.sql import Window
+
+    group = Window.partitionBy("grp")
+    own = v.table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), (F.col("c_nationkey") % 5).alias("grp"))
+    own = own.withColumn("r", F.row_number().over(group.orderBy("cell_id")) - 1).withColumn("n", F.count(F.lit(1)).over(group))
+    steps = [F.pmod(F.col("r") * a + b, F.col("n")) for a, b in ((1, 1), (7, 1), (31, 3), (101, 7))]
+    near = own.select("cell_id", "grp", F.explode(F.array(*steps)).alias("to")).join(own.select(F.col("cell_id").alias("nbr_id"), "grp", F.col("r").alias("to")), ["grp", "to"])
+    across = own.filter("cell_id % 20 = 0").select("cell_id", (F.col("cell_id") + 1).alias("nbr_id")).join(own.select(F.col("cell_id").alias("nbr_id")), "nbr_id")
+    return near.select("cell_id", "nbr_id").unionByName(across.select("cell_id", "nbr_id")).filter("cell_id <> nbr_id")
+
+
+def _by_least(found, column):
+    return found.join(found.groupBy(column).agg(F.min("cell_id").alias("first")), column).select("cell_id", "first")
+
+
+@query(f"WITH {_PLANTED} SELECT cell_id, min(cell_id) OVER (PARTITION BY grp) AS first FROM g")
+def planted_spectral(spark, d):
+    """Spectral clusters of a graph of five groups, each named by its least cell."""
+    return _by_least(clusters.spectral(_planted(spark, d), 5), "spectral")
+
+
+@query(f"WITH {_PLANTED} SELECT cell_id, min(cell_id) OVER (PARTITION BY grp) AS first FROM g")
+def planted_communities(spark, d):
+    """Leiden communities of the same graph."""
+    return _by_least(clusters.modularity_communities(_planted(spark, d), 0.5), "community")
+
+
+_WIDE = "w AS (SELECT l_suppkey AS cell_id, p_brand || '_' || p_partkey AS gene, sum(l_quantity) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {_WIDE}, gram AS (SELECT a.cell_id AS i, b.cell_id AS j, sum(a.x * b.x) AS s FROM w a JOIN w b USING (gene) GROUP BY ALL), "
+       "it AS (SELECT 0 AS step, cell_id AS i, 1.0::DOUBLE AS u FROM (SELECT DISTINCT cell_id FROM w) UNION ALL SELECT step + 1, i, y / sqrt(sum(y * y) OVER ()) FROM (SELECT any_value(step) AS step, gram.i, sum(s * u) AS y FROM gram JOIN it ON it.i = gram.j GROUP BY gram.i) WHERE step < 30), "
+       "top AS (SELECT * FROM it WHERE step = 30), v AS (SELECT gram.i, sum(s * u) AS y FROM gram JOIN top ON top.i = gram.j GROUP BY gram.i) SELECT top.i AS cell_id, round(u * sqrt((SELECT sum(v.y * t.u) FROM v JOIN top t ON t.i = v.i)), 4) AS first, 10 AS width FROM top")
+def network_components(spark, d):
+    """Ten components of cells over a network as wide as there are parts, 20,000 edges at a tenth; SQL follows the first."""
+    lines, parts = v.table(spark, d, "lineitem"), v.table(spark, d, "part")
+    wide = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy(F.col("l_suppkey").alias("cell_id"), F.concat_ws("_", "p_brand", "p_partkey").alias("gene")).agg(F.sum("l_quantity").alias("x"))
+    return clusters.components(wide, 10).select("cell_id", R(F.col("pc")[0], 4).alias("first"), F.size("pc").alias("width"))
+
+
+@query()
+def network_layout(spark, d):
+    """Layout of cells by the neighbours of their components."""
+    from lattica.operators import layout
+
+    pc = clusters.components(v.expr_dense(spark, d), 20)
+    return layout.umap(masks.nearest(pc.select("cell_id", F.posexplode("pc").alias("gene", "x")), 15))
