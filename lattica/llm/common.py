@@ -8,7 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java/RE2 class of the characters that separate words.
@@ -142,3 +142,22 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     many = many.join(hot, key, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
     one = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return many.join(one, [key, "__part"]).drop("__part")
+
+
+def placed(rows: DataFrame, order: list, name: str, ranges: int | None = None) -> DataFrame:
+    """``rows(tree, ...)`` with pos and n: the place of each row in its tree by ``order``, and the tree's rows.
+
+    Rows are sorted in ``ranges`` ranges (as many as shuffles have partitions, if not given) and written; a row's file and place in
+    it then number it, with sums of the files' rows.
+    """
+    columns = rows.columns
+    by = ["tree", *order]
+    dealt = rows.repartitionByRange(*by) if ranges is None else rows.repartitionByRange(ranges, *by)
+    done = written(dealt.sortWithinPartitions(*by), name)
+    part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.file_name").alias("file"))
+    done = done.select(*columns, part.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    runs = done.groupBy("tree", "__file").agg(F.count(F.lit(1)).alias("__count"), F.min("__row").alias("__first"))
+    before = F.sum("__count").over(Window.partitionBy("tree").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("__count").over(Window.partitionBy("tree"))
+    starts = runs.select("tree", "__file", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__start"), whole.alias("n"))
+    return done.join(starts, ["tree", "__file"]).select(*columns, (F.col("__start") + F.col("__row")).alias("pos"), "n")

@@ -13,10 +13,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_value, numbered, small_batches, source_key, table, written
+from lattica.llm.common import by_value, numbered, placed, small_batches, source_key, table, written
 
 by_value(__name__)
 
@@ -142,22 +142,6 @@ def _side(pos: Column, path: Column) -> Column:
     return F.transform(path, lambda s, i: F.struct((F.call_function("shiftright", pos, i).bitwiseAND(F.lit(1)) == 1).alias("left"), s.alias("other")))
 
 
-def _placed(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """``rows(tree, ...)`` with pos and n: the place of each row in its tree by ``order``, and the tree's rows.
-
-    Rows are sorted by range and written; a row's file and place in it then number it, with sums of the files' rows.
-    """
-    columns = rows.columns
-    done = written(rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order), name)
-    part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.file_name").alias("file"))
-    done = done.select(*columns, part.alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    runs = done.groupBy("tree", "__file").agg(F.count(F.lit(1)).alias("__count"), F.min("__row").alias("__first"))
-    before = F.sum("__count").over(Window.partitionBy("tree").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("__count").over(Window.partitionBy("tree"))
-    starts = runs.select("tree", "__file", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__start"), whole.alias("n"))
-    return done.join(starts, ["tree", "__file"]).select(*columns, (F.col("__start") + F.col("__row")).alias("pos"), "n")
-
-
 def _proved(nodes: DataFrame, name: str) -> DataFrame:
     """One round: ``nodes(id, tree, pos, n, node, changed)`` with path and fold inside of their blocks; a block's first row has its top."""
     blocks = nodes.groupBy("tree", F.shiftright("pos", BLOCK).alias("block")).applyInArrow(_block, f"id {dict(nodes.dtypes)['id']}, {PATHS}")
@@ -227,11 +211,11 @@ def manifest(docs: DataFrame, tampered: Column, change: dict[str, Column]) -> Da
     rows = numbered(docs.select(*FIELDS), "merkle-docs").select("row.*", F.xxhash64("at").alias("salt"))
     other = F.when(F.coalesce(tampered, F.lit(False)), leaf(**change))
     leaves = written(rows.select(source_key(F.col("lang")).alias("tree"), F.col("doc_id").alias("id"), "salt", leaf().alias("node"), other.alias("changed")), "merkle-leaves")
-    placed = _placed(leaves, ["id", "node", "salt"], "merkle-sorted").drop("salt")
-    rounds, subroots = _trees(written(placed, "merkle-placed"), "merkle-tree")
+    numbers = placed(leaves, ["id", "node", "salt"], "merkle-sorted").drop("salt")
+    rounds, subroots = _trees(written(numbers, "merkle-placed"), "merkle-tree")
     none = F.lit(None).cast("string")
     roots = subroots.select(F.col("tree").alias("id"), F.lit("all").alias("tree"), F.col("root").alias("node"), none.alias("changed"))
-    upper_rounds, top = _trees(written(_placed(roots, ["id"], "merkle-roots"), "merkle-langs"), "merkle-top")
+    upper_rounds, top = _trees(written(placed(roots, ["id"], "merkle-roots"), "merkle-langs"), "merkle-top")
     top = F.broadcast(top)  # one row
     langs = upper_rounds[0].select("id", "tree", "pos", "node", _side(F.col("pos"), F.col("path")).alias("up")).join(top, "tree")
     if len(upper_rounds) > 1:

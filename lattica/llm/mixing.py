@@ -51,11 +51,11 @@ def mix(docs: DataFrame, size: Column, per_bin: int = 20_000) -> DataFrame:
     """How many words the mix takes from each row of ``docs(doc_id, source, ...)``.
 
     Returns doc_id, source, size, source_size, target, taken; one row per row of ``docs``. Null sources form one source, null
-    texts have size 0 and give 0. Rows equal in doc_id are ordered by size, then as they are written. An empty table gives an
+    texts have size 0 and give 0. Rows equal in doc_id are ordered by size, then by their place in the table. An empty table gives an
     empty result. A doc_id that very many rows share (or lack) is dealt over the bins. Only keys and sizes are shuffled, never texts.
     """
-    slim = written(docs.select("doc_id", "source", size.alias("size")).withColumn("at", F.monotonically_increasing_id()), "mix-sizes")
-    return _taken(slim, per_bin).drop("at")
+    rows = numbered(docs, "mix-rows").select("at", "row.*")
+    return _taken(written(rows.select("at", "doc_id", "source", size.alias("size")), "mix-sizes"), per_bin).drop("at")
 
 
 def _taken(slim: DataFrame, per_bin: int = 20_000) -> DataFrame:

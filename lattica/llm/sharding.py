@@ -2,39 +2,31 @@
 
 Within each source the rows are shuffled by a seeded hash and ranked; all rows are then sorted by fractional rank
 (rank + 1/2) / rows of the source, and the sorted order is cut into shards of equal counts, so every shard has each source in
-its overall proportion. Both rankings run in range bins of bounded size plus prefix sums over the bins' counts.
+its overall proportion. Both orders are sorted by range over their whole keys and numbered by file and place, so neither a large
+source nor many sources of one row fill a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bins_for, numbered, random_key, source_key, spread, table, written
+from lattica.llm.common import bins_for, numbered, placed, random_key, source_key, table, written
 
 SHARDS = 8
 SEED = "shard"
 
 
-def _numbered(df: DataFrame, groups: list[str], bin_col: str, order: list, name: str) -> DataFrame:
-    """Number the rows of each group from 0 by (bin, order): counts of the bins give each bin its start."""
-    counts = df.groupBy(*groups, bin_col).agg(F.count(F.lit(1)).alias("__n"))
-    up_to = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, bin_col, F.coalesce(F.sum("__n").over(up_to), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*groups, bin_col).orderBy(*order)
-    out = df.withColumn("__r", F.row_number().over(inside).cast("long") - 1).join(starts, [*groups, bin_col])
-    return out.withColumn(name, F.col("__start") + F.col("__r")).drop("__r", "__start", bin_col)
-
-
 def interleave(docs: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) -> DataFrame:
     """Shard and slot of each row of ``docs(doc_id, source, text)``.
 
     Returns doc_id, source, size (UTF-8 bytes plus 1; a null text has size 1 and CRC 0), text_crc32, shard, slot. Counts of the
     shards differ by one at most; slots have no gaps. Null sources form one source. Rows equal in doc_id are told apart by size
-    and CRC, then as they are written. With fewer rows than shards some shards stay empty. Texts are not shuffled.
+    and CRC, then by their place in the table. With fewer rows than shards some shards stay empty. Texts are not shuffled.
     """
-    slim = docs.select(*_slim_columns()).withColumn("at", F.monotonically_increasing_id())
-    return _placed(written(slim, "shard-rows"), shards, per_bin).drop("at")
+    rows = numbered(docs.select("doc_id", "source", "text"), "shard-texts")
+    slim = written(rows.select("at", "row.*").select("at", *_slim_columns()), "shard-rows")
+    return _placed(slim, shards, per_bin).drop("at")
 
 
 def _slim_columns() -> list:
@@ -43,21 +35,19 @@ def _slim_columns() -> list:
 
 
 def _placed(slim: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) -> DataFrame:
-    """``interleave`` for ``slim(at, doc_id, source, size, text_crc32)``, a written table in which ``at`` numbers the rows."""
-    slim = slim.withColumn("skey", source_key(F.col("source"))).withColumn("key", random_key(F.col("doc_id"), SEED))
+    """``interleave`` for ``slim(at, doc_id, source, size, text_crc32)``, a written table in which ``at`` numbers the rows; both
+    orders are sorted in ranges of about ``per_bin`` rows."""
     total = slim.count()
-    bins = bins_for(total, per_bin)
+    ranges = bins_for(total, per_bin)
     order = ["key", "doc_id", "size", "text_crc32", "at"]
-    slim = spread(slim, bins, per_bin).withColumnRenamed("bin", "__kbin")
-    ranked = _numbered(slim, ["skey"], "__kbin", order, "rank")
-    per_source = slim.groupBy("skey").agg(F.count(F.lit(1)).alias("source_rows"))
-    fraction = (F.col("rank") + F.lit(0.5)) / F.col("source_rows")
-    ranked = written(ranked.join(per_source, "skey").withColumn("fraction", fraction), "shard-ranks")
-    placed = _numbered(ranked.withColumn("__fbin", F.floor(F.col("fraction") * bins).cast("long")), [], "__fbin", ["fraction", "skey", *order], "pos")
+    slim = slim.withColumn("tree", source_key(F.col("source"))).withColumn("key", random_key(F.col("doc_id"), SEED))
+    ranked = placed(slim, order, "shard-ranks", ranges).withColumn("fraction", (F.col("pos") + F.lit(0.5)) / F.col("n"))
+    ranked = ranked.withColumnRenamed("tree", "skey").drop("pos", "n").withColumn("tree", F.lit("all"))
+    placed_rows = placed(ranked, ["fraction", "skey", *order], "shard-places", ranges)
     shard = F.expr(f"(pos * {shards}) div {max(total, 1)}")
-    placed = placed.withColumn("shard", shard.cast("int"))
+    placed_rows = placed_rows.withColumn("shard", shard.cast("int"))
     slot = F.col("pos") - F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return placed.select("at", "doc_id", "source", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+    return placed_rows.select("at", "doc_id", "source", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

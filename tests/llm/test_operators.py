@@ -230,6 +230,19 @@ def test_mixing(docs, unique):
     assert mixed.select(F.sum(word_count(F.col("text")))).first()[0] == want
 
 
+def test_sharding_of_many_small_sources(spark):
+    """Each source has one row, so all have the same fraction; no range of the sort holds many more rows than another."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), "id").alias("source"), F.lit("ab").alias("text"))
+    got = sharding.interleave(rows, 8, 1000)
+    shape = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("m"), F.max("slot").alias("top")).collect()
+    assert sorted((r.shard, r.n, r.m, r.top) for r in shape) == [(s, 2500, 2500, 2499) for s in range(8)]
+    one = rows.withColumn("tree", F.lit("all")).withColumn("fraction", F.lit(0.5))
+    places = common.placed(one, ["fraction", "source"], "test-places", 20).groupBy(F.floor(F.col("pos") / 1000)).count().collect()
+    assert [r["count"] for r in places] == [1000] * 20
+    files = spark.read.parquet(common.written(one.repartitionByRange(20, "tree", "fraction", "source"), "test-ranges").inputFiles()[0].rsplit("/", 1)[0])
+    assert files.groupBy("_metadata.file_name").count().agg(F.max("count")).first()[0] < 3000
+
+
 @pytest.mark.parametrize("per_bin", [4, 10_000])
 def test_sharding(docs, per_bin):
     got = sharding.interleave(docs, 4, per_bin).collect()
