@@ -78,10 +78,11 @@ def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """
     done = stored(df.repartitionByRange(*order).sortWithinPartitions(*order))
     file = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.file_name").alias("file"))
-    done = done.select(*df.columns, file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    done = done.select(*kept, file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
     before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
     starts = done.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")).select("__file", F.coalesce(before, F.lit(0)).alias("__start"))
-    return done.join(F.broadcast(starts), "__file").select(*df.columns, (F.col("__start") + F.col("__row")).alias(name))
+    return done.join(F.broadcast(starts), "__file").select(*kept, (F.col("__start") + F.col("__row")).alias(name))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
