@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.special import normal_sf
 from lattica.operators.krylov import Blocks, index_of
+from lattica.sources.files import stored
 
 
 def aggregate_models(attributions: DataFrame, strategy: str = "mean") -> DataFrame:
@@ -31,11 +32,31 @@ def mean_by(expr: DataFrame, *groups: str) -> DataFrame:
 
 
 def average_rank(order: Column, *partition: str) -> Column:
-    """Rank with ties averaged, ascending by ``order``."""
+    """Rank with ties averaged, ascending by ``order``; for partitions that a task can hold, ``value_ranks`` is for others."""
     w = Window.partitionBy(*partition)
     return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(w.partitionBy(*partition, order)) - 1) / F.lit(2.0)
 
 
+def value_ranks(rows: DataFrame, groups: list[str], value: str, times: Column | None = None) -> DataFrame:
+    """groups, value, n, rank: rank of each value among the rows of its group, ties averaged, null before all and NaN after; a row
+    counts as ``times`` many, or once.
+
+    Equal values are counted first; the distinct ones are sorted by range and written. Counts are summed up within each range and
+    over the ranges before it, so no task has more than its range, however many rows a group has or a value repeats.
+    """
+    counts = rows.groupBy(*groups, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("n"))
+    order = [*map(F.col, groups), F.col(value).asc_nulls_first()]
+    done = stored(counts.repartitionByRange(*order).sortWithinPartitions(*order))
+    part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.file_name").alias("file"))
+    done = done.select(*done.columns, part.alias("__part"), F.col("_metadata.row_index").alias("__row"))
+    sums = done.groupBy(*groups, "__part").agg(F.sum("n").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*groups, "__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    up_to = F.sum("n").over(Window.partitionBy("__part", *groups).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    out = done.withColumn("__up", up_to).join(starts, [*groups, "__part"])
+    return out.select(*groups, value, "n", (F.col("__start") + F.col("__up") - (F.col("n") - 1) / F.lit(2.0)).alias("rank"))
+
+
 #: Genes of a block whose products with another block's a task sums: six matrices of its square.
 CORRELATED = 128
 
@@ -102,7 +123,9 @@ def gene_correlation(expr: DataFrame, side: int = CORRELATED) -> DataFrame:
 
 def consistent_pairs(grn: DataFrame) -> DataFrame:
     """source, target, rho: Spearman correlation over cells of an edge with its reverse, for both directions."""
-    ranks = grn.filter("source <> target").withColumn("r", average_rank(F.col("w"), "source", "target")).select("cell_id", "source", "target", "r")
+    own = grn.filter("source <> target").select("cell_id", "source", "target", "w")
+    known = value_ranks(own, ["source", "target"], "w").select(F.col("source").alias("__s"), F.col("target").alias("__t"), F.col("w").alias("__w"), F.col("rank").alias("r"))
+    ranks = own.join(known, (F.col("source") == F.col("__s")) & (F.col("target") == F.col("__t")) & F.col("w").eqNullSafe(F.col("__w"))).select("cell_id", "source", "target", "r")
     back = ranks.select("cell_id", F.col("source").alias("target"), F.col("target").alias("source"), F.col("r").alias("s"))
     return ranks.join(back, ["cell_id", "source", "target"]).groupBy("source", "target").agg(F.corr("r", "s").alias("rho"))
 
@@ -156,8 +179,11 @@ def rank_sum(scores: DataFrame, cells: DataFrame) -> DataFrame:
 
     One-sided rank-sum test without tie correction, Benjamini-Hochberg over a cluster's signatures, stat standardised over them.
     """
-    df = scores.join(cells, "cell_id").withColumn("r", average_rank(F.col("score"), "signature"))
-    own = df.groupBy("cluster", "signature").agg(F.count(F.lit(1)).cast("double").alias("n1"), F.sum("r").alias("rs"), F.sum("score").alias("sx"))
+    counts = stored(scores.join(cells, "cell_id").groupBy("cluster", "signature", "score").agg(F.count(F.lit(1)).alias("c")))
+    known = value_ranks(counts, ["signature"], "score", F.col("c"))
+    known = known.select(F.col("signature").alias("__s"), F.col("score").alias("__v"), "rank")
+    df = counts.join(known, (F.col("signature") == F.col("__s")) & F.col("score").eqNullSafe(F.col("__v")))
+    own = df.groupBy("cluster", "signature").agg(F.sum("c").cast("double").alias("n1"), F.sum(F.col("c") * F.col("rank")).alias("rs"), F.sum(F.col("c") * F.col("score")).alias("sx"))
     w = Window.partitionBy("signature")
     own = own.withColumn("n", F.sum("n1").over(w)).withColumn("all", F.sum("sx").over(w)).withColumn("n2", F.col("n") - F.col("n1"))
     stat = F.try_divide(F.col("rs") - F.col("n1") * (F.col("n") + 1) / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n") + 1) / 12))

@@ -120,3 +120,18 @@ def test_quantile_line_by_bands(spark, monkeypatch):
     assert genes.quantile_line(pairs, 0.1) == pytest.approx(want, abs=1e-9)
     assert genes.quantile_line(pairs.limit(0), 0.1) == (0.0, 0.0)
     assert genes.quantile_regression(np.ones(5), np.arange(5.0), 0.5) == (2.0, 0.0)
+
+
+def test_ranks_of_values(spark):
+    """Ties averaged over ranges, with null, NaN and a value that most rows have."""
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i % 3}", None if i % 41 == 0 else float("nan") if i % 43 == 0 else float(rng.integers(0, 40)) if i % 2 else 7.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "sig string, v double")
+    got = {(r.sig, repr(r.v)): (r.n, r["rank"]) for r in stats.value_ranks(df, ["sig"], "v").collect()}
+    key = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    for sig in ("s0", "s1", "s2"):
+        own = [key(v) for g, v in rows if g == sig]
+        for v in {repr(v): v for g, v in rows if g == sig}.values():
+            less, same = sum(x < key(v) for x in own), own.count(key(v))
+            assert got[sig, repr(v)] == (same, less + (same + 1) / 2)
+    assert stats.value_ranks(df.limit(0), ["sig"], "v").count() == 0
