@@ -212,10 +212,10 @@ def manifest(docs: DataFrame, tampered: Column, change: dict[str, Column]) -> Da
     other = F.when(F.coalesce(tampered, F.lit(False)), leaf(**change))
     leaves = written(rows.select(source_key(F.col("lang")).alias("tree"), F.col("doc_id").alias("id"), "salt", leaf().alias("node"), other.alias("changed")), "merkle-leaves")
     numbers = placed(leaves, ["id", "node", "salt"], "merkle-sorted").drop("salt")
-    rounds, subroots = _trees(written(numbers, "merkle-placed"), "merkle-tree")
+    rounds, subroots = _trees(numbers, "merkle-tree")
     none = F.lit(None).cast("string")
     roots = subroots.select(F.col("tree").alias("id"), F.lit("all").alias("tree"), F.col("root").alias("node"), none.alias("changed"))
-    upper_rounds, top = _trees(written(placed(roots, ["id"], "merkle-roots"), "merkle-langs"), "merkle-top")
+    upper_rounds, top = _trees(placed(roots, ["id"], "merkle-roots"), "merkle-top")
     top = F.broadcast(top)  # one row
     langs = upper_rounds[0].select("id", "tree", "pos", "node", _side(F.col("pos"), F.col("path")).alias("up")).join(top, "tree")
     if len(upper_rounds) > 1:
