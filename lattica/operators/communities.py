@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.shipping import by_value
 from lattica.sources.files import positions, stored
 
+by_value(__name__)
+
 #: Links of a block, which a task holds.
 BLOCK_LINKS = 500_000
 #: Gains below this share of the greatest link count as none.

@@ -12,9 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.shipping import by_value
 from lattica.operators.stats import gene_correlation
 from lattica.sources.files import positions, stored
 
+by_value(__name__)
+
 #: Numbers in a block of correlation rows (64 MB), of which a task holds two.
 BLOCK_NUMBERS = 8_000_000
 

@@ -14,9 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.shipping import by_value
 from lattica.operators import krylov
 from lattica.sources.files import stored
 
+by_value(__name__)
+
 #: Links of a block, which a task holds, and cells outside of the block from which it samples those to move away from.
 BLOCK_LINKS = 500_000
 POOL = 4_096

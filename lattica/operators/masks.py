@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.shipping import by_value
 from lattica.sources.files import stored
 
+by_value(__name__)
+
 
 def binarize(expr: DataFrame, threshold: float = 0.0) -> DataFrame:
     return expr.withColumn("b", (F.col("x") > threshold).cast("int"))

@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.shipping import by_value
 from lattica.functions.special import normal_sf
 from lattica.operators.krylov import Blocks, index_of
 from lattica.sources.files import stored
 
+by_value(__name__)
+
 
 def aggregate_models(attributions: DataFrame, strategy: str = "mean") -> DataFrame:
     """One weight for each cell and edge over models: mean, sum or median; other names mean mean."""
