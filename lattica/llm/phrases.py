@@ -34,6 +34,8 @@ HELD_BYTES = 12 << 20
 #: One of so many documents tells which words are hot: those with a share of 1 / HOT_SHARE or more, so at most HOT_SHARE a language.
 SAMPLE = 64
 HOT_SHARE = 512
+#: Parts of a language's phrases that are ranked first, each for itself.
+PARTS = 64
 #: Exact for counts below 10^15 and parts below 10^18.
 SCORE = "(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"
 
@@ -256,8 +258,11 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = 10, inside: i
         longer = longer.groupBy("lang", "phrase").agg(F.max("outer").alias("outer"))
         scored = scored.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(F.col("outer") * 100 < F.col("a") * inside, F.lit(True))).drop("outer")
     plain = F.replace(F.replace(F.replace("phrase", F.lit(JOINT), F.lit(" ")), F.lit("\x01\x01"), F.lit("\x00")), F.lit("\x01\x02"), F.lit("\x01"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored.withColumn("phrase", plain).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # a language's best are among the best of each of its parts, so the last window has PARTS x top rows at most
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    best = scored.withColumn("phrase", plain).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     sums = known.filter("words = 0").select("lang", "n")
     return best.join(sums, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
