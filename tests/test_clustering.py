@@ -170,3 +170,22 @@ def test_positions(spark):
     df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "a int, b int").repartition(7)
     assert [r.at for r in files.positions(df, [F.col("a").desc()], "at").orderBy(F.desc("a")).collect()] == list(range(101))
     assert files.positions(df.limit(0), [F.col("a")], "at").count() == 0
+
+
+def test_products_of_many_nearly_empty_blocks(spark):
+    n, side = 600, 8
+    to = np.random.default_rng(3).permutation(n)
+    cells = krylov.index_of(spark.range(n).withColumnRenamed("id", "cell_id"), "cell_id", side)
+    blocks = krylov.Blocks.of(spark.createDataFrame([(i, int(j), 1.0 + i) for i, j in enumerate(to)], "row long, col long, x double"), cells, cells)
+    used = blocks.entries.select("cb").distinct().count()
+    assert blocks.strips(False).count() == used < blocks.entries.select("rb", "cb").distinct().count() / 4
+    place = {r.cell_id: (r.blk, r.pos) for r in cells.collect()}
+    v = {}
+    for i, (blk, pos) in place.items():
+        v.setdefault(blk, {})[pos] = (float(i), float(i * i))
+    vectors = spark.createDataFrame([(b, bytearray(np.array([rows[p] for p in range(len(rows))]).tobytes())) for b, rows in v.items()], "blk int, data binary")
+    for transposed in (False, True):
+        out = {r.blk: krylov.matrix(r.data, 2) for r in blocks.times(vectors, 2, transposed).collect()}
+        for i, j in enumerate(to.tolist()):
+            a, b = (j, i) if transposed else (i, j)
+            assert out[place[a][0]][place[a][1]].tolist() == [(1.0 + i) * b, (1.0 + i) * b * b]
