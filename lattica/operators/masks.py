@@ -24,6 +24,10 @@ def binarize(expr: DataFrame, threshold: float = 0.0) -> DataFrame:
 PIVOT_NUMBERS = 1 << 21
 #: Parts of balls, of which every task knows radius and size.
 MOST_PARTS = 1 << 17
+#: Where cells visit more than this share of the parts, parts are searched together in regions of up to REGION_NUMBERS numbers
+#: (16 MB), and of a 16th of the cells: a cell is sent to a region once, and gets its nearest there.
+REGION_SHARE = 0.25
+REGION_NUMBERS = 1 << 21
 
 
 class _Index:
@@ -91,7 +95,8 @@ def _closest(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k:
 def _searched(cells: DataFrame, members: DataFrame, index: _Index, k: int, block_cells: int) -> tuple[DataFrame, int]:
     """(cell_id, nbr_id, dist; number of pairs compared): candidates from the parts that ``cells(cell_id, v[, tau])`` visit.
 
-    A part that many cells visit is copied for slices of these, so no group has more than about 4 x ``block_cells`` visits.
+    A part that many cells visit is copied for slices of these, so no group has more than about 4 x ``block_cells`` visits, or
+    twice as many as a region has cells. Rows sent and found grow with cells x regions.
     """
     kind, later = dict(cells.dtypes)["cell_id"], "tau" in cells.columns
     parts = len(index.count)
@@ -114,13 +119,24 @@ def _searched(cells: DataFrame, members: DataFrame, index: _Index, k: int, block
     n = np.zeros(parts, np.int64)
     for r in cells.mapInPandas(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():
         n[r["part"]] = r["n"]
-    slices = np.maximum(1, -(-n // (4 * block_cells)))
+    # parts of a ball follow each other, so regions are of balls as far as they can be
+    total, most, region = int(index.count.sum()), 4 * block_cells, np.arange(parts)
+    if later and n.sum() > REGION_SHARE * total * parts:
+        size = min(REGION_NUMBERS // index.pivots.shape[1], total // 16)
+        region = np.cumsum(index.count) // max(block_cells, size)
+        region = np.unique(region, return_inverse=True)[1]
+        most = max(most, 2 * size)
+    regions = int(region[-1]) + 1
+    n = np.minimum(total, np.bincount(region, n, regions).astype(np.int64))
+    held_there = np.bincount(region, index.count, regions).astype(np.int64)
+    slices = np.maximum(1, -(-n // most))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 deal = pd.util.hash_array(b["cell_id"].to_numpy())
                 for c, row, part in of(b):
+                    row, part = np.divmod(np.unique(row * regions + region[part]), regions)
                     for p in _chunks(len(row), len(b["v"].iloc[0])):
                         took = b.iloc[c].iloc[row[p]]
                         yield pd.DataFrame({"part": part[p], "slice": (deal[c][row[p]] % slices[part[p]].astype(np.uint64)).astype(np.int64), "cell_id": took["cell_id"], "v": took["v"], "tau": took["tau"] if later else np.inf})
@@ -132,10 +148,10 @@ def _searched(cells: DataFrame, members: DataFrame, index: _Index, k: int, block
         return _closest(a["cell_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["cell_id"].to_numpy(), np.stack(b["v"].to_numpy()), k, a["tau"].to_numpy())
 
     asked = cells.mapInPandas(send, f"part int, slice long, cell_id {kind}, v array<double>, tau double")
-    copies = members.sparkSession.createDataFrame([(p, int(s)) for p, s in enumerate(slices) if n[p]], "part int, copies long")
-    held = members.join(F.broadcast(copies), "part").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    copies = members.sparkSession.createDataFrame([(p, int(r), int(slices[r])) for p, r in enumerate(region) if n[r]], "part int, region int, copies long")
+    held = members.join(F.broadcast(copies), "part").drop("part").withColumnRenamed("region", "part").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     found = asked.groupBy("part", "slice").cogroup(held.groupBy("part", "slice")).applyInPandas(search, f"cell_id {kind}, nbr_id {kind}, dist double")
-    return found, int((n * index.count).sum())
+    return found, int((n * held_there).sum())
 
 
 def _neighbours(expr: DataFrame, k: int, block_cells: int) -> tuple[DataFrame, int, int]:
@@ -178,7 +194,8 @@ def _neighbours(expr: DataFrame, k: int, block_cells: int) -> tuple[DataFrame, i
     tau = near.groupBy("cell_id").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("tau"))
     bounded = cells.join(tau.select("cell_id", F.when(F.col("c") >= k, F.col("tau")).otherwise(F.lit(float("inf"))).alias("tau")), "cell_id")
     rest, more = _searched(stored(bounded), members, index, k, size)
-    both = near.unionByName(rest).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    # a region may also hold parts that came first, so a neighbour may be found twice
+    both = near.unionByName(rest).withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k).drop("r").distinct()
     return both, compared + more - n, n * (n - 1)
 
 

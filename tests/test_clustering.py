@@ -189,3 +189,20 @@ def test_products_of_many_nearly_empty_blocks(spark):
         for i, j in enumerate(to.tolist()):
             a, b = (j, i) if transposed else (i, j)
             assert out[place[a][0]][place[a][1]].tolist() == [(1.0 + i) * b, (1.0 + i) * b * b]
+
+
+def test_neighbours_where_nothing_is_ruled_out(spark, monkeypatch):
+    x = (5 * np.random.default_rng(5).normal(size=(400, 16))).round()
+    x[300:350] = x[:50]
+    expr = spark.createDataFrame([(i, g, float(v)) for i, row in enumerate(x) for g, v in enumerate(row)], "cell_id long, gene long, x double")
+    real, found = masks._searched, []
+    monkeypatch.setattr(masks, "_searched", lambda *a: found.append(real(*a)) or found[-1])
+    got = {}
+    for r in masks.nearest(expr, 10, 5).collect():
+        got.setdefault(r.cell_id, []).append((round(r.dist, 9), r.nbr_id))
+    for i in range(400):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1)).round(9)
+        assert sorted(got[i]) == sorted((d[j], j) for j in range(400) if j != i)[:10]
+    # 10 from each of at most 17 regions, instead of up to 5 from each of 80 parts
+    assert found[1][0].count() <= 400 * 17 * 10 < 400 * 80 * 5
+    assert found[1][0].groupBy("cell_id").count().agg(F.max("count")).first()[0] <= 170
