@@ -54,8 +54,8 @@ def mix(docs: DataFrame, size: Column, per_bin: int = 20_000) -> DataFrame:
     texts have size 0 and give 0. Rows equal in doc_id are ordered by size, then by their place in the table. An empty table gives an
     empty result. A doc_id that very many rows share (or lack) is dealt over the bins. Only keys and sizes are shuffled, never texts.
     """
-    rows = numbered(docs, "mix-rows").select("at", "row.*")
-    return _taken(written(rows.select("at", "doc_id", "source", size.alias("size")), "mix-sizes"), per_bin).drop("at")
+    rows = numbered(docs, "mix-rows").select(F.col("at").alias("__at"), "row.*")
+    return _taken(written(rows.select(F.col("__at").alias("at"), "doc_id", "source", size.alias("size")), "mix-sizes"), per_bin).drop("at")
 
 
 def _taken(slim: DataFrame, per_bin: int = 20_000) -> DataFrame:
@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, sizes: Column) -> DataFrame:
     gives an empty one. ``n_chars``, if there, follows the text.
     """
     rows = numbered(docs, "mix-rows")
-    slim = written(rows.select("at", "row.*").select("at", "doc_id", "source", sizes.alias("size")), "mix-sizes")
+    slim = written(rows.select(F.col("at").alias("__at"), "row.*").select(F.col("__at").alias("at"), "doc_id", "source", sizes.alias("size")), "mix-sizes")
     plan = _taken(slim).filter("taken > 0").select("at", "size", "taken")
     out = rows.join(plan, "at").withColumn("part", F.explode(F.expr("sequence(1, (taken + size - 1) div size)")))
     last = F.col("taken") - (F.col("part") - 1) * F.col("size")

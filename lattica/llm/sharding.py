@@ -25,7 +25,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) ->
     and CRC, then by their place in the table. With fewer rows than shards some shards stay empty. Texts are not shuffled.
     """
     rows = numbered(docs.select("doc_id", "source", "text"), "shard-texts")
-    slim = written(rows.select("at", "row.*").select("at", *_slim_columns()), "shard-rows")
+    slim = written(rows.select(F.col("at").alias("__at"), "row.*").select(F.col("__at").alias("at"), *_slim_columns()), "shard-rows")
     return _placed(slim, shards, per_bin).drop("at")
 
 
@@ -58,7 +58,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
     rows = numbered(docs.select(*kept), "shard-texts")
-    slim = written(rows.select("at", "row.*").select("at", *_slim_columns()), "shard-rows")
+    slim = written(rows.select(F.col("at").alias("__at"), "row.*").select(F.col("__at").alias("at"), *_slim_columns()), "shard-rows")
     places = _placed(slim, shards).select("at", "size", "text_crc32", "shard", "slot")
     return rows.join(places, "at").select(*[F.col(f"row.{c}") for c in kept], "size", "text_crc32", "shard", "slot")
 

@@ -399,6 +399,12 @@ def test_many_rows_without_id_are_dealt_out(spark):
     assert [(r.n, r.m, r.top) for r in counts] == [(1500, 1500, 1499)] * 4
 
 
+def test_shards_of_rows_with_a_column_of_the_number_s_name(spark):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"), F.col("id").alias("at"))
+    got = sharding.sharded(rows, 4).collect()
+    assert len(got) == 40 and all(r["at"] == r.doc_id for r in got) and len({(r.shard, r.slot) for r in got}) == 40
+
+
 def test_many_contaminated_rows_without_id(spark):
     docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(BENCH[0][1] + " "), F.col("id").cast("string")).alias("text"))
     assert decontam.contamination(docs, spark.createDataFrame(BENCH, "item_id long, text string")).agg(F.sum("n_hit")).first()[0] == 4000 * 14
