@@ -1,13 +1,15 @@
 """Communities of a weighted graph by the Leiden method over an edge table.
 
-Nodes are dealt to blocks. In a block one task moves its nodes one after the other, as it sees the labels and masses of all others
-at the start of the round, and then refines: within each community, nodes merge to connected groups. Groups are the nodes of
-the next level. A graph of few links is one block; with several, a round's moves are kept only as far as the quality rises.
+Nodes are dealt to blocks by their labels. In a block one task moves its nodes one after the other, as it sees the labels and masses
+of all others at the start of the round; a round's moves are kept only as far as the quality rises. Then blocks refine: within
+each community, nodes merge to connected groups. Groups are the nodes of the next level. A graph of few links is one block, whose
+task goes through all levels that are left.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ by_value(__name__)
 BLOCK_LINKS = 500_000
 #: Gains below this share of the greatest link count as none.
 EPS = 1e-9
+#: Share of the links' weight below which a round of several blocks counts as the last of its level.
+SETTLED = 1e-2
 
 
 def moved(names: list, mass: list, label: list, inside: list[dict], outside: list[dict], weight: dict, gamma: float, fresh: str) -> list:
@@ -89,7 +93,8 @@ def refined(names: list, mass: list, label: list, inside: list[dict], outside: l
     return [names[g] for g in group]
 
 
-def _block(part: pd.DataFrame, gamma: float, fresh: str) -> pd.DataFrame:
+def _graph(part: pd.DataFrame) -> tuple[list, list, list, list[dict], list[dict], dict]:
+    """names, mass, label, inside, outside, weight of the rows of a block, as ``moved`` takes them."""
     nodes = part[part["kind"] == 0].sort_values("a")
     names = nodes["a"].tolist()
     at = {a: i for i, a in enumerate(names)}
@@ -102,55 +107,103 @@ def _block(part: pd.DataFrame, gamma: float, fresh: str) -> pd.DataFrame:
     for a, c, w in zip(links["a"], links["label"], links["w"], strict=True):
         outside[at[a]][c] = w
     known = part[part["kind"] != 1]
-    weight = dict(zip(known["label"], known["total"], strict=True))
-    mass, label = nodes["mass"].tolist(), nodes["label"].tolist()
-    new = moved(names, mass, label, inside, outside, weight, gamma, fresh)
-    for i, (old, now) in enumerate(zip(label, new, strict=True)):
-        weight[old] -= mass[i]
-        weight[now] = weight.get(now, 0.0) + mass[i]
-    return pd.DataFrame({"blk": part["blk"].iloc[0], "node": names, "label": new, "grp": refined(names, mass, new, inside, outside, weight, gamma)})
-
-
-def _round(nodes: DataFrame, links: DataFrame, gamma: float, blocks: int, seed: str) -> DataFrame:
-    """blk, node, label, grp after one round of all blocks; ``nodes(node, mass, label)``, ``links(a, b, w)`` in both directions."""
-    total = nodes.groupBy("label").agg(F.sum("mass").alias("total"))
-    place = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)).cast("int")
-    own = nodes.withColumn("blk", place)
+    return names, nodes["mass"].tolist(), nodes["label"].tolist(), inside, outside, dict(zip(known["label"], known["total"], strict=True))
+
+
+def _block(part: pd.DataFrame, gamma: float, fresh: str) -> pd.DataFrame:
+    """blk, node, label of the nodes of a block after their moves."""
+    names, mass, label, inside, outside, weight = _graph(part)
+    return pd.DataFrame({"blk": part["blk"].iloc[0], "node": names, "label": moved(names, mass, label, inside, outside, weight, gamma, fresh)})
+
+
+def _refined_block(part: pd.DataFrame, gamma: float) -> pd.DataFrame:
+    """blk, node, label, grp of the nodes of a block, none of which moves."""
+    names, mass, label, inside, outside, weight = _graph(part)
+    return pd.DataFrame({"blk": part["blk"].iloc[0], "node": names, "label": label, "grp": refined(names, mass, label, inside, outside, weight, gamma)})
+
+
+def _levels(part: pd.DataFrame, gamma: float, fresh: str) -> pd.DataFrame:
+    """blk, node, label of a whole graph that is one block: nodes move and are grouped, level by level, until no group forms."""
+    names, mass, label, inside, _, weight = _graph(part)
+    nodes, member, level = names, list(range(len(names))), 0
+    while True:
+        old, label = label, moved(names, mass, label, inside, [{}] * len(names), weight, gamma, f"{fresh}.{level}")
+        for i, (was, now) in enumerate(zip(old, label, strict=True)):
+            weight[was] -= mass[i]
+            weight[now] = weight.get(now, 0.0) + mass[i]
+        group = refined(names, mass, label, inside, [{}] * len(names), weight, gamma)
+        place = {g: i for i, g in enumerate(sorted(set(group)))}
+        if len(place) == len(names):
+            return pd.DataFrame({"blk": part["blk"].iloc[0], "node": nodes, "label": [label[i] for i in member]})
+        to = [place[g] for g in group]
+        sums, own, links = [0.0] * len(place), [""] * len(place), [{} for _ in place]
+        for i, g in enumerate(to):
+            sums[g] += mass[i]
+            own[g] = label[i]
+            for j, w in inside[i].items():
+                if to[j] != g:
+                    links[g][to[j]] = links[g].get(to[j], 0.0) + w
+        names, mass, label, inside, member, level = list(place), sums, own, links, [to[i] for i in member], level + 1
+
+
+def _of(work: Callable[..., pd.DataFrame], *given) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda part: work(part, *given)
+
+
+def _dealt(nodes: DataFrame, links: DataFrame, blocks: int, block_links: int, seed: str) -> DataFrame:
+    """blk, kind, a, b, w, label, mass, total: rows of a block's nodes (0), links inside (1) and to labels outside (2).
+
+    Nodes of one label share a block, as far as they have a quarter of its links or less; a label of more is dealt to several.
+    ``nodes(node, mass, label, ends)`` with the number of links, ``links(a, b, w)`` in both directions.
+    """
+    total = nodes.groupBy("label").agg(F.sum("mass").alias("total"), F.ceil(F.sum("ends") * 4 / F.lit(block_links)).alias("parts"))
+    known = nodes.join(total, "label")
+    piece = F.pmod(F.xxhash64("node", F.lit(seed)), F.greatest("parts", F.lit(1)))
+    own = known.withColumn("blk", F.pmod(F.xxhash64("label", piece, F.lit(seed)), F.lit(blocks)).cast("int"))
     none, zero = F.lit(None).cast("string"), F.lit(0.0)
-    sides = links.join(own.select(F.col("node").alias("a"), "blk"), "a").join(own.select(F.col("node").alias("b"), F.col("blk").alias("there"), "label"), "b")
+    sides = links.join(own.select(F.col("node").alias("a"), "blk"), "a").join(own.select(F.col("node").alias("b"), F.col("blk").alias("there"), "label", "total"), "b")
     near = sides.filter("blk = there and a <> b").select("blk", F.lit(1).alias("kind"), "a", "b", "w", none.alias("label"), zero.alias("mass"), zero.alias("total"))
-    far = sides.filter("blk <> there").groupBy("blk", "a", "label").agg(F.sum("w").alias("w"))
-    far = far.join(total, "label").select("blk", F.lit(2).alias("kind"), "a", none.alias("b"), "w", "label", zero.alias("mass"), "total")
-    rows = own.join(total, "label").select("blk", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), zero.alias("w"), "label", "mass", "total")
-    everything = rows.unionByName(near).unionByName(far) if blocks > 1 else rows.unionByName(near)
-    return stored(everything.groupBy("blk").applyInPandas(lambda part: _block(part, gamma, f"/{seed}"), "blk int, node string, label string, grp string"))
+    far = sides.filter("blk <> there").groupBy("blk", "a", "label").agg(F.sum("w").alias("w"), F.first("total").alias("total"))
+    far = far.select("blk", F.lit(2).alias("kind"), "a", none.alias("b"), "w", "label", zero.alias("mass"), "total")
+    rows = own.select("blk", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), zero.alias("w"), "label", "mass", "total")
+    return rows.unionByName(near).unionByName(far) if blocks > 1 else rows.unionByName(near)
 
 
 def quality(nodes: DataFrame, links: DataFrame, gamma: float) -> float:
     """Weight of links within communities, in both directions, less ``gamma`` times the sum of squared masses."""
     names = nodes.select("node", "label")
-    same = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").filter("la = lb").agg(F.sum("w")).first()[0] or 0.0
-    return same - gamma * (nodes.groupBy("label").agg(F.sum("mass").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0.0)
+    same = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").filter("la = lb").agg(F.sum("w").alias("x"))
+    mass = nodes.groupBy("label").agg(F.sum("mass").alias("m")).agg((F.sum(F.col("m") * F.col("m")) * F.lit(-gamma)).alias("x"))
+    return same.unionAll(mass).agg(F.sum("x")).first()[0] or 0.0
 
 
-def _settled(nodes: DataFrame, links: DataFrame, gamma: float, seed: str, block_links: int) -> DataFrame:
-    """nodes with label and grp: rounds until no node moves."""
-    blocks, rounds = max(1, -(-links.count() // block_links)), 0
-    before = quality(nodes, links, gamma) if blocks > 1 else 0.0
+def _settled(nodes: DataFrame, links: DataFrame, gamma: float, seed: str, blocks: int, block_links: int) -> DataFrame:
+    """nodes with label and grp: rounds of all blocks until one raises the quality by less than SETTLED of all links' weight, then
+    groups within the communities. What could still move does so at the next level."""
+    ends = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("ends"))
+    nodes, rounds = stored(nodes.join(ends, "node", "left").fillna(0, ["ends"])), 0
+    before, least = quality(nodes, links, gamma), SETTLED * (links.agg(F.sum("w")).first()[0] or 0.0)
     while True:
-        done = _round(nodes, links, gamma, blocks, f"{seed}.{rounds}")
-        now = done.join(nodes.select("node", "mass", F.col("label").alias("was")), "node")
-        if blocks == 1 or now.filter("label <> was").isEmpty():
-            return stored(now.select("node", "mass", "label", "grp"))
-        parts = 1
+        fresh = f"/{seed}.{rounds}"
+        done = stored(_dealt(nodes, links, blocks, block_links, fresh).groupBy("blk").applyInPandas(_of(_block, gamma, fresh), "blk int, node string, label string"))
+        now, parts = done.join(nodes.select("node", "mass", "ends", F.col("label").alias("was")), "node"), 1
         while True:  # the moves of a single block always gain
             label = F.when(F.col("blk") % parts == rounds % parts, F.col("label")).otherwise(F.col("was"))
-            tried = stored(now.select("node", "mass", label.alias("label")))
+            tried = stored(now.select("node", "mass", label.alias("label"), "ends"))
             after = quality(tried, links, gamma)
             if after > before or parts >= blocks:
                 break
             parts *= 2
-        nodes, before, rounds = tried, after, rounds + 1
+        # a round of some blocks only says nothing about the others
+        settled = after <= before + least / parts
+        if after > before:
+            nodes, before = tried, after
+        rounds += 1
+        if settled:
+            break
+    rows = _dealt(nodes, links, blocks, block_links, f"/{seed}")
+    grouped = rows.groupBy("blk").applyInPandas(_of(_refined_block, gamma), "blk int, node string, label string, grp string")
+    return stored(grouped.join(nodes.select("node", "mass"), "node").select("node", "mass", "label", "grp"))
 
 
 def leiden(links: DataFrame, cells: DataFrame, gamma: float, iterations: int = 2, block_links: int = BLOCK_LINKS) -> DataFrame:
@@ -167,7 +220,12 @@ def leiden(links: DataFrame, cells: DataFrame, gamma: float, iterations: int = 2
         graph, nodes, member = edges, best, own.select("node", F.col("node").alias("grp"))
         level, count = 0, nodes.count()
         while True:
-            done = _settled(nodes, graph, gamma, f"{i}.{level}", block_links)
+            blocks = max(1, -(-graph.count() // block_links))
+            if blocks == 1:
+                rows = _dealt(nodes.withColumn("ends", F.lit(0)), graph, 1, block_links, "")
+                done = stored(rows.groupBy("blk").applyInPandas(_of(_levels, gamma, f"/{i}.{level}"), "blk int, node string, label string"))
+                break
+            done = _settled(nodes, graph, gamma, f"{i}.{level}", blocks, block_links)
             groups = done.select("grp").distinct().count()
             if groups == count:
                 break

@@ -206,3 +206,18 @@ def test_neighbours_where_nothing_is_ruled_out(spark, monkeypatch):
     # 10 from each of at most 17 regions, instead of up to 5 from each of 80 parts
     assert found[1][0].count() <= 400 * 17 * 10 < 400 * 80 * 5
     assert found[1][0].groupBy("cell_id").count().agg(F.max("count")).first()[0] <= 170
+
+
+@pytest.mark.parametrize("block_links", [10**6, 3000])
+def test_leiden_finds_planted_groups_in_few_steps(spark, monkeypatch, block_links):
+    """Four groups of 150 with links at places that look random, and a few across: found whole, in one block and in several; one
+    block goes through all levels in one task, so the tables written don't grow with the levels."""
+    rows = [(150 * g + r, 150 * g + (r * a + b) % 150) for g in range(4) for r in range(150) for a, b in ((1, 1), (7, 1), (31, 3), (101, 7))]
+    rows += [(i, i + 150) for i in range(0, 450, 20)]
+    knn = spark.createDataFrame(rows, "cell_id long, nbr_id long").filter("cell_id <> nbr_id")
+    real, store, count = communities.leiden, communities.stored, []
+    monkeypatch.setattr(communities, "leiden", lambda *a: real(*a, block_links=block_links))
+    monkeypatch.setattr(communities, "stored", lambda df: count.append(1) or store(df))
+    got = {r.cell_id: r.community for r in clusters.modularity_communities(knn, 0.5).collect()}
+    assert len(got) == 600 and len(set(got.values())) == 4 and all(got[i] == got[i // 150 * 150] for i in got)
+    assert block_links < 10**6 or len(count) <= 8
