@@ -4,7 +4,7 @@ Base spans of four kinds come from fixed patterns and checks. What they cover is
 found twice. High-recall generators then propose spans in the rest; each gets format and context features, and gradient boosted
 trees score it. There are no labels, so the trees learn from rewritten data: valid values of each kind in forms that the base
 patterns miss (spelled, bracketed, spaced, other separators) against look-alikes (dates, order numbers, versions, failed checks)
-and against what the generators propose in a bounded sample of documents. Thresholds are calibrated on rows held out from the
+and against what the generators propose in all documents. Thresholds are calibrated on rows held out from the
 fit. Finding is an expression inside the row: no shuffle, no Python, and work linear in the text.
 """
 
@@ -20,11 +20,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import sampled, table, written
+from lattica.llm.common import table, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents (expected number) from which unlabelled candidates for the fit are drawn, and rows of rewritten data.
-TRAIN_DOCS, SYNTHETIC = 8_000, 16_000
+#: Rows of rewritten data.
+SYNTHETIC = 16_000
 TREES, DEPTH = 10, 4
 #: Part of the negatives held out that may reach a kind's threshold.
 FALSE_RATE = 0.002
@@ -323,18 +323,18 @@ def _synthetic(spark: SparkSession, rows: int) -> DataFrame:
     return out.select("id", "kind", "label", F.coalesce(cued, neutral).alias("cue"), F.when(F.col("label") == 1, pick(yes)).otherwise(pick(no)).alias("value"))
 
 
-def examples(docs: DataFrame, train_docs: int = TRAIN_DOCS, synthetic: int = SYNTHETIC) -> DataFrame:
-    """kind, label, held and the features: rewritten values and look-alikes between words of sampled documents, and what the
-    generators propose in those documents. Proposals there that pass a kind's strictest check are no examples of either sort."""
+def examples(docs: DataFrame, synthetic: int = SYNTHETIC) -> DataFrame:
+    """kind, label, held and the features: rewritten values and look-alikes between words of documents, and what the generators
+    propose in all documents. Proposals there that pass a kind's strictest check are no examples of either sort."""
     spark = docs.sparkSession
-    picked = written(sampled(docs.select("doc_id", "text").filter("text is not null"), docs.count(), train_docs, "pii"), "pii-sample")
+    picked = docs.select("text").filter("text is not null")
     slots, at = 997, F.pmod(F.xxhash64("text", F.lit("at")), F.greatest(F.length("text") - 60, F.lit(1))).cast("int")
     around = picked.select(F.pmod(F.xxhash64("text", F.lit("slot")), F.lit(slots)).alias("slot"), F.substring("text", at + 1, F.lit(30)).alias("left"), F.substring("text", at + 31, F.lit(30)).alias("right"))
     around = around.groupBy("slot").agg(F.min(F.struct("left", "right")).alias("x")).select("slot", "x.left", "x.right")
     made = _synthetic(spark, synthetic).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
     made = made.join(F.broadcast(around), "slot", "left")
     made = made.withColumn("head", F.concat(F.coalesce("left", F.lit("and so it")), F.lit(" "), F.col("cue"))).withColumn("text", F.concat("head", "value", F.lit(" "), F.coalesce("right", F.lit("was, then"))))
-    # each row of rewritten data has one value to look at; a sampled text counts as one value of no kind from its start to its end
+    # each row of rewritten data has one value to look at; a document's text counts as one value of no kind from its start to its end
     made = made.select("id", "kind", "label", F.length("head").alias("first"), F.length("value").alias("len"), "text")
     whole = picked.select(F.xxhash64("text").alias("id"), F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("label"), F.lit(0).alias("first"), F.length("text").alias("len"), "text")
     seen = written(masked(made.unionAll(whole), F.col("text")).select("id", "kind", "label", "first", "len", "masked"), "pii-masked")
@@ -349,21 +349,20 @@ def examples(docs: DataFrame, train_docs: int = TRAIN_DOCS, synthetic: int = SYN
     return rows.select(F.col("c.kind").alias("kind"), F.col("label").cast("double"), (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(3)) == 0).alias("held"), "c.info.*")
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, synthetic: int = SYNTHETIC) -> dict:
+def fit(docs: DataFrame, synthetic: int = SYNTHETIC) -> dict:
     """kind -> (function of a feature struct to a score from 0 to 1, threshold).
 
     Fitted on two thirds of ``examples``, both classes of equal weight. The threshold is the score that FALSE_RATE of the
-    negatives held out reach, 0.5 at least. ``train_docs`` bounds the documents sampled (their expected number); an empty table
-    leaves the rewritten data.
+    negatives held out reach, 0.5 at least. An empty table leaves the rewritten data.
     """
-    rows = written(examples(docs, train_docs, synthetic), "pii-examples")
+    rows = written(examples(docs, synthetic), "pii-examples")
     sizes = {(r["kind"], r["label"]): r["count"] for r in rows.filter("not held").groupBy("kind", "label").count().collect()}
 
     def train(kind: str) -> tuple[Callable[[Column], Column], float]:
         share = sizes[kind, 0.0] / sizes[kind, 1.0]
         own = rows.filter(F.col("kind") == kind).withColumn("weight", F.when(F.col("label") == 1, F.lit(share)).otherwise(F.lit(1.0)))
         own = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own)
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxMemoryInMB=64, weightCol="weight").fit(own.filter("not held").coalesce(2))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxMemoryInMB=64, weightCol="weight").fit(own.filter("not held"))
         trees = [(float(w), t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees, strict=True)]
         score = functools.partial(_probability, trees)
         held = rows.filter((F.col("kind") == kind) & F.col("held") & (F.col("label") == 0)).select(F.struct(*FEATURES).alias("f")).select(score(F.col("f")).alias("s"))

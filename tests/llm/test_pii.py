@@ -85,3 +85,9 @@ def test_long_texts_are_linear(spark, models):
 
     seconds(500)
     assert seconds(32_000) < 4 * seconds(8_000) + 8
+
+
+def test_fit_sees_every_document(spark):
+    """Each of 9,000 documents proposes a number; all are examples."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('lot ', id, ' of (555) 123-', lpad(id, 4, '0'), ' went') AS text")
+    assert pii.examples(docs, synthetic=8).filter("kind = 'phone' AND label = 0").count() >= 9000
