@@ -144,6 +144,23 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     return many.join(one, [key, "__part"]).drop("__part")
 
 
+def told_apart(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` may be among those of ``keys``, rows whose key isn't), told by a bitmap of hashes: where both are joined
+    afterwards, only the first need be shuffled. Exact for the second.
+
+    The bitmap has 64 bits a key, 16 MB at most; with more than about 2 ** 27 keys nearly all rows are among the first.
+    ``keys`` is a table on disk.
+    """
+    bits = 1 << min(27, max(15, (64 * keys.count()).bit_length()))
+    place = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("__place")
+    marks = keys.select(place).groupBy(F.bitmap_bucket_number("__place").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
+    found = rows.select("*", place).withColumn("__part", F.bitmap_bucket_number("__place")).join(F.broadcast(marks), "__part", "left")
+    at = F.bitmap_bit_position("__place").cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = found.withColumn("__in", F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), at % 8 + 1)) != 0, F.lit(False)))
+    return found.filter("__in").select(*rows.columns), found.filter("not __in").select(*rows.columns)
+
+
 def placed(rows: DataFrame, order: list, name: str, ranges: int | None = None) -> DataFrame:
     """``rows(tree, ...)`` with pos and n: the place of each row in its tree by ``order``, and the tree's rows.
 

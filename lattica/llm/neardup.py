@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lattica.llm import simhash
-from lattica.llm.common import by_value, numbered, small_batches, written
+from lattica.llm.common import by_value, numbered, small_batches, told_apart, written
 
 by_value(__name__)
 
@@ -119,9 +119,11 @@ def _verified(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
 
 
-def _compared(tasks: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links among the sets of each task of ``tasks(task, set, at)``; ``at`` is the row that holds the set's text."""
-    texts = tasks.join(rows.select("at", F.col("row.text").alias("text")), "at")
+def _compared(tasks: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Links among the sets of each task of ``tasks(task, set, at)``; ``at`` is the row that holds the set's text, and one of
+    ``held(at)``, a table on disk, so texts of other rows stay where they are."""
+    some = told_apart(rows.select("at", F.col("row.text").alias("text")), held, "at")[0]
+    texts = tasks.join(some, "at")
     return texts.select("task", "set", "text").groupBy("task").applyInArrow(_verified, "a long, b long")
 
 
@@ -159,7 +161,7 @@ def classes(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     members = written(members, "near-members")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.expr("sequence(1, blocks - 1)")).otherwise(F.array("block"))
     tasks = members.withColumn("second", F.explode(others)).select(_task("group", F.lit(0), F.col("second")).alias("task"), "set", "at")
-    links = written(_compared(tasks, rows), "near-links")
+    links = written(_compared(tasks, rows, members.select("at")), "near-links")
     split = members.filter("blocks > 1")
     if not split.isEmpty():
         now = written(_labelled(split, links), "near-split")
@@ -170,7 +172,7 @@ def classes(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         outside = rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int"))
         outside = outside.withColumn("second", F.explode(F.expr("sequence(0, blocks - 1)"))).select(_task("group", "part", F.col("second")).alias("task"), "set", "at")
         every = now.join(parts, "group").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(_task("group", "part", F.col("block")).alias("task"), "set", "at")
-        links = links.unionAll(written(_compared(outside.unionAll(every).distinct(), rows), "near-links"))
+        links = links.unionAll(written(_compared(outside.unionAll(every).distinct(), rows, now.select("at")), "near-links"))
     none = marked.filter("size = 0").select("set").distinct()
     return marked, _labelled(own.select("set"), links).unionAll(none.select("set", F.col("set").alias("label")))
 
@@ -185,4 +187,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("which"), F.col("at"))
     by_set = marked.groupBy("set").agg(F.min(rank).alias("rank"))
     heads = by_set.join(labels, "set").groupBy("label").agg(F.min("rank").alias("rank")).select(F.col("rank.at").alias("at"))
-    return rows.join(heads, "at", "left_semi").select("row.*")
+    heads = written(heads, "near-heads")
+    dropped = written(marked.select("at").join(heads, "at", "left_anti"), "near-dropped")
+    some, kept = told_apart(rows, dropped, "at")
+    return kept.unionByName(some.join(heads, "at", "left_semi")).select("row.*")

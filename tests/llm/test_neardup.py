@@ -95,3 +95,22 @@ def test_rows_on_disk_keep_their_numbers(spark, tmp_path):
     assert first == again and len(first) == 1000
     twice = common.numbered(own.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), "x")
     assert twice.select("at").distinct().count() == 2000
+
+
+def test_texts_that_no_join_needs_are_not_shuffled(spark, tmp_path):
+    """Rows are told apart by keys before the join: no row with a key is missed, few without one are taken, and the rest of the
+    result comes straight from the table, without an exchange."""
+    spark.range(20_000).selectExpr("cast(id as string) AS at", "id").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    some, rest = common.told_apart(rows, rows.filter("id % 7 = 0").select("at"), "at")
+    some_ids, rest_ids = ([r.id for r in x.select("id").collect()] for x in (some, rest))
+    assert sorted(some_ids + rest_ids) == list(range(20_000))
+    assert set(range(0, 20_000, 7)) <= set(some_ids) and len(some_ids) < 1.1 * 20_000 / 7
+    none, every = common.told_apart(rows, rows.limit(0).select("at"), "at")
+    assert none.count() == 0 and every.count() == 20_000
+    texts = [(i, " ".join(f"w{i // 2 if i < 20 else i}x{j}" for j in range(30))) for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    out = neardup.deduplicated(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted(r.doc_id for r in out.collect()) == [*range(0, 20, 2), *range(20, 200)]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.getClass().getSimpleName() == "Union" and "LeftSemi" not in plan.children().apply(0).toString()
