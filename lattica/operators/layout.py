@@ -126,19 +126,23 @@ def moved(place: np.ndarray, head: np.ndarray, tail: np.ndarray, w: np.ndarray,
     return every[:n]
 
 
+#: Rows of a block: a cell, a link within it, a link to another block.
+CELL, INNER, OUTER = range(3)
+
+
 def _mover(pool: np.ndarray, epochs: range, total: int, ab: tuple[float, float], seed: int):
-    """A function that moves the cells of a block's rows: of a cell its place, of a link the other end's place where that is in
-    another block."""
+    """A function that moves the cells of a block's rows: of a cell its place in p0, p1 and on, of a link the other end's place where
+    that is in another block."""
+    names = [f"p{i}" for i in range(pool.shape[1])]
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
-        cells, edges = part[~part["link"]].sort_values("cell_id"), part[part["link"]].sort_values(["cell_id", "nbr_id"])
-        at = {c: i for i, c in enumerate(cells["cell_id"].tolist())}
-        out = edges["p"].notna().to_numpy()
-        tail = np.array([-1 if o else at[x] for o, x in zip(out, edges["nbr_id"].tolist(), strict=True)], np.int64)
+        cells, edges = part[part["kind"] == CELL].sort_values("cell_id"), part[part["kind"] != CELL].sort_values(["cell_id", "nbr_id"])
+        at, out = pd.Index(cells["cell_id"]), (edges["kind"] == OUTER).to_numpy()
+        tail = np.empty(len(edges), np.int64)
+        tail[~out] = at.get_indexer(edges["nbr_id"][~out])
         tail[out] = len(cells) + np.arange(out.sum())
-        fixed = np.stack(edges["p"][out].to_numpy()) if out.any() else pool[:0]
-        head = np.array([at[c] for c in edges["cell_id"].tolist()], np.int64)
-        new = moved(np.stack(cells["p"].to_numpy()), head, tail, edges["w"].to_numpy(), fixed, pool, epochs, total, ab, seed)
+        head = at.get_indexer(edges["cell_id"])
+        new = moved(cells[names].to_numpy(), head, tail, edges["w"].to_numpy(), edges[names].to_numpy()[out], pool, epochs, total, ab, seed)
         return pd.DataFrame({"cell_id": cells["cell_id"], "umap": list(new)})
 
     return block
@@ -155,7 +159,7 @@ def umap(knn: DataFrame, dimensions: int = 2, min_dist: float = 0.5, seed: int =
     entries = links.join(degree, "cell_id").join(degree.toDF("nbr_id", "e"), "nbr_id").select("cell_id", "nbr_id", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("x"))
     index = krylov.index_of(links, "cell_id")
     matrix = krylov.Blocks.of(entries.toDF("row", "col", "x"), index, index)
-    found = krylov.leading(lambda v, width: matrix.times(v, width), index, dimensions + 1, 1e-4, seed)
+    found = krylov.leading(lambda v, width: matrix.times(v, width, keep=False), index, dimensions + 1, 1e-4, seed, basis=krylov.BASIS)
     start = krylov.unpacked(found, index, "cell_id", "v")
     most = start.agg(F.max(F.array_max(F.transform(F.slice("v", 2, dimensions), F.abs)))).first()[0] or 1.0
     # columns that a tiny graph lacks are zeros; a little noise by id tells cells of one place apart
@@ -167,8 +171,9 @@ def umap(knn: DataFrame, dimensions: int = 2, min_dist: float = 0.5, seed: int =
         dealt = place.withColumn("blk", F.pmod(F.xxhash64("cell_id", F.lit(r)), F.lit(blocks)).cast("int"))
         pool = np.array([x[0] for x in dealt.orderBy(F.xxhash64("cell_id", F.lit(f"pool{r}")), "cell_id").limit(POOL).select("umap").collect()]) if blocks > 1 else np.zeros((0, dimensions))
         sides = links.join(dealt.select("cell_id", "blk"), "cell_id").join(dealt.select(F.col("cell_id").alias("nbr_id"), F.col("blk").alias("there"), F.col("umap").alias("p")), "nbr_id")
-        sides = sides.select("blk", "cell_id", "nbr_id", "w", F.when(F.col("blk") != F.col("there"), F.col("p")).alias("p"), F.lit(True).alias("link"))
-        own = dealt.select("blk", "cell_id", F.col("cell_id").alias("nbr_id"), F.lit(0.0).alias("w"), F.col("umap").alias("p"), F.lit(False).alias("link"))
+        outer = F.col("blk") != F.col("there")
+        sides = sides.select("blk", "cell_id", "nbr_id", "w", F.when(outer, F.lit(OUTER)).otherwise(F.lit(INNER)).alias("kind"), *[F.when(outer, F.col("p")[i]).alias(f"p{i}") for i in range(dimensions)])
+        own = dealt.select("blk", "cell_id", F.col("cell_id").alias("nbr_id"), F.lit(0.0).alias("w"), F.lit(CELL).alias("kind"), *[F.col("umap")[i].alias(f"p{i}") for i in range(dimensions)])
         span = range(r * epochs // rounds, (r + 1) * epochs // rounds)
 
         move = _mover(pool, span, epochs, ab, seed + 7919 * r)

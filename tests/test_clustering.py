@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import clusters, communities, krylov, masks
+from lattica.operators import clusters, communities, krylov, layout, masks
 from lattica.sources import files
 
 
@@ -239,3 +239,17 @@ def test_eigenvectors_read_the_last_two_blocks_only_while_rounding_allows(spark,
     assert np.abs(q.T @ q - np.eye(12)).max() < 1e-7
     late = [n for n in read if n > 2]
     assert late and len(late) < len([n for n in read if n == 2]), read
+
+
+@pytest.mark.parametrize("of", ["spectral", "layout"])
+def test_a_graph_of_close_values_keeps_its_basis(spark, monkeypatch, of):
+    """A ring takes as many steps as its cells allow, not the many more that a basis of three blocks takes."""
+    monkeypatch.setattr(krylov, "BLOCKS_HELD", 3)
+    made, times = [], krylov.Blocks.times
+    monkeypatch.setattr(krylov.Blocks, "times", lambda *args, **kw: (made.append(1), times(*args, **kw))[1])
+    knn = spark.createDataFrame([(i, (i + j) % 120, float(j)) for i in range(120) for j in (1, 2)], "cell_id long, nbr_id long, dist double")
+    found = (clusters.spectral(knn, 4) if of == "spectral" else layout.umap(knn, epochs=1)).collect()
+    assert len(found) == 120 and len(made) <= 11
+    if of == "spectral":
+        label = [r.spectral for r in sorted(found)]
+        assert len(set(label)) == 4 and sum(a != b for a, b in zip(label, label[1:] + label[:1], strict=True)) == 4
