@@ -45,6 +45,18 @@ def test_components_of_low_rank_nulls_and_empty(spark):
     assert clusters.components(df.limit(0), 3).count() == 0
 
 
+def test_the_first_of_equal_components_has_what_cells_sum_to(spark):
+    """Four copies of a matrix side by side have each value four times; a power iteration from ones finds the same in each copy."""
+    x = np.random.default_rng(4).random((12, 15)).round(3)
+    rows = [(12 * c + i, 15 * c + j, float(x[i, j])) for c in range(4) for i in range(12) for j in range(15)]
+    scores, _, values = clusters.decomposed(spark.createDataFrame(rows, "cell_id long, gene long, x double"), 6)
+    pc, _, s = dense(x, 2)
+    got = np.array([r.pc for r in scores.orderBy("cell_id").collect()])
+    assert np.abs(values - np.repeat(s, 4)[:6]).max() < 1e-9
+    assert np.abs(got[:, 0] - np.tile(pc[:, 0], 4) / 2).max() < 1e-9
+    assert np.abs(got.T @ got - np.diag(values**2)).max() < 1e-8
+
+
 def all_nearest(x, ids, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     return {(ids[i], b, round(a, 9)) for i in range(len(x)) for a, b in sorted((d[i, j], ids[j]) for j in range(len(x)) if j != i)[:k]}
