@@ -28,6 +28,9 @@ MOST_PARTS = 1 << 17
 #: (16 MB), and of a 16th of the cells: a cell is sent to a region once, and gets its nearest there.
 REGION_SHARE = 0.25
 REGION_NUMBERS = 1 << 21
+#: Cells multiplied at once: rough distances of a tile stay in the cache.
+TILE_ROWS = 256
+TILE_COLUMNS = 4096
 
 
 class _Index:
@@ -70,25 +73,53 @@ def _chunks(n: int, width: int) -> Iterator[slice]:
 def _closest(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, tau: np.ndarray) -> pd.DataFrame:
     """The ``k`` nearest of the cells ``ids``, which ascend, to each cell of ``own``, no farther than ``tau``; ties by id.
 
-    Products give rough distances, whose k-th and all within rounding of it are measured exactly, so ties at the end are all seen.
+    Tiles of both are multiplied for rough distances. What lies within rounding of the k-th distance found so far is measured
+    exactly, so ties at the end are all seen. Single precision does where its rounding is far below the distances.
     """
-    norms, out = (y * y).sum(axis=1), []
-    for c in _chunks(len(x), len(y)):
-        part = x[c]
-        size = (part * part).sum(axis=1)
-        rough = size[:, None] + norms - 2 * part @ y.T
-        margin = 1e-11 * (size + norms.max())
-        at = np.searchsorted(ids, own[c])
-        here = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == own[c])
-        rough[here, at[here]] = np.inf
-        limit = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + margin
-        row, col = np.nonzero((rough <= np.minimum(limit, tau[c] ** 2 + margin)[:, None]) & np.isfinite(rough))
-        dist = np.concatenate([np.sqrt(((y[col[p]] - part[row[p]]) ** 2).sum(axis=1)) for p in _chunks(len(row), y.shape[1])] or [np.empty(0)])
-        order = np.lexsort((col, dist, row))
-        row, col, dist = row[order], col[order], dist[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        best = (place < k) & (dist <= tau[c][row])
-        out.append(pd.DataFrame({"cell_id": own[c][row[best]], "nbr_id": ids[col[best]], "dist": dist[best]}))
+    middle = y.mean(axis=0)
+    q, r = x - middle, y - middle
+    norms, sizes = (r * r).sum(axis=1), (q * q).sum(axis=1)
+    top, out = norms.max(), []
+    # half the square of y's norm rides along as a column more
+    right = np.column_stack([r, -0.5 * norms])
+    rough32 = right.astype(np.float32) if 1e-20 < top < 1e30 else right
+    for at in range(0, len(x), TILE_ROWS):
+        c = slice(at, at + TILE_ROWS)
+        part, size, held = x[c], sizes[c], own[c]
+        left = np.column_stack([q[c], np.ones(len(part))])
+        left32 = left.astype(np.float32) if size.max() < 1e30 else left
+        # a bound of what rounding does to the squares of distances
+        fine = 1e-11 * (size + top)
+        coarse = 2.4e-7 * (y.shape[1] + 4) * (size + top)
+        self_at = np.searchsorted(ids, held)
+        limit = tau[c].copy()
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for low in range(0, len(y), TILE_COLUMNS):
+            t = slice(low, min(low + TILE_COLUMNS, len(y)))
+            single = rough32 is not right and left32 is not left and bool((coarse <= 0.01 * limit**2).all())
+            margin = coarse if single else fine
+            like = left32 @ rough32[t].T if single else left @ right[t].T  # half of what the squared distance is less than size
+            least = 0.5 * (size - limit**2 - margin)
+            if np.isinf(limit).any() and t.stop - low > k + 1:  # one may be the cell itself
+                least = np.maximum(least, np.partition(like, t.stop - low - k - 1, axis=1)[:, t.stop - low - k - 1] - margin)
+            least = np.nextafter(least.astype(like.dtype), like.dtype.type(-np.inf))
+            row, col = np.divmod(np.flatnonzero(like >= least[:, None]), t.stop - low)
+            col += low
+            other = (col != self_at[row]) | (ids[col] != held[row])
+            row, col = row[other], col[other]
+            if not len(row):
+                continue
+            dist = np.concatenate([np.sqrt(((y[col[p]] - part[row[p]]) ** 2).sum(axis=1)) for p in _chunks(len(row), y.shape[1])])
+            near = dist <= limit[row]
+            row, col, dist = (np.concatenate([b, n[near]]) for b, n in zip(best, (row, col, dist), strict=True))
+            order = np.lexsort((col, dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = (row[place < k], col[place < k], dist[place < k])
+            last = place == k - 1
+            limit[row[last]] = dist[last]
+        row, col, dist = best
+        out.append(pd.DataFrame({"cell_id": held[row], "nbr_id": ids[col], "dist": dist}))
     return pd.concat(out)
 
 
@@ -196,7 +227,7 @@ def _neighbours(expr: DataFrame, k: int, block_cells: int) -> tuple[DataFrame, i
     rest, more = _searched(stored(bounded), members, index, k, size)
     # a region may also hold parts that came first, so a neighbour may be found twice
     both = near.unionByName(rest).withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k).drop("r").distinct()
-    return both, compared + more - n, n * (n - 1)
+    return stored(both), compared + more - n, n * (n - 1)
 
 
 def nearest(expr: DataFrame, k: int, block_cells: int = 1000) -> DataFrame:

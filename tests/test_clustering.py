@@ -78,6 +78,25 @@ def test_nearest_with_ties(spark, case):
         assert compared < every / 4
 
 
+def test_neighbours_are_searched_once_for_both_directions(spark):
+    expr = tidy(spark, np.random.default_rng(8).normal(size=(120, 3)))
+    found = masks.neighbourhood(expr, masks.nearest(expr, 4, 20), 2)
+    assert "CoGroup" not in found._jdf.queryExecution().toString() and found.count() > 0
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25])
+def test_closest_over_several_tiles(monkeypatch, scale):
+    """Ties at the end, with and without a bound known before, where single precision does and where it doesn't."""
+    monkeypatch.setattr(masks, "TILE_ROWS", 16)
+    monkeypatch.setattr(masks, "TILE_COLUMNS", 32)
+    x, ids = np.random.default_rng(9).integers(-3, 4, (150, 3)) * scale, np.arange(150) * 2
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    want = {(ids[i], j) for i in range(150) for _, j in sorted((d[i, j], ids[j]) for j in range(150) if j != i)[:6]}
+    for tau in (np.full(150, np.inf), np.sort(d, axis=1)[:, 6]):
+        got = masks._closest(ids, x, ids, x, 6, tau)
+        assert set(zip(got["cell_id"], got["nbr_id"], strict=True)) == want and len(got) == len(want)
+
+
 def ring_graph(spark, groups, size, bridges, name="cell"):
     """Groups in which each cell links to the next three, and a few links between groups."""
     rows = [(f"{name}{g}-{i}", f"{name}{g}-{(i + s) % size}") for g in range(groups) for i in range(size) for s in (1, 2, 3)]
